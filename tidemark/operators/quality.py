@@ -41,7 +41,7 @@ def not_finite(df: DataFrame, *columns: str) -> DataFrame:
     return df.filter(any_of([~finite(F.col(c)) for c in columns]))
 
 
-def future_facts(df: DataFrame, clock: str = "trade_date", received: str = "DT_RECEB", reference: str = "DT_REFER") -> DataFrame:
+def future_facts(df: DataFrame, clock: str = "trade_date", received: str = "received", reference: str = "reference_date") -> DataFrame:
     """Rows that use a fact received after their own date, or received before its period ended."""
     return df.filter((F.col(received) > F.col(clock)) | (F.col(reference) > F.col(received)))
 

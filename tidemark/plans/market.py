@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import technical, universe
+from tidemark.operators import filings, technical, universe
 from tidemark.operators.universe import UniverseConfig
 
 WEEKLY = technical.BarWindows(short=2, month=4, quarter=12, half=26, year=52, unit="w")
@@ -171,7 +171,26 @@ class Market:
             "account",
             (F.col("value") * 1.01).alias("value"),
         )
-        return first.unionByName(second)
+        return first.unionByName(second).withColumn("reference_date", F.col("period_end"))
+
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        return filings.company_snapshots(self.facts)
+
+    @cached_property
+    def fundamentals(self) -> DataFrame:
+        """Month-end rows with the filing known at that date and its ranks."""
+        sector_ranked = ("momentum_12_1", "medium_term_momentum", WEEKLY.reversal, "volatility_12w", WEEKLY.residual_volatility, WEEKLY.log_value, WEEKLY.amihud)
+        return filings.attach_fundamentals(
+            self.monthly, self.snapshots, self.bridge, 180, self.cross_section, sector_ranked
+        )
+
+    @cached_property
+    def macro(self) -> DataFrame:
+        """Monthly series dated at the end of its month."""
+        return self.table("orders").groupBy(F.last_day("o_orderdate").alias("date")).agg(
+            (exact_sum("o_totalprice") / F.count("*") / 100000.0).alias("value")
+        )
 
     @cached_property
     def actions(self) -> DataFrame:
