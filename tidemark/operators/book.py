@@ -13,3 +13,10 @@ def execution_dates(signals: DataFrame, calendar: DataFrame, delay: int = 1, how
         "trade_date", "execution_date"
     )
     return signals.join(F.broadcast(pairs), "trade_date", how)
+
+
+def common_dates(rows: DataFrame, by: str = "strategy", clock: str = "trade_date") -> DataFrame:
+    """Dates on which every strategy has a row."""
+    observed = rows.select(by, clock).distinct()
+    strategies = observed.agg(F.count_distinct(by)).scalar()
+    return observed.groupBy(clock).agg(F.count("*").alias("__n")).filter(F.col("__n") == strategies).select(clock)

@@ -84,7 +84,7 @@ def adjust_prices(prices: DataFrame, actions: DataFrame, by: str = "ticker", che
 def stale_marks(
     prices: DataFrame,
     calendar: DataFrame,
-    max_stale: int = 21,
+    max_stale: int = 20,
     column: str = "close",
     haircut: float = -0.999,
     action_marker: str | None = None,
@@ -96,9 +96,9 @@ def stale_marks(
     haircut once. A session on which `action_marker` changes earns zero (with `max_abs_return`,
     only where the move is larger than that) and is flagged; other larger moves are flagged too.
     """
-    end = calendar.agg(F.max("session").alias("__end"))
+    end = calendar.agg(F.max("session")).scalar()
     bars = prices.join(F.broadcast(calendar.select("trade_date", "session")), "trade_date")
-    spans = bars.groupBy("ticker").agg(F.min("session").alias("__start")).join(F.broadcast(end))
+    spans = bars.groupBy("ticker").agg(F.min("session").alias("__start")).withColumn("__end", end)
     grid = spans.select("ticker", F.explode(F.sequence("__start", "__end")).alias("session"))
     carry = [column] + ([action_marker] if action_marker else [])
     quotes = bars.select("ticker", "session", *carry, F.col("session").alias("__seen"))

@@ -50,7 +50,8 @@ def split_violations(train: DataFrame, evaluation: DataFrame, clock: str = "trad
     """One row when training dates or labels reach the evaluation window."""
     last = [F.max(clock).alias("train_last")]
     last.append((F.max(label_end) if label_end else F.max(clock)).alias("label_last"))
-    bounds = train.agg(*last).join(evaluation.agg(F.min(clock).alias("evaluation_first")))
+    first = evaluation.agg(F.min(clock)).scalar()
+    bounds = train.agg(*last).withColumn("evaluation_first", first)
     return bounds.filter("train_last >= evaluation_first OR label_last >= evaluation_first")
 
 

@@ -87,8 +87,8 @@ def extremes(df: DataFrame, value: str, n: int, ties: Sequence[str]) -> DataFram
 
 def latest_snapshot(snapshots: DataFrame, n: int, score: str = "score") -> DataFrame:
     """The n best rows of the newest snapshot date."""
-    newest = snapshots.agg(F.max("as_of").alias("as_of"))
-    return snapshots.join(F.broadcast(newest), "as_of", "left_semi").orderBy(F.col(score).desc(), "ticker").limit(n)
+    newest = snapshots.agg(F.max("as_of")).scalar()
+    return snapshots.filter(F.col("as_of") == newest).orderBy(F.col(score).desc(), "ticker").limit(n)
 
 
 def alpha_first_candidates(

@@ -114,7 +114,7 @@ def trailing_features(prices: DataFrame, windows: BarWindows = DAILY) -> DataFra
         features[windows.name("log_trades", windows.month)] = F.log1p(
             full_window(F.avg, F.col("trades"), windows.month, w)
         )
-    impact = F.abs(ret) / F.greatest(value, F.lit(1e-12))
+    impact = F.when(value.isNotNull(), F.abs(ret) / F.greatest(value, F.lit(1e-12)))
     features[windows.amihud] = full_window(F.avg, impact, windows.month, w)
     frame = frame.withColumns(features)
     frame = frame.withColumns(

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import filings, technical, universe
+from tidemark.operators import factors, filings, technical, universe
 from tidemark.operators.universe import UniverseConfig
 
 WEEKLY = technical.BarWindows(short=2, month=4, quarter=12, half=26, year=52, unit="w")
@@ -96,10 +96,36 @@ class Market:
         return universe.point_in_time_universe(self.prices, UNIVERSE)
 
     @cached_property
-    def investible(self) -> DataFrame:
+    def eligible(self) -> DataFrame:
         """Month-end rows of eligible names with ranks and targets inside that set."""
-        return universe.apply_universe(self.monthly, self.universe, True, self.cross_section).join(
-            self.securities, "ticker"
+        return universe.apply_universe(self.monthly, self.universe, True, self.cross_section)
+
+    @cached_property
+    def investible(self) -> DataFrame:
+        return self.eligible.join(self.securities, "ticker")
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        """Eligible rows with filings, sleeve scores and a deterministic forecast."""
+        rows = filings.attach_fundamentals(self.eligible, self.snapshots, self.bridge, 180, self.cross_section)
+        scored = factors.composite_score(rows, None, WEEKLY)
+        momentum, vol = F.col("rank_momentum_12_1"), F.col("rank_volatility_12w")
+        return scored.withColumns(
+            {
+                "prediction": (momentum - 0.5) * 0.02 - (vol - 0.5) * 0.01,
+                "uncertainty": F.abs(momentum - F.col("rank_return_12w")) * 0.01,
+            }
+        )
+
+    @cached_property
+    def forecasts(self) -> DataFrame:
+        """The forecast without filings, for queries that need nothing else."""
+        momentum, vol = F.col("rank_momentum_12_1"), F.col("rank_volatility_12w")
+        return self.investible.withColumns(
+            {
+                "prediction": (momentum - 0.5) * 0.02 - (vol - 0.5) * 0.01,
+                "uncertainty": F.abs(momentum - F.col("rank_return_12w")) * 0.01,
+            }
         )
 
     @cached_property

@@ -123,6 +123,12 @@ investible AS (
          ({avg_rank('future_return', 'trade_date')}) - 0.5 AS target_cross_sectional_rank
   FROM eligible JOIN securities USING (ticker))"""
 
+_D = "CAST({0} AS DOUBLE)".format
+FORECASTS = f"""forecasts AS (
+  SELECT *, (rank_momentum_12_1 - {_D(0.5)}) * {_D(0.02)} - (rank_volatility_12w - {_D(0.5)}) * {_D(0.01)} AS prediction,
+         abs(rank_momentum_12_1 - rank_return_12w) * {_D(0.01)} AS uncertainty
+  FROM investible)"""
+
 BRIDGE = """bridge AS (
   SELECT s_suppkey AS ticker, s_nationkey AS issuer_id, DATE '1995-01-01' AS valid_from, DATE '1998-06-30' AS valid_to, r_name AS sector
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
