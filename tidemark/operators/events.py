@@ -129,5 +129,5 @@ def stale_marks(
     )
     dates = F.broadcast(calendar.select("session", "trade_date"))
     return marked.join(dates, "session").select(
-        "ticker", "trade_date", "mark", "quote_observed", "stale_sessions", "asset_return", "action_excluded", "suspicious"
+        "ticker", "trade_date", "session", "mark", "quote_observed", "stale_sessions", "asset_return", "action_excluded", "suspicious"
     )

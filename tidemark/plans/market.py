@@ -11,8 +11,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import factors, filings, technical, universe
+from tidemark.operators import book, events, factors, filings, selection, technical, universe
 from tidemark.operators.universe import UniverseConfig
+from tidemark.session import cut_lineage
 
 WEEKLY = technical.BarWindows(short=2, month=4, quarter=12, half=26, year=52, unit="w")
 HORIZON = 4
@@ -128,6 +129,75 @@ class Market:
             }
         )
 
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return universe.session_calendar(self.prices)
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        """Equal-weight top ten of four strategies per month: names quoted at the execution close,
+        one per issuer. The table is small and read many times, so its lineage is cut."""
+        rows = self.forecasts.select(
+            "trade_date",
+            "ticker",
+            "issuer_id",
+            F.col("rank_momentum_12_1").alias("signal_momentum"),
+            (1.0 - F.col("rank_volatility_12w")).alias("signal_low_volatility"),
+            (F.col("prediction") - 0.5 * F.col("uncertainty")).alias("signal_ml"),
+            F.col("rank_log_traded_value_4w").alias("signal_liquidity"),
+        )
+        dated = book.execution_dates(rows, self.sessions)
+        quotes = self.prices.select("ticker", F.col("trade_date").alias("execution_date"))
+        quoted = dated.join(quotes, ["ticker", "execution_date"], "left_semi")
+        scores = factors.by_strategy(quoted, ["trade_date", "ticker", "issuer_id"])
+        top = selection.topk_with_issuer_cap(scores, "score", 10, ["strategy", "trade_date"])
+        weighted = selection.equal_weights(top, ["strategy", "trade_date"])
+        return cut_lineage(weighted.select("strategy", "trade_date", "ticker", "issuer_id", "rank", "target_weight"))
+
+    @cached_property
+    def marks(self) -> DataFrame:
+        """Session returns of every name that was ever held."""
+        held = self.targets.select("ticker").distinct()
+        used = self.prices.join(held, "ticker", "left_semi")
+        return events.stale_marks(used, self.sessions, 20)
+
+    @cached_property
+    def periods(self) -> DataFrame:
+        return book.rebalance_periods(self.targets, self.sessions)
+
+    @cached_property
+    def rates(self) -> DataFrame:
+        return book.aligned_risk_free(self.sessions, self.risk_free, check=False)
+
+    @cached_property
+    def holdings(self) -> DataFrame:
+        return book.holding_values(
+            self.targets, self.periods, self.marks.select("ticker", "session", "asset_return"), self.rates
+        )
+
+    @cached_property
+    def values(self) -> DataFrame:
+        return book.period_values(self.holdings)
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return book.order_book(self.targets, self.periods, book.drifted_weights(self.holdings, self.periods, self.values))
+
+    @cached_property
+    def turnover(self) -> DataFrame:
+        return book.half_l1_turnover(self.orders)
+
+    def curves(self, bps: tuple[float, ...] = (15.0,)) -> DataFrame:
+        return book.equity_curves(self.periods, self.values, self.turnover, bps, self.sessions)
+
+    @cached_property
+    def index_curve(self) -> DataFrame:
+        """The equal-weight market as a price path."""
+        ret = technical.trailing_features(self.prices, WEEKLY).groupBy("trade_date").agg(
+            F.avg(WEEKLY.ret).alias("daily_return")
+        )
+        return book.benchmark_curve(self.sessions, ret, initial=100_000.0)
+
     @cached_property
     def bridge(self) -> DataFrame:
         """Two validity intervals per ticker; some tickers move to another issuer."""
