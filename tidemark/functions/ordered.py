@@ -97,14 +97,13 @@ def add_average_ranks(
         exprs = {}
         whole = Window.partitionBy(*by)
         for out, source in ranks.items():
-            w = whole.orderBy(F.col(source).asc_nulls_first())
-            everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            observed = F.count(source).over(everything)
-            rows = F.count(F.lit(1)).over(everything)
-            ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
-            rank = F.rank().over(w) - (rows - observed) + (ties - 1) / 2.0
-            scale = {"observed": observed, "all": rows, None: F.lit(1)}[denominator]
-            exprs[out] = F.when(F.col(source).isNotNull(), rank / scale)
+            # Ties share the mean of their first place (rank) and their last (values not above).
+            w = whole.orderBy(F.col(source).asc_nulls_last())
+            upto = F.count(source).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+            rank = (F.rank().over(w) + upto) / 2.0
+            # One unordered pass per group serves the denominators of all columns.
+            size = {"observed": F.count(source).over(whole), "all": F.count(F.lit(1)).over(whole)}
+            exprs[out] = F.when(F.col(source).isNotNull(), rank / size.get(denominator, F.lit(1)))
         return df.withColumns(exprs)
 
     pairs = [F.struct(F.lit(out).alias("__out"), F.col(src).cast("double").alias("__value")) for out, src in ranks.items()]
