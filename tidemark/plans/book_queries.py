@@ -11,6 +11,7 @@ from tidemark.plans.filings_queries import _MACRO
 from tidemark.plans.market import WEEKLY, Market
 from tidemark.plans.registry import query
 from tidemark.plans.signal_queries import FORECAST_SQL
+from tidemark.session import cut_lineage
 
 r = S.r
 D = S._D
@@ -319,7 +320,7 @@ def month_pairs(m: Market):
     s = performance.first_to_last(net_curve(m)).withColumnRenamed("period_return", "strategy_return")
     b = performance.first_to_last(m.index_curve, "price", ()).withColumnRenamed("period_return", "benchmark_return")
     c = m.macro.select(F.trunc("date", "MM").alias("period"), (F.col("value") / 1000.0).alias("rate_return"))
-    return s.join(F.broadcast(b), "period").join(F.broadcast(c), "period")
+    return cut_lineage(s.join(F.broadcast(b), "period").join(F.broadcast(c), "period"))
 
 
 @query(

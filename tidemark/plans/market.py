@@ -131,7 +131,8 @@ class Market:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return universe.session_calendar(self.prices)
+        """One row per session; every accounting step reads it, so its lineage is cut."""
+        return cut_lineage(universe.session_calendar(self.prices))
 
     @cached_property
     def targets(self) -> DataFrame:
@@ -163,7 +164,7 @@ class Market:
 
     @cached_property
     def periods(self) -> DataFrame:
-        return book.rebalance_periods(self.targets, self.sessions)
+        return cut_lineage(book.rebalance_periods(self.targets, self.sessions))
 
     @cached_property
     def rates(self) -> DataFrame:
@@ -171,8 +172,12 @@ class Market:
 
     @cached_property
     def holdings(self) -> DataFrame:
-        return book.holding_values(
-            self.targets, self.periods, self.marks.select("ticker", "session", "asset_return"), self.rates
+        """At most k names and cash per strategy and session. Values, drift, turnover and curves all
+        read it, so it is written once."""
+        return cut_lineage(
+            book.holding_values(
+                self.targets, self.periods, self.marks.select("ticker", "session", "asset_return"), self.rates
+            )
         )
 
     @cached_property
