@@ -27,13 +27,18 @@ def local_session(cores: str | int = 8, shuffle_partitions: int = 8) -> SparkSes
     return spark
 
 
+_scratch: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a scratch one only where none is set."""
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidemark-ckpt-")
-        spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    if folder:
+        return folder
+    application = spark.sparkContext.applicationId
+    if application not in _scratch:
+        _scratch[application] = tempfile.mkdtemp(prefix="tidemark-ckpt-")
+    return _scratch[application]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
