@@ -26,7 +26,7 @@ def load(spark, frame):
 @pytest.mark.parametrize("bound", [1000, None])
 @pytest.mark.parametrize("denominator", ["observed", "all", None])
 def test_average_ranks(spark, frame, bound, denominator):
-    got = add_average_ranks(load(spark, frame), ["g"], {"r": "v"}, ["id"], bound, denominator, bands=6)
+    got = add_average_ranks(load(spark, frame), ["g"], {"r": "v"}, ["id"], bound, denominator, band_rows=3)
     got = got.select("id", "r").toPandas().set_index("id")["r"].astype(float).sort_index()
     rank = frame.groupby("g")["v"].rank(method="average")
     scale = {"observed": frame.groupby("g")["v"].transform("count"), "all": frame.groupby("g")["id"].transform("count"), None: 1}[denominator]
@@ -44,8 +44,8 @@ def test_null_group_is_its_own_group(spark, bound):
 @pytest.mark.parametrize("bound", [1000, None])
 def test_positions_and_prefix_sums(spark, frame, bound):
     df = load(spark, frame).withColumn("v", F.coalesce("v", F.lit(-1.0)))
-    got = add_positions(df, ["g"], ["v", "id"], "p", bound, bands=6)
-    got = running_before(got, ["g"], ["v", "id"], {"s": "w"}, bound, bands=6).select("id", "p", "s").toPandas().set_index("id").sort_index()
+    got = add_positions(df, ["g"], ["v", "id"], "p", bound, band_rows=3)
+    got = running_before(got, ["g"], ["v", "id"], {"s": "w"}, bound, band_rows=3).select("id", "p", "s").toPandas().set_index("id").sort_index()
     want = frame.fillna({"v": -1.0}).sort_values(["g", "v", "id"])
     want["p"] = want.groupby("g").cumcount() + 1
     want["s"] = want.groupby("g")["w"].cumsum() - want["w"]
@@ -57,6 +57,6 @@ def test_positions_and_prefix_sums(spark, frame, bound):
 @pytest.mark.parametrize("bound", [1000, None])
 def test_quantiles(spark, frame, bound):
     probs = [0.0, 0.05, 0.5, 0.77, 1.0]
-    got = {r["g"]: [r[f"q{i}"] for i in range(len(probs))] for r in exact_quantiles(load(spark, frame), ["g"], "v", probs, bound, bands=6).collect()}
+    got = {r["g"]: [r[f"q{i}"] for i in range(len(probs))] for r in exact_quantiles(load(spark, frame), ["g"], "v", probs, bound, band_rows=3).collect()}
     for g, rows in frame.groupby("g"):
         np.testing.assert_allclose(got[g], np.nanquantile(rows["v"], probs))

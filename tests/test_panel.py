@@ -133,8 +133,10 @@ def test_rank_ic_ignores_level_shifts(spark):
 def test_topk_of_a_perfect_forecast(spark):
     rows = [(D0, f"T{i}", i / 10, i / 10) for i in range(6)]
     df = spark.createDataFrame(rows, "trade_date date, ticker string, prediction double, target_excess_return double")
-    r = evaluation.topk_metrics(df, (2,)).first()
-    assert (r["precision"], r["recall"], r["ndcg"]) == (1.0, 1.0, pytest.approx(1.0))
+    for bound in (100, None):
+        r = evaluation.topk_metrics(df, (2,), group_bound=bound).first()
+        assert (r["precision"], r["recall"], r["ndcg"]) == (1.0, 1.0, pytest.approx(1.0))
+        assert r["mean_future_return"] == pytest.approx(0.45) and r["top_minus_bottom"] == pytest.approx(0.4)
 
 
 def test_factor_contributions_add_up(spark):

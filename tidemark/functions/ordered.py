@@ -2,9 +2,9 @@
 
 Each function has two exact ways. When the caller can prove that no group has more than
 `ONE_TASK_ROWS` rows (`group_bound`), a plain window sorts each group in one task. Otherwise the
-group is cut into value bands: ties are collapsed first, split points are picked by a hash of the
-order key (so a recomputed task picks the same ones), each band is summed on its own, and a small
-table of band offsets puts the bands together. No row is dropped in either way.
+group is cut into value bands of about `BAND_ROWS` rows: ties are collapsed first, split points are picked
+by a hash of the order key (so a recomputed task picks the same ones), each band is summed on its
+own, and a small table of band offsets puts the bands together. No row is dropped in either way.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ONE_TASK_ROWS = 4_000_000
-BANDS = 256
+BAND_ROWS = 1_000_000
+MAX_BANDS = 4096
+EDGE_STEP = 64
 
 
 def is_bounded(group_bound: int | None) -> bool:
@@ -36,7 +38,7 @@ def running_before(
     order: Sequence[str],
     weights: Mapping[str, str],
     group_bound: int | None = None,
-    bands: int = BANDS,
+    band_rows: int = BAND_ROWS,
 ) -> DataFrame:
     """Add exclusive prefix sums of numeric columns inside each group.
 
@@ -53,17 +55,23 @@ def running_before(
         return df.withColumns({out: prefix(col, w) for out, col in weights.items()})
 
     keyed = df.withColumn("__key", F.struct(*order))
-    sizes = keyed.groupBy(*by).agg(F.count("*").alias("__rows"))
+    sizes = keyed.groupBy(*by).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > band_rows)
+    bands = F.least(F.lit(MAX_BANDS), F.ceil(F.col("__rows") / band_rows))
     stride = F.greatest(F.lit(1), (F.col("__rows") / bands).cast("bigint"))
     edges = (
         null_safe_join(keyed.select(*by, "__key"), sizes, by, "inner")
         .filter(F.pmod(F.xxhash64("__key"), stride) == 0)
         .groupBy(*by)
         .agg(F.sort_array(F.collect_set("__key")).alias("__edges"))
-    )
-    banded = null_safe_join(keyed, edges, by).withColumn(
-        "__band", F.coalesce(F.size(F.filter("__edges", lambda e: e <= F.col("__key"))), F.lit(0))
-    ).drop("__edges")
+    ).withColumn("__coarse", F.filter("__edges", lambda e, i: i % EDGE_STEP == 0))
+    banded = null_safe_join(keyed, edges, by)
+    # Two short searches in place of one long one: every 64th edge, then the 64 edges after it.
+    block = F.size(F.filter("__coarse", lambda e: e <= F.col("__key"))) - 1
+    inside = F.slice("__edges", F.col("__block") * EDGE_STEP + 1, F.lit(EDGE_STEP))
+    position = F.col("__block") * EDGE_STEP + F.size(F.filter(inside, lambda e: e <= F.col("__key")))
+    banded = banded.withColumn("__block", block).withColumn(
+        "__band", F.when(F.col("__block") >= 0, position).otherwise(0)
+    ).drop("__edges", "__coarse", "__block")
     totals = banded.groupBy(*by, "__band").agg(
         *[F.sum(col).alias(f"__t_{out}") for out, col in weights.items()]
     )
@@ -84,7 +92,7 @@ def add_average_ranks(
     keys: Sequence[str],
     group_bound: int | None = None,
     denominator: str | None = None,
-    bands: int = BANDS,
+    band_rows: int = BAND_ROWS,
 ) -> DataFrame:
     """Add tie-averaged ranks of several columns inside each `by` group.
 
@@ -111,7 +119,7 @@ def add_average_ranks(
     long = df.select(*keep, F.inline(F.array(*pairs)))
     group = [*by, "__out"]
     tied = long.filter(F.col("__value").isNotNull()).groupBy(*group, "__value").agg(F.count("*").alias("__n"))
-    placed = running_before(tied, group, ["__value"], {"__before": "__n"}, None, bands)
+    placed = running_before(tied, group, ["__value"], {"__before": "__n"}, None, band_rows)
     sizes = long.groupBy(*group).agg(F.count("__value").alias("__observed"), F.count("*").alias("__rows"))
     placed = null_safe_join(placed, sizes, group)
     rank = F.col("__before") + (F.col("__n") + 1) / 2.0
@@ -130,13 +138,13 @@ def add_positions(
     order: Sequence[str],
     out: str,
     group_bound: int | None = None,
-    bands: int = BANDS,
+    band_rows: int = BAND_ROWS,
 ) -> DataFrame:
     """Add the 1-based position inside each group; `order` must be unique there."""
     if is_bounded(group_bound):
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
     ones = df.withColumn("__one", F.lit(1).cast("bigint"))
-    placed = running_before(ones, by, order, {out: "__one"}, None, bands)
+    placed = running_before(ones, by, order, {out: "__one"}, None, band_rows)
     return placed.withColumn(out, (F.col(out) + 1).cast("bigint")).drop("__one")
 
 
@@ -146,7 +154,7 @@ def exact_quantiles(
     value: str,
     probabilities: Sequence[float],
     group_bound: int | None = None,
-    bands: int = BANDS,
+    band_rows: int = BAND_ROWS,
 ) -> DataFrame:
     """One row per group with linearly interpolated quantiles q0, q1, ... of `value`."""
     by = list(by)
@@ -156,7 +164,7 @@ def exact_quantiles(
             *[F.percentile(value, F.lit(float(p))).alias(f"q{i}") for i, p in enumerate(probabilities)]
         )
     tied = observed.groupBy(*by, F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
-    placed = running_before(tied, by, ["__value"], {"__before": "__n"}, None, bands)
+    placed = running_before(tied, by, ["__value"], {"__before": "__n"}, None, band_rows)
     placed = null_safe_join(placed, tied.groupBy(*by).agg(F.sum("__n").alias("__total")), by)
 
     def at(position: Column) -> Column:

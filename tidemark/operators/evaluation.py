@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import add_average_ranks, add_positions
+from tidemark.functions.ordered import add_average_ranks, add_positions, is_bounded
 from tidemark.functions.scalars import finite
 from tidemark.operators.diagnostics import rank_correlation
 from tidemark.operators.selection import top_per_group
@@ -60,17 +60,45 @@ def topk_metrics(
     prediction: str = "prediction",
     target: str = "target_excess_return",
     by: Sequence[str] = ("trade_date",),
+    group_bound: int | None = None,
 ) -> DataFrame:
     """Per date and k: overlap with the best realised names and the returns of the chosen ones.
 
-    Only the largest k rows of each end are kept per date, so the ordering is pruned before the
-    shuffle whatever the size of the cross-section.
+    Only the largest k rows of each end are kept per date. A cross-section of proven size is
+    ordered in one pass; otherwise each ordering is pruned to k rows before its shuffle.
     """
     by, most = list(by), max(ks)
     pairs = df.select(*by, "ticker", F.col(prediction).alias("p"), F.col(target).alias("y")).filter(
         finite(F.col("p")) & finite(F.col("y"))
     )
     universe = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.avg("y").alias("universe"))
+    if is_bounded(group_bound):
+        whole = Window.partitionBy(*by)
+        pairs = pairs.withColumns(
+            {
+                "place": F.row_number().over(whole.orderBy(F.col("p").desc(), "ticker")),
+                "truth": F.row_number().over(whole.orderBy(F.col("y").desc(), "ticker")),
+                "low": F.row_number().over(whole.orderBy("p", "ticker")),
+                "n": F.count(F.lit(1)).over(whole),
+                "universe": F.avg("y").over(whole),
+            }
+        ).filter((F.col("place") <= most) | (F.col("low") <= most))
+        sized = pairs.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
+        sized = sized.filter((F.col("place") <= F.col("k")) | (F.col("low") <= F.col("k")))
+        is_top, hit = F.col("place") <= F.col("k"), F.col("truth") <= F.col("k")
+        discount = 1.0 / F.log2(F.col("place") + 1.0)
+        joined = sized.groupBy(*by, "k").agg(
+            F.count(F.when(is_top & hit, 1)).alias("overlap"),
+            F.sum(F.when(is_top & hit, discount).otherwise(0.0)).alias("dcg"),
+            F.sum(F.when(is_top, discount)).alias("ideal"),
+            F.avg(F.when(is_top, F.col("y"))).alias("mean_future_return"),
+            F.percentile(F.when(is_top, F.col("y")), F.lit(0.5)).alias("median_future_return"),
+            F.avg(F.when(is_top, (F.col("y") > 0).cast("double"))).alias("hit_rate"),
+            F.avg(F.when(F.col("low") <= F.col("k"), F.col("y"))).alias("bottom"),
+            F.max("n").alias("n"),
+            F.max("universe").alias("universe"),
+        )
+        return _topk_columns(joined, by)
     chosen = top_per_group(pairs, by, [F.col("p").desc(), F.col("ticker")], most, "place")
     actual = top_per_group(pairs, by, [F.col("y").desc(), F.col("ticker")], most, "truth").select(*by, "ticker", "truth")
     lowest = top_per_group(pairs, by, [F.col("p").asc(), F.col("ticker")], most, "place")
@@ -90,7 +118,11 @@ def topk_metrics(
         F.percentile("y", F.lit(0.5)).alias("median_future_return"),
         F.avg((F.col("y") > 0).cast("double")).alias("hit_rate"),
     )
-    joined = tops.join(bottoms, [*by, "k"]).join(universe, by).filter(F.col("n") >= F.greatest(F.lit(3), F.col("k")))
+    return _topk_columns(tops.join(bottoms, [*by, "k"]).join(universe, by), by)
+
+
+def _topk_columns(joined: DataFrame, by: Sequence[str]) -> DataFrame:
+    joined = joined.filter(F.col("n") >= F.greatest(F.lit(3), F.col("k")))
     share = F.col("overlap") / F.col("k")
     above = F.col("mean_future_return") - F.col("universe")
     return joined.withColumns(

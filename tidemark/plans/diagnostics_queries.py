@@ -259,7 +259,8 @@ _TOPK_OUT = {
 
 @query("topk_metrics", S.with_(*FORECAST_SQL, *_EVAL, *_TOPK, select="SELECT trade_date, k, " + ", ".join(f"{r(v)} AS {c}" for c, v in _TOPK_OUT.items()) + " FROM topk"))
 def topk_metrics(spark, sf_dir):
-    rows = evaluation.topk_metrics(Market(spark, sf_dir).forecasts)
+    m = Market(spark, sf_dir)
+    rows = evaluation.topk_metrics(m.forecasts, group_bound=m.cross_section)
     return rows.select("trade_date", "k", *[rounded(F.col(c)).alias(c) for c in _TOPK_OUT])
 
 
