@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 
 def basket_terms(alpha: DataFrame, pairs: DataFrame, k: int, risk_aversion: float, horizon: int, bars_per_year: int = 252) -> tuple[DataFrame, DataFrame]:
     """Linear terms per name and joint terms per pair of an equal-weight basket of k names.
@@ -77,30 +79,35 @@ def basket_beam(
     terms = joint.groupBy("as_of").agg(
         F.map_from_entries(F.collect_list(F.struct(F.struct("asset_i", "asset_j"), F.col("joint")))).alias("joint")
     )
-    book = listed.join(terms, "as_of")
-    first = names.select(
+    # Pair terms as a square table over the listed order, so that a lookup is by position.
+    cell = lambda a, b: F.col("joint")[F.struct(a["ticker"].alias("asset_i"), b["ticker"].alias("asset_j"))]
+    square = F.transform("names", lambda a: F.transform("names", lambda b: cell(a, b)))
+    # Read once per level; one row per date, so its lineage is cut.
+    book = cut_lineage(listed.join(terms, "as_of").select("as_of", "names", square.alias("joint")))
+    beam = book.select("as_of", F.posexplode("names").alias("p", "c")).select(
         "as_of",
-        F.array("ticker").alias("members"),
-        F.array("issuer_id").alias("issuers"),
-        F.array("sector").alias("sectors"),
-        F.col("linear").alias("utility"),
+        F.array("p").alias("places"),
+        F.array("c.ticker").alias("members"),
+        F.array("c.issuer_id").alias("issuers"),
+        F.array("c.sector").alias("sectors"),
+        F.col("c.linear").alias("utility"),
     )
-    beam = first
     for _ in range(k - 1):
         grown = beam.join(F.broadcast(book), "as_of").select(
-            "as_of", "members", "issuers", "sectors", "utility", "joint", F.explode("names").alias("c")
+            "as_of", "places", "members", "issuers", "sectors", "utility", "joint", F.posexplode("names").alias("p", "c")
         )
         same_sector = F.size(F.filter("sectors", lambda s: s == F.col("c.sector")))
         allowed = (
-            (F.col("c.ticker") > F.element_at("members", -1))
+            (F.col("p") > F.element_at("places", -1))
             & ~F.array_contains("issuers", F.col("c.issuer_id"))
             & (same_sector < most)
         )
         together = F.aggregate(
-            "members", F.lit(0.0), lambda s, m: s + F.col("joint")[F.struct(m.alias("asset_i"), F.col("c.ticker").alias("asset_j"))]
+            "places", F.lit(0.0), lambda s, i: s + F.col("joint")[i][F.col("p")]
         )
         beam = grown.filter(allowed).select(
             "as_of",
+            F.array_append("places", F.col("p")).alias("places"),
             F.array_append("members", F.col("c.ticker")).alias("members"),
             F.array_append("issuers", F.col("c.issuer_id")).alias("issuers"),
             F.array_append("sectors", F.col("c.sector")).alias("sectors"),

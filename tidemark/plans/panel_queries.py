@@ -184,11 +184,10 @@ def investible_targets(spark, sf_dir):
 )
 def signals_with_universe_defaults(spark, sf_dir):
     m = Market(spark, sf_dir)
-    # Month-ends are one row per month; each ticker is paired with every one of them.
-    dates = m.calendar.agg(F.collect_list("trade_date").alias("dates"))
-    wanted = m.table("supplier").select(F.col("s_suppkey").alias("ticker")).join(F.broadcast(dates)).select(
-        "ticker", F.explode("dates").alias("trade_date")
-    )
+    # Every ticker is asked for at every month-end; the list has one date per month.
+    dates = m.calendar.agg(F.sort_array(F.collect_list("trade_date"))).scalar()
+    asked = m.table("supplier").select(F.col("s_suppkey").alias("ticker"), dates.alias("dates"))
+    wanted = asked.select("ticker", F.explode("dates").alias("trade_date"))
     joined = universe.attach_universe(wanted, m.universe)
     return joined.select("ticker", "trade_date", "quote_observed", "universe_eligible", "universe_rejection_reason")
 
