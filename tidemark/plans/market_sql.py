@@ -151,7 +151,7 @@ cumulative AS (
          CAST(sum(total) OVER (PARTITION BY issuer_id ORDER BY q) AS DOUBLE) AS assets
   FROM quarters),
 first_facts AS (
-  SELECT issuer_id, period_start, period_end, received, 1 AS version, '1' AS account, assets AS value FROM cumulative
+  SELECT issuer_id, period_start, period_end, received, CAST(1 AS BIGINT) AS version, '1' AS account, assets AS value FROM cumulative
   UNION ALL SELECT issuer_id, period_start, period_end, received, 1, '3.01', revenue FROM cumulative
   UNION ALL SELECT issuer_id, period_start, period_end, received, 1, '3.11', income FROM cumulative
   UNION ALL SELECT issuer_id, period_start, period_end, received, 1, '2.03', assets - revenue FROM cumulative
@@ -159,7 +159,7 @@ first_facts AS (
 facts AS (
   SELECT * FROM first_facts
   UNION ALL
-  SELECT issuer_id, period_start, period_end, received + 45, 2, account, value * CAST(1.01 AS DOUBLE)
+  SELECT issuer_id, period_start, period_end, received + 45, CAST(2 AS BIGINT), account, value * CAST(1.01 AS DOUBLE)
   FROM first_facts WHERE issuer_id % 5 = 0)"""
 
 ACTIONS = """actions AS (

@@ -38,10 +38,10 @@ def invalid_prices(spark, sf_dir):
 
 @query(
     "duplicate_keys",
-    """SELECT l_suppkey, l_shipdate, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""",
+    """SELECT l_suppkey, CAST(l_shipdate AS DATE) AS l_shipdate, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""",
 )
 def duplicate_keys(spark, sf_dir):
-    lines = Market(spark, sf_dir).table("lineitem")
+    lines = Market(spark, sf_dir).table("lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
     return quality.duplicate_keys(lines, ["l_suppkey", "l_shipdate"])
 
 

@@ -53,8 +53,8 @@ def quote_lines(m: Market):
 
 @query(
     "quotes_fixed_width",
-    f"""SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS trade_date, count(*) AS quotes, sum(CAST(l_linenumber AS BIGINT)) AS trades,
-        sum(CAST(l_quantity AS BIGINT)) AS quantity, {r('max(l_extendedprice)', 2)} AS max_close, {r('min(l_extendedprice)', 2)} AS min_value, CAST(7 AS BIGINT) AS distribution_number
+    f"""SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS trade_date, count(*) AS quotes, CAST(sum(l_linenumber) AS BIGINT) AS trades,
+        CAST(sum(l_quantity) AS BIGINT) AS quantity, {r('max(l_extendedprice)', 2)} AS max_close, {r('min(l_extendedprice)', 2)} AS min_value, CAST(7 AS BIGINT) AS distribution_number
       FROM lineitem WHERE l_linenumber <> 7 AND l_returnflag <> 'R' AND l_linestatus = 'O' GROUP BY 1, 2""",
 )
 def quotes_fixed_width(spark, sf_dir):
