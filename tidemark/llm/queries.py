@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import urls
 from tidemark.llm.common import table
+from tidemark.llm.fingerprints import edited_fingerprints
 from tidemark.llm.packing import packed
 from tidemark.llm.tokens import token_counts
+from tidemark.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +42,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_token_counts")
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@register("op8_document_fingerprints")
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@register("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op10_url_filters", urls.SQL)
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.page_verdicts(table(spark, sf_dir, "pages"))
