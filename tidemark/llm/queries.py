@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import urls
 from tidemark.llm.common import table
+from tidemark.llm.decontamination import leaks
 from tidemark.llm.fingerprints import edited_fingerprints
 from tidemark.llm.packing import packed
+from tidemark.llm.pii import pii_digest
 from tidemark.llm.tokens import token_counts
 from tidemark.llm.toxicity import toxicity
 
@@ -34,6 +36,11 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+@register("op1_decontamination")
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), vocabulary())
@@ -44,6 +51,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+@register("op7_personal_data")
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 @register("op8_document_fingerprints")
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
