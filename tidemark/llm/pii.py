@@ -26,7 +26,7 @@ KINDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What every match of a kind contains; texts without it skip the search.
-MARKS = {"email": F.col("text").contains("@"), "ip": F.col("text").rlike(r"[0-9]\.[0-9]"), "card": F.col("text").rlike("[0-9]"), "phone": F.col("text").contains("+")}
+MARKS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+"}
 #: Words that may be an identifier: with a digit, an at sign or a spelled-out one.
 INSTANCE = r"(?<!\S)(?:[^\s0-9@]*+[0-9@]\S*+|[^\s(\[]*+[(\[]at[)\]]\S*+)"
 INSTANCE_MARK = r"[0-9@]|[(\[]at[)\]]"
@@ -41,7 +41,7 @@ LEAST_SEEDS = 3
 SPANS = "array<struct<start:bigint,end:bigint,value:string,before:string>>"
 
 
-def spans_of(text: Column, pattern: str, mark: Column) -> Column:
+def spans_of(text: Column, pattern: str, mark: str) -> Column:
     """All matches as (start, end, value, before): places in code points, `before` the text up to CONTEXT characters ahead.
 
     The pieces between matches and the matches themselves are walked together, which gives the places.
@@ -56,7 +56,7 @@ def spans_of(text: Column, pattern: str, mark: Column) -> Column:
         own = F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), x["m"].alias("value"), F.substring(x["p"], -CONTEXT, CONTEXT).alias("before"))
         return F.struct(end.cast("bigint").alias("at"), F.array_append(acc["spans"], own).alias("spans"))
 
-    return F.when(mark, F.aggregate(steps, empty, walk)["spans"]).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(mark), F.aggregate(steps, empty, walk)["spans"]).otherwise(F.array().cast(SPANS))
 
 
 def _digits(c: Column) -> Column:
@@ -105,7 +105,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     touches, else null.
     """
     with_text = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    found = with_text.withColumns({f"_{k}": F.filter(spans_of(F.col("text"), p, MARKS[k]), _valid_of(k)) for k, p in KINDS.items()} | {"_instance": spans_of(F.col("text"), INSTANCE, F.col("text").rlike(INSTANCE_MARK))})
+    found = with_text.withColumns({f"_{k}": F.filter(spans_of(F.col("text"), p, MARKS[k]), _valid_of(k)) for k, p in KINDS.items()} | {"_instance": spans_of(F.col("text"), INSTANCE, INSTANCE_MARK)})
     each = [F.transform(f"_{k}", _ranked_as(i, k)) for i, k in enumerate(KINDS)]
     base = F.array_sort(F.concat(*each))
     trimmed = F.transform("_instance", lambda s: F.struct((s["start"] + F.length(s["value"]) - F.length(F.regexp_replace(s["value"], r"""^["'(<\[{.,;:!?]+""", ""))).alias("start"), F.regexp_replace(F.regexp_replace(s["value"], r"""^["'(<\[{.,;:!?]+""", ""), r"""[.,;:!?"')>\]}]+$""", "").alias("value"), s["before"].alias("before")))

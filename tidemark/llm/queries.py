@@ -10,6 +10,7 @@ from tidemark.llm import urls
 from tidemark.llm.common import table
 from tidemark.llm.decontamination import leaks
 from tidemark.llm.fingerprints import edited_fingerprints
+from tidemark.llm.jaccard import near_duplicates
 from tidemark.llm.packing import packed
 from tidemark.llm.pii import pii_digest
 from tidemark.llm.tokens import token_counts
@@ -41,6 +42,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@register("op4_ngram_jaccard_join")
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @register("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), vocabulary())
