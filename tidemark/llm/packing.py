@@ -8,6 +8,7 @@ and every piece finds its place by its rank among the pieces of its length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,16 +26,78 @@ DEPTH = 6
 TRIES = 4
 STEPS = 300
 
-_encoders: dict[str, tuple] = {}
+#: Letters that normalisation leaves alone but for case, then marks that the vocabulary splits from letters.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Words of one call of the library.
+TOGETHER = 4000
+SLICE = 6_000_000
 
 
-def encoder(path: str):
-    """The library's tokenizer and the words this worker has encoded."""
-    if path not in _encoders:
+class Encoder:
+    """The library's tokenizer with what this worker has already encoded.
+
+    Plain words are encoded many at a time and told apart by their end-of-word tokens; if those don't come out one per
+    word, and for all other words, each is encoded alone.
+    """
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tokenizers
 
-        _encoders[path] = (tokenizers.Tokenizer.from_file(path), {})
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closing[i] = token.endswith("</w>")
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def alone(self, names: list[str]) -> Iterator[tuple[str, bytes]]:
+        for word, found in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False), strict=True):
+            yield word, np.array(found.ids, "<u4").tobytes()
+
+    def together(self, names: list[str]) -> Iterator[tuple[str, bytes]]:
+        for i in range(0, len(names), TOGETHER):
+            some = names[i : i + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.closing[ids]) + 1) * 4
+            if len(ends) != len(some):
+                yield from self.alone(some)
+                continue
+            coded, begin = ids.tobytes(), 0
+            for word, end in zip(some, ends.tolist(), strict=True):
+                yield word, coded[begin:end]
+                begin = end
+
+    def encode(self, names: list[str]) -> list[bytes]:
+        """Identifiers of distinct words as little-endian unsigned 32-bit numbers."""
+        known, parts = self.known, self.parts
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        if len(parts) > KEPT_WORDS:
+            parts.clear()
+            parts[""] = b""
+        split, odd = [], []
+        for word in names:
+            if word not in known:
+                if found := SIMPLE.fullmatch(word):
+                    split.append((word, found[1].lower(), found[2]))
+                else:
+                    odd.append(word)
+        known.update(self.alone(odd))
+        parts.update(self.alone([*{m for _, _, m in split if m not in parts}]))
+        parts.update(self.together([*{w for _, w, _ in split if w not in parts}]))
+        for word, letters, marks in split:
+            known[word] = parts[letters] + parts[marks]
+        return [known[w] for w in names]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One per worker process and vocabulary."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -44,15 +107,8 @@ def token_ids(raw: np.ndarray, offsets: np.ndarray, path: str, end_id: int) -> t
     For vocabularies that drop white space a text's identifiers are those of its words one after another, so each
     distinct word is encoded once.
     """
-    tokenizer, known = encoder(path)
     names, index, first = distinct_words(raw, offsets)
-    fresh = [w for w in names if w not in known]
-    if len(known) + len(fresh) > KEPT_WORDS:
-        known.clear()
-        fresh = names
-    for word, found in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-        known[word] = np.array(found.ids, "<u4").tobytes()
-    coded = [known[w] for w in names]
+    coded = encoder(path).encode(names)
     flat = np.frombuffer(b"".join(coded), "<u4")
     sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
     begin = np.cumsum(sizes) - sizes
@@ -78,7 +134,7 @@ def cut_documents(docs: DataFrame, path: str, window: int, end_id: int) -> DataF
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = buffer(batch.column(1))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE):
                 ids, at = token_ids(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], path, end_id)
                 counts = np.diff(at)
                 parts = -(-counts // window)
