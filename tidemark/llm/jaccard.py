@@ -11,7 +11,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, Rolling, buffer, mixed, slices, stored, words
+from tidemark.llm.sketch import CountSketch, cell
 
 SHINGLE = 5
 #: Two sets link when 7 * common >= 3 * (sizes' sum): a Jaccard similarity of 0.75.
-#: Cells of each of the sketch's two rows, in parts of so many cells.
-CELLS, PART = 1 << 20, 1 << 15
 #: A shingle this many doublings above the mean cell is known to be shared and needs no counting; its postings stay spread out.
 HOT_LEVEL = 6
 HEAD_ROUNDS = 2
@@ -62,7 +60,7 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
     """Rows doc_id, key, n_shingles, gid for documents; and rows part, counts (compressed) of the task's sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros((2, CELLS), np.uint32)
+        sketch = CountSketch(2)
         names = ["doc_id", "key", "n_shingles", "gid", "part", "counts"]
         kind = None
         for batch in batches:
@@ -77,11 +75,11 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
                 if sets:
                     every = np.concatenate(sets)
                     for row in range(2):
-                        sketch[row] += np.bincount(cell(every, row), minlength=CELLS).astype(np.uint32)
+                        sketch.add(row, every)
             none = pa.nulls(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), binaries(ids), none.cast(pa.int32()), none.cast(pa.binary())], names)
         if kind is not None:
-            parts = [(k, zlib.compress(sketch.reshape(-1)[k * PART : (k + 1) * PART].tobytes(), 1)) for k in range(2 * CELLS // PART)]
+            parts = sketch.parts()
             none = pa.nulls(len(parts))
             yield pa.RecordBatch.from_arrays([none.cast(kind), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([p[0] for p in parts], pa.int32()), binaries([p[1] for p in parts])], names)
 
@@ -89,30 +87,6 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
     return docs.selectExpr("doc_id", "text", KEY).mapInArrow(work, f"doc_id {kind}, key long, n_shingles long, gid binary, part int, counts binary")
 
 
-def cell(hashes: np.ndarray, row: int) -> np.ndarray:
-    return ((hashes >> np.uint64(20 * row + 8)) & np.uint64(CELLS - 1)).astype(np.int64)
-
-
-def _levels(profile: DataFrame) -> np.ndarray:
-    """The summed sketch as doublings above the mean cell: two rows of CELLS bytes, whatever the input's size."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.int64)
-        for part, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), binaries([total.tobytes()])], ["part", "total"])
-
-    parts = profile.where("part is not null").select("part", "counts").repartition(2 * CELLS // PART, "part").mapInArrow(add, "part int, total binary")
-    total = np.zeros(2 * CELLS, np.int64)
-    for row in parts.collect():  # 2 * CELLS numbers
-        total[row["part"] * PART : (row["part"] + 1) * PART] = np.frombuffer(row["total"], np.int64)
-    total = total.reshape(2, CELLS)
-    mean = max(1.0, total[0].sum() / CELLS)
-    return np.floor(np.log2(np.maximum(total / mean, 1))).clip(0, 63).astype(np.uint8)
-
-
 def _prefixes(docs: DataFrame, levels, size: int, buckets: int) -> DataFrame:
     """Postings (token, grp, n, pos) of prefix shingles that several groups share, and members (grp, gid, n) without a token.
 
@@ -289,7 +263,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """
     spark = docs.sparkSession
     profile = stored(_profile(docs, size), "profile")
-    levels = spark.sparkContext.broadcast(_levels(profile))  # 2 * CELLS bytes
+    levels = spark.sparkContext.broadcast(CountSketch.levels(profile.where("part is not null").select("part", "counts"), 2))  # of fixed size
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     prefixes = stored(_prefixes(docs, levels, size, buckets), "prefixes")
     people = profile.where("part is null").select("doc_id", "key", "n_shingles", "gid")

@@ -13,6 +13,8 @@ from tidemark.llm.fingerprints import edited_fingerprints
 from tidemark.llm.jaccard import near_duplicates
 from tidemark.llm.packing import packed
 from tidemark.llm.pii import pii_digest
+from tidemark.llm.suffix_array import dedup_bytes
+from tidemark.llm.suffix_tree import dedup_words
 from tidemark.llm.tokens import token_counts
 from tidemark.llm.toxicity import toxicity
 
@@ -42,6 +44,16 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@register("op2_suffix_array_dedup")
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@register("op3_substring_dedup")
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @register("op4_ngram_jaccard_join")
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
