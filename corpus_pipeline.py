@@ -1,8 +1,56 @@
-"""Clean a corpus: toxicity, near duplicates, benchmark leaks, personal data, packing."""
+"""Clean a corpus: toxicity, near duplicates, benchmark leaks, personal data, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. Stages that only filter or mask
+return the columns of documents; the last returns pieces of token sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm.common import stored, table
+from tidemark.llm.decontamination import without_leaks
+from tidemark.llm.jaccard import one_of_each
+from tidemark.llm.packing import packed
+from tidemark.llm.pii import masked
+from tidemark.llm.queries import vocabulary
+from tidemark.llm.toxicity import without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar scores as toxic go."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that with the smallest id."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark item, re-parameterised or not, go."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return masked(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of 2048."""
+    return packed(docs, vocabulary())
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("packing", packing)]
+
+#: The grammar, components and sequences are not SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each result written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs

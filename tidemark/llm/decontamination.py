@@ -160,3 +160,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.when(F.size("slots") > 0, parameters / F.size("slots")).otherwise(1.0).alias("consistency"),
     )
     return judged.where((F.col("coverage") >= COVERED) & (F.col("consistency") >= CONSISTENT))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id has no leak."""
+    found = leaks(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["__leaked"]), "left_anti")

@@ -57,11 +57,11 @@ KEY = "coalesce(cast(doc_id as bigint), xxhash64(text)) as key"
 
 
 def _profile(docs: DataFrame, size: int) -> DataFrame:
-    """Rows doc_id, key, n_shingles, gid for documents; and rows part, counts (compressed) of the task's sketch."""
+    """Rows doc_id, key, text_key, n_shingles, gid for documents; and rows part, counts (compressed) of the task's sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = CountSketch(2)
-        names = ["doc_id", "key", "n_shingles", "gid", "part", "counts"]
+        names = ["doc_id", "key", "text_key", "n_shingles", "gid", "part", "counts"]
         kind = None
         for batch in batches:
             kind = batch.column(0).type
@@ -77,14 +77,14 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
                     for row in range(2):
                         sketch.add(row, every)
             none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), binaries(ids), none.cast(pa.int32()), none.cast(pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), binaries(ids), none.cast(pa.int32()), none.cast(pa.binary())], names)
         if kind is not None:
             parts = sketch.parts()
             none = pa.nulls(len(parts))
-            yield pa.RecordBatch.from_arrays([none.cast(kind), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([p[0] for p in parts], pa.int32()), binaries([p[1] for p in parts])], names)
+            yield pa.RecordBatch.from_arrays([none.cast(kind), *[none.cast(pa.int64())] * 3, none.cast(pa.binary()), pa.array([p[0] for p in parts], pa.int32()), binaries([p[1] for p in parts])], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.selectExpr("doc_id", "text", KEY).mapInArrow(work, f"doc_id {kind}, key long, n_shingles long, gid binary, part int, counts binary")
+    return docs.selectExpr("doc_id", "text", KEY, "xxhash64(text) as text_key").mapInArrow(work, f"doc_id {kind}, key long, text_key long, n_shingles long, gid binary, part int, counts binary")
 
 
 def _prefixes(docs: DataFrame, levels, size: int, buckets: int) -> DataFrame:
@@ -254,19 +254,14 @@ def _expanded(pairs: DataFrame, members: DataFrame, labels: DataFrame | None) ->
 FITS = "7 * least({x}.n - {x}.pos, {y}.n - {y}.pos) >= 3 * ({x}.n + {y}.n)"
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document.
-
-    Null and empty texts and texts without words have an empty set and stay alone. Copies of one set share a component by
-    its identity and make no pairs. Null doc_ids are linked like others and never name a component unless all of its
-    ids are null. Rows with one doc_id are each judged by their own text. An empty table gives no rows.
-    """
+def linked(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, text_key, n_shingles and label of every row: rows with equal labels and a shingle are one component."""
     spark = docs.sparkSession
     profile = stored(_profile(docs, size), "profile")
     levels = spark.sparkContext.broadcast(CountSketch.levels(profile.where("part is not null").select("part", "counts"), 2))  # of fixed size
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     prefixes = stored(_prefixes(docs, levels, size, buckets), "prefixes")
-    people = profile.where("part is null").select("doc_id", "key", "n_shingles", "gid")
+    people = profile.where("part is null").select("doc_id", "key", "text_key", "n_shingles", "gid")
     members = prefixes.where("token is null").groupBy("grp", "gid").agg(F.first("n").alias("n"))
     several = members.groupBy("grp").agg(F.count("*").alias("k"), F.min("gid").alias("head")).where("k > 1")
     postings = prefixes.where("token is not null").select("token", "grp", "n", "pos").withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3))))
@@ -305,6 +300,35 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     last = stored(_verified(_expanded(rest.unionByName(inside), live, labels), sets), "links_rest")
     final = components(links.unionByName(last))
 
-    named = people.join(final, F.col("gid") == F.col("node"), "left").select("doc_id", "n_shingles", "gid", F.coalesce("label", "gid").alias("label"))
+    return people.join(final, F.col("gid") == F.col("node"), "left").select("doc_id", "text_key", "n_shingles", F.coalesce("label", "gid").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id for every document: the smallest doc_id that links lead to.
+
+    Null and empty texts and texts without words have an empty set and stay alone. Copies of one set share a component by
+    its identity and make no pairs. Null doc_ids are linked like others and never name a component unless all of its
+    ids are null. Rows with one doc_id are each judged by their own text. An empty table gives no rows.
+    """
+    named = linked(docs, size)
     smallest = named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least_id"))
     return named.join(smallest, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """docs, all columns, with one row of each component: that of the smallest doc_id (null last, then by a hash of the text).
+
+    Rows without a word link with nothing and all stay. Of rows equal in doc_id and text one stays.
+    """
+    named = stored(linked(docs, size), "linked")
+    first = named.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")).alias("k"))
+    chosen = first.select("k.doc_id", "k.text_key")
+    rows = named.where("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"))
+    empty = named.where("n_shingles = 0").select("doc_id", "text_key").distinct().withColumn("rows", F.lit(1))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
+    kept = chosen.join(rows, same(chosen, rows)).select(chosen["doc_id"], chosen["text_key"], "rows").unionByName(empty).alias("k")
+    keyed = docs.withColumn("__text_key", F.xxhash64("text")).alias("d")
+    joined = keyed.join(kept, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__text_key") == F.col("k.text_key"))).select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("k.rows").alias("__rows"), "__text_key")
+    once = joined.where("__rows = 1")
+    again = joined.where("__rows > 1").dropDuplicates(["doc_id", "__text_key"])
+    return once.unionByName(again).drop("__rows", "__text_key")

@@ -143,17 +143,17 @@ def personal_data(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     get the same spans; null ids are kept. Added spans never overlap base spans and carry the kind of their pattern.
     """
     keep = keep or ["doc_id"]
-    keyed = docs.select(*keep, "text").withColumns({"_h1": F.xxhash64("text"), "_h2": F.xxhash64("text", F.lit(1))})
+    keyed = docs.select(*keep, "text").withColumns({"__h1": F.xxhash64("text"), "__h2": F.xxhash64("text", F.lit(1))})
     first = stored(base_spans(keyed).drop("text"), "spans")
-    rows = first.where(F.size("instances") > 0).select("doc_id", "_h1", "_h2", F.explode("instances").alias("i")).select("doc_id", "_h1", "_h2", "i.*")
+    rows = first.where(F.size("instances") > 0).select("doc_id", "__h1", "__h2", F.explode("instances").alias("i")).select("doc_id", "__h1", "__h2", "i.*")
     patterns = confident_patterns(rows)
     ranks = F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)))
     new = rows.where("kind is null").drop("kind").join(patterns, "pattern")
-    added = new.groupBy("doc_id", "_h1", "_h2").agg(F.collect_set(F.struct("start", ranks[F.col("kind")].alias("rank"), "end", "kind")).alias("added"))
+    added = new.groupBy("doc_id", "__h1", "__h2").agg(F.collect_set(F.struct("start", ranks[F.col("kind")].alias("rank"), "end", "kind")).alias("added"))
     a, b = first.alias("a"), added.alias("b")
-    joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._h1") == F.col("b._h1")) & (F.col("a._h2") == F.col("b._h2")), "left").select("a.*", "b.added")
+    joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.__h1") == F.col("b.__h1")) & (F.col("a.__h2") == F.col("b.__h2")), "left").select("a.*", "b.added")
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>"))))
-    return joined.select(*keep, "_h1", "_h2", "base", spans.alias("spans"))
+    return joined.select(*keep, "__h1", "__h2", "base", spans.alias("spans"))
 
 
 def _listed(c: str) -> Column:
@@ -168,10 +168,10 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """docs with every span replaced by `<KIND>` (of overlapping spans the first); all other columns as they are."""
-    found = personal_data(docs).where(F.size("spans") > 0).select("doc_id", "_h1", "_h2", "spans").dropDuplicates(["doc_id", "_h1", "_h2"])
-    keyed = docs.withColumns({"_h1": F.xxhash64("text"), "_h2": F.xxhash64("text", F.lit(1))}).alias("d")
-    joined = keyed.join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d._h1") == F.col("f._h1")) & (F.col("d._h2") == F.col("f._h2")), "left")
+    """docs with every span replaced by `<KIND>` (of overlapping spans the first); n_chars follows, other columns stay."""
+    found = personal_data(docs).where(F.size("spans") > 0).select("doc_id", "__h1", "__h2", "spans").dropDuplicates(["doc_id", "__h1", "__h2"])
+    keyed = docs.withColumns({"__h1": F.xxhash64("text"), "__h2": F.xxhash64("text", F.lit(1))}).alias("d")
+    joined = keyed.join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.__h1") == F.col("f.__h1")) & (F.col("d.__h2") == F.col("f.__h2")), "left")
     empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def cover(acc: Column, s: Column) -> Column:
@@ -182,4 +182,5 @@ def masked(docs: DataFrame) -> DataFrame:
         return F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("d.text"), acc["at"].cast("int") + 1, F.length(F.col("d.text"))))
 
     text = F.when(F.col("f.spans").isNull(), F.col("d.text")).otherwise(F.aggregate("f.spans", empty, cover, whole))
-    return joined.select(*(text.alias("text") if c == "text" else F.col(f"d.{c}") for c in docs.columns))
+    length = F.when(F.col("f.spans").isNull(), F.col("d.n_chars")).otherwise(F.length(text)) if "n_chars" in docs.columns else None
+    return joined.select(*(text.alias("text") if c == "text" else length.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"d.`{c}`") for c in docs.columns))

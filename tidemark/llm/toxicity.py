@@ -206,13 +206,25 @@ def weights(lexicon: dict[str, float]):
     return weigh
 
 
+def scorer(docs: DataFrame, labels: DataFrame):
+    """Fit on the labelled rows of docs; a function from a text column to weight and one from weight to score."""
+    lexicon, slope, intercept = fit(docs, labels)
+    return weights(lexicon), lambda weight: 1 / (1 + F.exp(-(slope * F.log1p(weight) + intercept)))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and weight of every row, by text alone.
 
     Null and empty texts get the score of a text without a match. Null labels and null ids teach nothing; a repeated
     label row counts once, toxic if any is. Rows of docs are kept as they are, repeated or not.
     """
-    lexicon, slope, intercept = fit(docs, labels)
-    scored = docs.select("doc_id", weights(lexicon)(F.col("text")).alias("weight"))
-    score = 1 / (1 + F.exp(-(slope * F.log1p("weight") + intercept)))
+    weigh, score_of = scorer(docs, labels)
+    scored = docs.select("doc_id", weigh(F.col("text")).alias("weight"))
+    score = score_of(F.col("weight"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= SHOWN).cast("int").alias("predicted"), "weight")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose score is below SHOWN."""
+    weigh, score_of = scorer(docs, labels)
+    return docs.withColumn("__weight", weigh(F.col("text"))).where(score_of(F.col("__weight")) < SHOWN).drop("__weight")
