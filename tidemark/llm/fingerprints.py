@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 #: Samples in each octave of steps, and rows of the random table (steps use it in turn).
 SAMPLES = 48
 PERIOD = 4096
+BLOCK = 1 << 20
 #: Cells of the id range that are counted to deal documents out in order.
 CELLS = 65_536
 #: Samples of one band of the near-duplicate search.
@@ -33,20 +34,26 @@ HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One byte (1 to 255) per character, four zeros after each text; the digit of the four characters from each place; starts."""
+    """One byte (1 to 255) per character, four zeros after each text; the digit of the four characters from each place; starts.
+
+    Wide arrays exist for BLOCK characters at a time only.
+    """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.cumsum(sizes + 4) - sizes - 4
-    code = np.frombuffer("\0\0\0\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    place = np.ones(len(code), bool)
-    for k in range(4):
-        place[starts + sizes + k] = False
-    small = np.zeros(len(code) + 4, np.uint8)
-    small[: len(code)][place] = ((code[place] * np.uint32(2654435761)) >> np.uint32(8)) % np.uint32(255) + np.uint32(1)
-    mix = np.zeros(len(code), np.uint32)
-    for k in range(4):
-        mix = mix * np.uint32(0x01000193) + small[k : len(code) + k]
-        mix ^= mix >> np.uint32(15)
-    return small, ((mix * np.uint32(0x85EBCA6B)) >> np.uint32(28)).astype(np.uint8), starts
+    total = int((sizes + 4).sum())
+    small, digit = np.zeros(total + 4, np.uint8), np.empty(total, np.uint8)
+    for own, begin in zip(texts, starts.tolist(), strict=True):
+        for a in range(0, len(own), BLOCK):
+            code = np.frombuffer(own[a : a + BLOCK].encode("utf-32-le", "surrogatepass"), np.uint32)
+            small[begin + a : begin + a + len(code)] = ((code * np.uint32(2654435761)) >> np.uint32(8)) % np.uint32(255) + np.uint32(1)
+    for a in range(0, total, BLOCK):
+        b = min(total, a + BLOCK)
+        mix = np.zeros(b - a, np.uint32)
+        for k in range(4):
+            mix = mix * np.uint32(0x01000193) + small[a + k : b + k]
+            mix ^= mix >> np.uint32(15)
+        digit[a:b] = (mix * np.uint32(0x85EBCA6B)) >> np.uint32(28)
+    return small, digit, starts
 
 
 def fingerprints(texts: list[str]) -> list[str]:
