@@ -157,3 +157,12 @@ def test_issuer_cap_and_rejections(spark):
     assert [r["ticker"] for r in selection.topk_with_issuer_cap(usable, "score", 2).orderBy("rank").collect()] == ["A1", "D1"]
     reasons = {r["ticker"]: r["reason"] for r in selection.rejected_before_cutoff(df, "score", 2).collect()}
     assert reasons == {"A2": "issuer_share_class_cap", "B1": "missing_price_history", "C1": "no_observed_execution_quote"}
+
+
+def test_names_without_an_issuer_are_told_apart_by_their_root(spark):
+    from tidemark.operators import selection
+
+    rows = [("AAAA3", None, 6.0), ("AAAA4", None, 5.0), ("BBBB3", None, 4.0), ("CCCC3", "9", 3.0), ("DDDD3", "9", 2.0), ("EEEE3", None, 1.0)]
+    df = spark.createDataFrame([("2024-01-31", *r) for r in rows], "trade_date string, ticker string, issuer_id string, score double")
+    got = selection.topk_with_issuer_cap(df, "score", 5).orderBy("rank").collect()
+    assert [r["ticker"] for r in got] == ["AAAA3", "BBBB3", "CCCC3", "EEEE3"]

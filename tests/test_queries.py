@@ -9,15 +9,17 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from tidemark.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["prices_panel", "momentum_topk_monthly", "pit_universe", "asof_fundamentals", "split_factor", "drift_moments", "turnover"]
+SAMPLE = ["topk_missing_issuers", "stream_dedupe", "checked_join", "quarantined_prices", "partitioned_orders", "weight_sanity", "finite_signals", "invalid_prices", "prices_panel", "momentum_topk_monthly", "pit_universe", "asof_fundamentals", "split_factor", "drift_moments", "turnover"]
 
 
 def test_registry():
     queries, oracles = entry_module.queries(), entry_module.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) >= 100
-    assert len(set(queries) - set(oracles)) <= 6
+    # Iterative search, a choice that depends on the date before, and fitted models; the training-data operators keep their own list.
+    assert set(QUERIES) - set(ORACLES) == {"basket_beam", "hysteresis", "ensemble_predictions", "walk_forward_ic", "policy_grid"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")

@@ -144,3 +144,46 @@ def test_streaming_hysteresis_equals_batch(spark, tmp_path):
         query.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     whole = spark.createDataFrame([r for b in batches for r in b], schema)
     assert sorted(collected) == sorted((r["trade_date"], r["ticker"]) for r in book.hysteresis_selection(whole, 2, 1).collect())
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+def test_late_events_are_not_lost(spark, tmp_path, order):
+    days = [[(date(2024, 1, 1 + 9 * f), u, datetime(2024, 1, 1 + 9 * f, h), 1.0) for u in range(4) for h in (3, 5)] for f in range(3)]
+    source = str(tmp_path / "in")
+    for i in order:
+        spark.createDataFrame(days[i], EVENT).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(source)
+    events.ingest(stream, str(tmp_path / "table"), str(tmp_path / "state"), "day", ["day", "user_id"], ["ts"])
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 12
+    query = events.deduplicated(stream, ["day", "user_id"]).writeStream.format("parquet").option("path", str(tmp_path / "d")).option("checkpointLocation", str(tmp_path / "s2"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "d")).count() == 12
+
+
+def test_event_queries_read_a_folder_of_files(spark, tmp_path):
+    from tidemark.plans import QUERIES
+
+    table = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    table.orderBy(F.col("ts").desc()).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    expected = table.select("user_id", "event_type", F.col("ts").cast("date")).distinct().count()
+    assert QUERIES["stream_dedupe"](spark, str(tmp_path)).count() == QUERIES["stream_upsert"](spark, str(tmp_path)).count() == expected
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from tidemark import session
+
+    context = SimpleNamespace(master="spark://head:7077", getConf=lambda: {}, applicationId="x")
+    with pytest.raises(ValueError, match="share"):
+        session.shared_folder(SimpleNamespace(conf={}, sparkContext=context))
+
+
+def test_checked_join_stops_on_a_repeated_key(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k long, x string")
+    right = spark.createDataFrame([(1, "p"), (2, "q")], "k long, y string")
+    assert quality.checked_join(left, right, ["k"]).count() == 3
+    with pytest.raises(Exception, match="right side has a key more than once"):
+        quality.checked_join(left, right.unionAll(right), ["k"]).collect()
+    with pytest.raises(Exception, match="left side has a key more than once"):
+        quality.checked_join(left, right, ["k"], one_to_one=True).collect()

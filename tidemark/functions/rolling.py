@@ -40,7 +40,3 @@ def same_regime(marker: Column | None, lag_from: int, lag_to: int, w: WindowSpec
 def compounded(value: Column, frame: WindowSpec | None = None) -> Column:
     growth = F.product(1.0 + value)
     return (growth.over(frame) if frame is not None else growth) - 1.0
-
-
-def coalesce_columns(names: Sequence[str], present: Sequence[str]) -> list[str]:
-    return [n for n in names if n in present]

@@ -48,11 +48,6 @@ def finite_or_null(value: Column) -> Column:
     return F.when(finite(value), value.cast("double"))
 
 
-def clean_numbers(df: DataFrame, *columns: str) -> DataFrame:
-    """Turn NaN and infinities into nulls once, at the boundary of a layer."""
-    return df.withColumns({c: finite_or_null(F.col(c)) for c in columns})
-
-
 def safe_ratio(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator > 0, numerator / denominator)
 
@@ -144,10 +139,6 @@ def utility(prediction: Column, uncertainty: Column, penalty: float) -> Column:
     return prediction - F.lit(float(penalty)) * F.coalesce(uncertainty, F.lit(0.0))
 
 
-def horizon_scale(annual: Column, bars: int, bars_per_year: int = 252) -> Column:
-    return annual * F.lit(bars / bars_per_year)
-
-
 def normal_cdf(z: Column, terms: int = 220) -> Column:
     """Standard normal distribution function from its power series, inside the JVM.
 

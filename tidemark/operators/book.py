@@ -301,6 +301,14 @@ def benchmark_curve(calendar: DataFrame, returns: DataFrame, column: str = "dail
     )
 
 
+def held_then_best(names: list, kept: set, k: int, buffer: int) -> list:
+    """The k names of a date, given its ranking and the names held: held ones within k + buffer first, then by rank."""
+    if k <= 0:
+        return []
+    stay = [n for n in names[: k + max(buffer, 0)] if n in kept]
+    return (stay + [n for n in names if n not in set(stay)])[:k]
+
+
 def hysteresis_selection(ranked: DataFrame, k: int, buffer: int) -> DataFrame:
     """Keep a held name while its rank is within k + buffer, then fill by rank.
 
@@ -313,10 +321,7 @@ def hysteresis_selection(ranked: DataFrame, k: int, buffer: int) -> DataFrame:
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         kept, out = set(), []
         for day, group in rows.sort_values(["trade_date", "rank", "ticker"]).groupby("trade_date", sort=True):
-            names = group["ticker"].tolist()
-            stay = [n for n in names[: k + max(buffer, 0)] if n in kept]
-            fill = [n for n in names if n not in set(stay)]
-            chosen = (stay + fill)[:k] if k > 0 else []
+            chosen = held_then_best(group["ticker"].tolist(), kept, k, buffer)
             kept = set(chosen)
             picked = group[group["ticker"].isin(kept)]
             out.append(picked.assign(target_weight=1.0 / len(chosen)) if chosen else picked.assign(target_weight=0.0))

@@ -23,6 +23,24 @@ def require_empty(violations: DataFrame, rule: str) -> None:
         raise DataQualityError(f"{rule}: {[r.asDict() for r in preview]}")
 
 
+def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", one_to_one: bool = False) -> DataFrame:
+    """A join that fails if the right side (with one_to_one either side) has a key twice.
+
+    The count rides on the shuffle that the join needs anyway and is combined before it; a broken key stops the job with
+    its values in the message.
+    """
+    keys = list(on)
+
+    def single(df: DataFrame, side: str) -> DataFrame:
+        rest = [c for c in df.columns if c not in keys]
+        rows = df.groupBy(*keys).agg(F.count("*").alias("__n"), F.any_value(F.struct(*rest) if rest else F.lit(1)).alias("__row"))
+        told = F.concat(F.lit(f"{side} side has a key more than once: "), F.to_json(F.struct(*keys)))
+        checked = F.when(F.col("__n") > 1, F.raise_error(told).cast(rows.schema["__row"].dataType)).otherwise(F.col("__row"))
+        return rows.select(*keys, checked.alias("__row")).select(*keys, *(F.col(f"__row.`{c}`").alias(c) for c in rest))
+
+    return (single(left, "left") if one_to_one else left).join(single(right, "right"), keys, how)
+
+
 def invalid_prices(prices: DataFrame, column: str = "close") -> DataFrame:
     value = F.col(column)
     return prices.filter(~finite(value) | (value <= 0))
@@ -89,10 +107,14 @@ def months_with_many_dates(signals: DataFrame, by: Sequence[str] = (), clock: st
     return dates.groupBy(*by, "month").agg(F.count("*").alias("dates")).filter("dates > 1")
 
 
+def not_allowed(column: Column, allowed: Sequence[str]) -> Column:
+    value = F.upper(F.trim(column))
+    return value.isNull() | ~value.isin(list(allowed))
+
+
 def values_not_allowed(df: DataFrame, column: str, allowed: Sequence[str]) -> DataFrame:
     value = F.upper(F.trim(F.col(column)))
-    bad: Column = value.isNull() | ~value.isin(list(allowed))
-    return df.filter(bad).groupBy(value.alias(column)).agg(F.count("*").alias("rows"))
+    return df.filter(not_allowed(F.col(column), allowed)).groupBy(value.alias(column)).agg(F.count("*").alias("rows"))
 
 
 def quarantine(df: DataFrame, bad: Column, reason: str, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

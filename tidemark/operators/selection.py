@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import issuer_root
+
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
     """The first k rows of each group; each map task already keeps only k rows per group."""
@@ -14,9 +16,14 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k:
     return df.withColumn(out, F.row_number().over(w).cast("bigint")).filter(F.col(out) <= k)
 
 
+def issuer_or_root(issuer: str = "issuer_id", ticker: str = "ticker") -> Column:
+    """The issuer of a name; without one the first four letters of its ticker stand in."""
+    return F.coalesce(F.col(issuer).cast("string"), issuer_root(F.col(ticker)))
+
+
 def best_per_issuer(df: DataFrame, by: Sequence[str], order: Sequence[Column], issuer: str = "issuer_id") -> DataFrame:
-    """One share class per issuer and date: the best-ranked one."""
-    return top_per_group(df, [*by, issuer], order, 1, "__class").drop("__class")
+    """One share class per issuer and date: the best-ranked one. Names without an issuer are told apart by their root."""
+    return top_per_group(df.withColumn("__issuer", issuer_or_root(issuer)), [*by, "__issuer"], order, 1, "__class").drop("__class", "__issuer")
 
 
 def topk_with_issuer_cap(

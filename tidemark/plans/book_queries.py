@@ -74,6 +74,22 @@ def topk_targets(spark, sf_dir):
     return t.select("strategy", "trade_date", "ticker", "issuer_id", "rank", rounded(F.col("target_weight")).alias("target_weight"))
 
 
+@query(
+    "topk_missing_issuers",
+    S.with_(
+        *FORECAST_SQL,
+        """gaps AS (SELECT trade_date, ticker, CASE WHEN ticker % 3 <> 0 THEN issuer_id END AS issuer_id, momentum_12_1 AS score FROM forecasts WHERE momentum_12_1 IS NOT NULL)""",
+        """classes AS (SELECT *, row_number() OVER (PARTITION BY trade_date, coalesce(CAST(issuer_id AS VARCHAR), substr(CAST(ticker AS VARCHAR), 1, 4)) ORDER BY score DESC, ticker) AS cls FROM gaps)""",
+        """placed AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, ticker) AS rank FROM classes WHERE cls = 1)""",
+        select="SELECT trade_date, ticker, issuer_id, rank FROM placed WHERE rank <= 10",
+    ),
+)
+def topk_missing_issuers(spark, sf_dir):
+    """A third of the names have no issuer; their ticker's root tells them apart."""
+    rows = Market(spark, sf_dir).forecasts.withColumn("issuer_id", F.when(F.col("ticker") % 3 != 0, F.col("issuer_id")))
+    return selection.topk_with_issuer_cap(rows, "momentum_12_1", 10).select("trade_date", "ticker", "issuer_id", "rank")
+
+
 @query("holding_returns", S.with_(*BOOK, select=f"SELECT strategy, period, session, {r('ln(value)')} AS log_value FROM vals"))
 def holding_returns(spark, sf_dir):
     return Market(spark, sf_dir).values.select("strategy", "period", "session", rounded(F.log("value")).alias("log_value"))
@@ -434,10 +450,18 @@ def best_worst_months(spark, sf_dir):
 
 @query(
     "weight_sanity",
-    S.with_(*TARGETS, select="SELECT strategy, trade_date FROM targets GROUP BY 1, 2 HAVING sum(target_weight) > 1.000001 OR sum(target_weight) <= 0 OR min(target_weight) < 0"),
+    S.with_(
+        *TARGETS,
+        select="""SELECT strategy, trade_date FROM (SELECT strategy, trade_date, target_weight * CASE month(trade_date) WHEN 3 THEN 2.0 WHEN 6 THEN -1.0 WHEN 9 THEN NULL ELSE 1.0 END AS w FROM targets)
+          GROUP BY 1, 2 HAVING coalesce(sum(w), 0.0) > 1.000001 OR sum(w) <= 0 OR min(w) < 0 OR count(w) < count(*)""",
+    ),
 )
 def weight_sanity(spark, sf_dir):
-    return quality.weight_violations(Market(spark, sf_dir).targets, ("strategy", "trade_date")).select("strategy", "trade_date")
+    # Doubled, negative and missing weights in some months.
+    month = F.month("trade_date")
+    factor = F.when(month == 3, 2.0).when(month == 6, -1.0).when(month != 9, 1.0)
+    targets = Market(spark, sf_dir).targets.withColumn("target_weight", F.col("target_weight") * factor)
+    return quality.weight_violations(targets, ("strategy", "trade_date")).select("strategy", "trade_date")
 
 
 @query(

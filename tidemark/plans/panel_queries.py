@@ -26,12 +26,13 @@ def prices_panel(spark, sf_dir):
 
 @query(
     "invalid_prices",
-    """SELECT l_orderkey, l_linenumber, l_suppkey AS ticker, l_extendedprice AS close FROM lineitem
-       WHERE l_extendedprice IS NULL OR isnan(l_extendedprice) OR isinf(l_extendedprice) OR l_extendedprice <= 0""",
+    """SELECT l_orderkey, l_linenumber, l_suppkey AS ticker, CASE WHEN l_discount = 0.09 THEN -l_extendedprice WHEN l_tax = 0.0 THEN 0.0 END AS close FROM lineitem
+       WHERE l_discount = 0.1 OR l_discount = 0.09 OR l_tax = 0.0""",
 )
 def invalid_prices(spark, sf_dir):
     lines = Market(spark, sf_dir).table("lineitem").select(
-        "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("ticker"), F.col("l_extendedprice").alias("close")
+        "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("ticker"),
+        F.when(F.col("l_discount") == 0.09, -F.col("l_extendedprice")).when(F.col("l_tax") == 0.0, 0.0).when(F.col("l_discount") != 0.1, F.col("l_extendedprice")).alias("close"),
     )
     return quality.invalid_prices(lines)
 

@@ -63,11 +63,24 @@ def correlation(spark, sf_dir):
 
 @query(
     "matrix_sanity",
-    S.with_(*_COV_SQL, _CORR, select="SELECT as_of, asset_i, asset_j, CASE WHEN isnan(correlation) THEN 'not_finite' ELSE 'range' END AS reason FROM corr WHERE isnan(correlation) OR abs(correlation) > 1.00000001"),
+    S.with_(
+        *_COV_SQL, _CORR,
+        """broken AS (SELECT as_of, asset_i, asset_j, CASE WHEN asset_i % 7 = 1 THEN NULL WHEN asset_i = asset_j AND asset_i % 3 = 0 THEN 0.5
+            WHEN asset_j % 7 = 2 THEN correlation + 2.5 ELSE correlation END AS v FROM corr)""",
+        select="""SELECT as_of, asset_i, asset_j, CASE WHEN v IS NULL THEN 'not_finite' WHEN asset_i = asset_j AND abs(v - 1.0) > 1e-8 THEN 'diagonal' ELSE 'range' END AS reason
+          FROM broken WHERE v IS NULL OR abs(v) > 1.00000001 OR asset_i = asset_j AND abs(v - 1.0) > 1e-8""",
+    ),
 )
 def matrix_sanity(spark, sf_dir):
     _, pairs = candidate_covariance(Market(spark, sf_dir))
-    return quality.pair_matrix_violations(risk.correlations(pairs), ["as_of"]).select("as_of", "asset_i", "asset_j", "reason")
+    # A broken matrix: missing values, a diagonal that is not 1, values out of range.
+    value = (
+        F.when(F.col("asset_i") % 7 == 1, F.lit(None))
+        .when((F.col("asset_i") == F.col("asset_j")) & (F.col("asset_i") % 3 == 0), 0.5)
+        .when(F.col("asset_j") % 7 == 2, F.col("correlation") + 2.5)
+        .otherwise(F.col("correlation"))
+    )
+    return quality.pair_matrix_violations(risk.correlations(pairs).withColumn("correlation", value), ["as_of"]).select("as_of", "asset_i", "asset_j", "reason")
 
 
 _LW = """pr AS (SELECT as_of, count(DISTINCT ticker) AS p FROM used GROUP BY 1),

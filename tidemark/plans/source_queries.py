@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import company_id, rounded, share_multiplier, valid_ticker
-from tidemark.operators import filings
+from tidemark.operators import filings, quality
 from tidemark.plans import market_sql as S
 from tidemark.plans.filings_queries import _MACRO
 from tidemark.plans.market import Market
 from tidemark.plans.registry import query
 from tidemark.session import shared_folder
+from tidemark.sources import filings_files, layout
 from tidemark.sources.actions import parse_action_payloads
 from tidemark.sources.filings_files import parse_macro
 from tidemark.sources.quotes import parse_quote_lines
@@ -137,18 +138,16 @@ def macro_series(spark, sf_dir):
 
 def _event_stream(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # As a pattern the path may be one file or a folder of part files.
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("stream_dedupe", "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events")
 def stream_dedupe(spark, sf_dir):
     run = f"{shared_folder(spark)}/tidemark/{uuid.uuid4().hex}"
-    stream = _event_stream(spark, sf_dir).withColumn("day", F.col("ts").cast("date"))
-    unique = streams.deduplicated(stream, ["user_id", "event_type", "day"], "ts", "2 days")
-    unique.writeStream.format("parquet").option("path", f"{run}/table").option("checkpointLocation", f"{run}/state").trigger(
-        availableNow=True
-    ).start().awaitTermination()
+    stream = _event_stream(spark, sf_dir).select("user_id", "event_type", F.col("ts").cast("date").alias("day"), "ts")
+    streams.ingest(stream, f"{run}/table", f"{run}/state", "day", ["user_id", "event_type", "day"], ["ts"])
     return spark.read.parquet(f"{run}/table").select("user_id", "event_type", "day")
 
 
@@ -164,3 +163,69 @@ def stream_upsert(spark, sf_dir):
     )
     streams.ingest(stream, f"{run}/table", f"{run}/state", "day", ["day", "user_id", "event_type"], ["ts", "event_id"])
     return spark.read.parquet(f"{run}/table").select("day", "user_id", "event_type", "event_id", "value", "k")
+
+
+@query(
+    "checked_join",
+    """SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""",
+)
+def checked_join(spark, sf_dir):
+    """Orders to their customer and nation, many to one; a customer or nation listed twice would stop the query."""
+    m = Market(spark, sf_dir)
+    customers = m.table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", F.col("c_nationkey").alias("n_nationkey"))
+    orders = quality.checked_join(m.table("orders").select("o_orderkey", "o_custkey"), customers, ["o_custkey"], "inner")
+    return quality.checked_join(orders, m.table("nation").select("n_nationkey", "n_name"), ["n_nationkey"], "inner").select("o_orderkey", "c_name", "n_name")
+
+
+@query(
+    "drifting_columns",
+    """SELECT c_custkey AS party, c_name AS name, c_mktsegment AS segment, CAST(NULL AS DOUBLE) AS balance FROM customer
+       UNION ALL SELECT s_suppkey, s_name, NULL, s_acctbal FROM supplier""",
+)
+def drifting_columns(spark, sf_dir):
+    m = Market(spark, sf_dir)
+    return layout.union_drifting(
+        m.table("customer").select(F.col("c_custkey").alias("party"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")),
+        m.table("supplier").select(F.col("s_suppkey").alias("party"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")),
+    ).select("party", "name", "segment", "balance")
+
+
+@query(
+    "partitioned_orders",
+    """SELECT o_orderkey, o_orderstatus, year(o_orderdate) AS year, CASE WHEN year(o_orderdate) % 2 = 0 THEN o_totalprice END AS extra FROM orders""",
+)
+def partitioned_orders(spark, sf_dir):
+    """Written year by year with a column that every other year lacks, then read as one table."""
+    root = f"{shared_folder(spark)}/tidemark/{uuid.uuid4().hex}/orders"
+    rows = Market(spark, sf_dir).table("orders").select("o_orderkey", "o_orderstatus", F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("extra"))
+    layout.write_partitioned(rows.filter("year % 2 = 1").drop("extra"), root, ["year"], ["o_orderkey"])
+    layout.write_partitioned(rows.filter("year % 2 = 0"), root, ["year"], ["o_orderkey"])
+    return layout.read_partitions(spark, f"{root}/adjusted", root).select("o_orderkey", "o_orderstatus", "year", "extra")
+
+
+@query(
+    "quarantined_prices",
+    """WITH p AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS trade_date, CASE WHEN l_discount = 0.1 THEN 0.0 WHEN l_discount <> 0.09 THEN l_extendedprice END AS close FROM lineitem),
+       bad AS (SELECT DISTINCT ticker, trade_date FROM p WHERE close IS NULL OR close <= 0)
+       SELECT ticker, trade_date, close, 'invalid_price' AS reason FROM p WHERE close IS NULL OR close <= 0
+       UNION ALL SELECT p.ticker, p.trade_date, close, 'good' FROM p LEFT JOIN bad ON bad.ticker = p.ticker AND bad.trade_date = p.trade_date WHERE bad.ticker IS NULL""",
+)
+def quarantined_prices(spark, sf_dir):
+    price = F.when(F.col("l_discount") == 0.1, 0.0).when(F.col("l_discount") != 0.09, F.col("l_extendedprice"))
+    rows = Market(spark, sf_dir).table("lineitem").select(F.col("l_suppkey").alias("ticker"), F.col("l_shipdate").cast("date").alias("trade_date"), price.alias("close"))
+    good, side = layout.quarantine_prices(rows)
+    return side.withColumnRenamed("quarantine_reason", "reason").unionByName(good.withColumn("reason", F.lit("good"))).select("ticker", "trade_date", "close", "reason")
+
+
+@query(
+    "registry_rows",
+    """SELECT lpad(CAST(c_custkey AS VARCHAR), 14, '0') AS company_id, CAST(c_nationkey AS VARCHAR) AS issuer_id, c_name AS registered_name, c_mktsegment AS status FROM customer""",
+)
+def registry_rows(spark, sf_dir):
+    """Registry columns under their published headings, accents and all."""
+    c = Market(spark, sf_dir).table("customer")
+    file = c.select(
+        F.lpad(F.col("c_custkey").cast("string"), 14, "0").alias("CNPJ_CIA"), F.col("c_nationkey").cast("string").alias("CD_CVM"),
+        F.col("c_name").alias("DENOM_SOCIAL"), F.col("c_mktsegment").alias("SIT"), F.lit("2001-02-03").alias("DT_REG"),
+    )
+    return filings_files.parse_registry(file).select("company_id", "issuer_id", "registered_name", "status")

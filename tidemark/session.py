@@ -18,7 +18,7 @@ def local_session(cores: str | int = 8, shuffle_partitions: int = 8) -> SparkSes
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "20g")
+        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -31,10 +31,15 @@ _scratch: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a scratch one only where none is set."""
+    """The folder the cluster names for checkpoints; on one machine without one, a scratch folder.
+
+    A cluster without a shared folder is an error: what one executor writes to its own disk no other can read.
+    """
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     application = spark.sparkContext.applicationId
     if application not in _scratch:
         _scratch[application] = tempfile.mkdtemp(prefix="tidemark-ckpt-")
@@ -44,5 +49,6 @@ def shared_folder(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of any executor."""
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.book import held_then_best
 from tidemark.operators.names import distinct_latest
 from tidemark.session import cut_lineage
 
 
-def deduplicated(stream: DataFrame, keys: Sequence[str], clock: str, delay: str = "2 days") -> DataFrame:
-    """First arrival of each natural key; state older than the watermark is dropped."""
-    return stream.withWatermark(clock, delay).dropDuplicatesWithinWatermark(list(keys))
+def deduplicated(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """First arrival of each natural key, however late: no watermark, so no row is lost and the state holds every key.
+
+    For key spaces without a bound use `ingest`, which keeps the keys in the target's partitions instead.
+    """
+    return stream.dropDuplicates(list(keys))
 
 
 def upsert(batch: DataFrame, root: str, partition: str, keys: Sequence[str], order: Sequence[str]) -> None:
@@ -23,11 +28,11 @@ def upsert(batch: DataFrame, root: str, partition: str, keys: Sequence[str], ord
     single load. Only touched partitions are read; the merged rows are checkpointed in the shared
     folder before the partitions they come from are replaced.
     """
-    spark = batch.sparkSession
     touched = batch.select(partition).distinct()
     merged = batch
-    if _exists(spark, root):
-        old = spark.read.schema(batch.schema).parquet(root).join(F.broadcast(touched), partition, "left_semi")
+    target = _target(batch, root)
+    if target is not None:
+        old = target.join(touched, partition, "left_semi")
         merged = old.select(batch.columns).unionByName(batch)
     ranking = [F.col(c).desc_nulls_last() for c in order]
     # A full row order as last resort makes the choice independent of arrival.
@@ -36,9 +41,14 @@ def upsert(batch: DataFrame, root: str, partition: str, keys: Sequence[str], ord
     latest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(root)
 
 
-def _exists(spark: SparkSession, root: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+def _target(batch: DataFrame, root: str) -> DataFrame | None:
+    """The table under `root`; none before the first batch."""
+    try:
+        return batch.sparkSession.read.schema(batch.schema).parquet(root)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def ingest(stream: DataFrame, root: str, checkpoint: str, partition: str, keys: Sequence[str], order: Sequence[str]):
@@ -66,9 +76,7 @@ def hysteresis_stream(ranked: DataFrame, k: int, buffer: int) -> DataFrame:
         kept = set(state.get[0]) if state.exists else set()
         rows = pd.concat(list(batches)).sort_values(["trade_date", "rank", "ticker"])
         for _, group in rows.groupby("trade_date", sort=True):
-            names = group["ticker"].tolist()
-            stay = [n for n in names[: k + buffer] if n in kept]
-            chosen = (stay + [n for n in names if n not in set(stay)])[:k]
+            chosen = held_then_best(group["ticker"].tolist(), kept, k, buffer)
             kept = set(chosen)
             picked = group[group["ticker"].isin(kept)]
             yield picked.assign(target_weight=1.0 / max(len(chosen), 1))[["strategy", "trade_date", "ticker", "rank", "target_weight"]]
