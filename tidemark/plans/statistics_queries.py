@@ -22,15 +22,20 @@ def relative(m: Market):
     return month_pairs(m).withColumn("x", x)
 
 
+_BOOTSTRAP = [
+    "sz AS (SELECT strategy, count(*) AS n FROM rel GROUP BY 1)",
+    """dr AS (SELECT strategy, n, b, d, CAST('0x' || substr(md5('42|' || b || '|' || d), 1, 12) AS BIGINT) % (n - 2) AS st
+        FROM sz, (SELECT unnest(range(0, 2000)) AS b), (SELECT unnest(range(0, 100)) AS d) WHERE d < ceil(n / 3.0))""",
+    "ix AS (SELECT strategy, b, st + o AS i FROM dr, (SELECT unnest([0, 1, 2]) AS o) WHERE d * 3 + o < n)",
+    "es AS (SELECT ix.strategy, b, avg(x) AS e FROM ix JOIN rel ON rel.strategy = ix.strategy AND rel.i = ix.i GROUP BY 1, 2)",
+]
+
+
 @query(
     "bootstrap_ci",
     S.with_(
         *MONTHS_SQL, _REL,
-        "sz AS (SELECT strategy, count(*) AS n FROM rel GROUP BY 1)",
-        """dr AS (SELECT strategy, n, b, d, CAST('0x' || substr(md5('42|' || b || '|' || d), 1, 12) AS BIGINT) % (n - 2) AS st
-            FROM sz, (SELECT unnest(range(0, 2000)) AS b), (SELECT unnest(range(0, 100)) AS d) WHERE d < ceil(n / 3.0))""",
-        "ix AS (SELECT strategy, b, st + o AS i FROM dr, (SELECT unnest([0, 1, 2]) AS o) WHERE d * 3 + o < n)",
-        "es AS (SELECT ix.strategy, b, avg(x) AS e FROM ix JOIN rel ON rel.strategy = ix.strategy AND rel.i = ix.i GROUP BY 1, 2)",
+        *_BOOTSTRAP,
         select=f"""SELECT p.strategy, {r('point')} AS point, {r('quantile_cont(e, 0.025)')} AS ci_low, {r('quantile_cont(e, 0.975)')} AS ci_high, max(n) AS observations
           FROM es JOIN (SELECT strategy, avg(x) AS point, count(*) AS n FROM rel GROUP BY 1) p ON p.strategy = es.strategy GROUP BY p.strategy, point""",
     ),
@@ -103,7 +108,9 @@ def pbo(spark, sf_dir):
     return rows.select(rounded(F.col("overfitting_probability")).alias("overfitting_probability"), "splits")
 
 
-_RECORDS = """records AS (SELECT o_orderpriority AS strategy, o_orderstatus AS cost_scenario, min(o_orderdate) AS evaluation_start, max(date_trunc('month', o_orderdate)) AS evaluation_end, '1' AS fill_policy
+_RECORDS = """records AS (SELECT o_orderpriority AS strategy, o_orderstatus AS cost_scenario, max(o_custkey % 5) AS initial_capital, min(o_orderdate) AS evaluation_start,
+    max(date_trunc('month', o_orderdate)) AS evaluation_end, count(DISTINCT date_trunc('month', o_orderdate)) AS rebalance_dates, count(DISTINCT year(o_orderdate)) AS rebalance_periods,
+    min(o_custkey % 2) AS execution_delay_bars, CAST(max(o_custkey % 3) AS INTEGER) AS participation_cap, max(o_orderstatus) AS fill_policy
     FROM orders WHERE NOT (o_orderpriority = '5-LOW' AND o_orderstatus = 'P') GROUP BY 1, 2)"""
 
 
@@ -111,8 +118,7 @@ _RECORDS = """records AS (SELECT o_orderpriority AS strategy, o_orderstatus AS c
     "fairness",
     S.with_(
         _RECORDS,
-        """f AS (SELECT cost_scenario, 'evaluation_start' AS field, CAST(evaluation_start AS VARCHAR) AS v FROM records UNION ALL SELECT cost_scenario, 'evaluation_end', CAST(evaluation_end AS VARCHAR) FROM records
-            UNION ALL SELECT cost_scenario, 'fill_policy', fill_policy FROM records)""",
+        "f AS (" + " UNION ALL ".join(f"SELECT cost_scenario, '{c}' AS field, CAST({c} AS VARCHAR) AS v FROM records" for c in statistics.FAIRNESS_FIELDS) + ")",
         select="""SELECT 'field_differs' AS failure, cost_scenario, CAST(NULL AS VARCHAR) AS strategy, field FROM f GROUP BY cost_scenario, field HAVING count(DISTINCT v) > 1
           UNION ALL SELECT 'scenario_missing', c.cost_scenario, s.strategy, NULL FROM (SELECT DISTINCT cost_scenario FROM records) c, (SELECT DISTINCT strategy FROM records) s
           WHERE NOT EXISTS (SELECT 1 FROM records x WHERE x.strategy = s.strategy AND x.cost_scenario = c.cost_scenario)""",
@@ -120,20 +126,27 @@ _RECORDS = """records AS (SELECT o_orderpriority AS strategy, o_orderstatus AS c
 )
 def fairness(spark, sf_dir):
     orders = Market(spark, sf_dir).table("orders").filter("NOT (o_orderpriority = '5-LOW' AND o_orderstatus = 'P')")
+    month = F.date_trunc("month", "o_orderdate")
     records = orders.groupBy(F.col("o_orderpriority").alias("strategy"), F.col("o_orderstatus").alias("cost_scenario")).agg(
-        F.min("o_orderdate").alias("evaluation_start"), F.max(F.date_trunc("month", "o_orderdate")).alias("evaluation_end"), F.lit("1").alias("fill_policy")
+        F.max(F.col("o_custkey") % 5).alias("initial_capital"), F.min("o_orderdate").alias("evaluation_start"), F.max(month).alias("evaluation_end"),
+        F.count_distinct(month).alias("rebalance_dates"), F.count_distinct(F.year("o_orderdate")).alias("rebalance_periods"),
+        F.min(F.col("o_custkey") % 2).alias("execution_delay_bars"), F.max(F.col("o_custkey") % 3).alias("participation_cap"), F.max("o_orderstatus").alias("fill_policy"),
     )
-    return statistics.fairness_failures(records, ("evaluation_start", "evaluation_end", "fill_policy"))
+    return statistics.fairness_failures(records)
 
 
 _METRIC_SQL = [
-    *MONTHS_SQL,
-    """facts_ AS (SELECT strategy, avg(ln((1.0 + s) / (1.0 + b))) AS rel, avg(ln(1.0 + s)) / stddev_samp(ln(1.0 + s)) * sqrt(12.0) AS sh, count(*) AS n FROM months GROUP BY 1)""",
+    *MONTHS_SQL, _REL, *_BOOTSTRAP,
+    "low AS (SELECT strategy, quantile_cont(e, 0.025) * 12.0 AS low FROM es GROUP BY 1)",
+    _MOMENTS,
+    f"zz AS (SELECT *, (s - CAST({_HURDLE!r} AS DOUBLE)) / sqrt(v * 12.0) AS z1 FROM va)",
+    f"dsr AS (SELECT strategy, {_cdf('z1')} AS dsr FROM zz)",
+    """facts_ AS (SELECT strategy, avg(ln(1.0 + s)) / stddev_samp(ln(1.0 + s)) * sqrt(12.0) AS sh FROM months GROUP BY 1)""",
     "worst AS (SELECT strategy, min(exp(ln_net - mx) - 1.0) AS dd FROM (SELECT strategy, ln_net, max(ln_net) OVER (PARTITION BY strategy ORDER BY session) AS mx FROM net) GROUP BY 1)",
     "spent AS (SELECT strategy, sum(turnover) * 12.0 / count(*) AS turn FROM churn GROUP BY 1)",
     """metrics AS (SELECT strategy, 'excess_sharpe_vs_cdi' AS name, sh AS actual FROM facts_ UNION ALL SELECT strategy, 'max_drawdown', dd FROM worst UNION ALL SELECT strategy, 'annualized_turnover', turn FROM spent
-        UNION ALL SELECT strategy, 'relative_cagr_ci_low_vs_ibov', rel FROM facts_ UNION ALL SELECT strategy, 'relative_cagr_ci_low_vs_cdi', sh FROM facts_ UNION ALL SELECT strategy, 'number_of_trials_recorded', 4.0 FROM facts_
-        UNION ALL SELECT strategy, 'leakage_tests_passed', 1.0 FROM facts_)""",
+        UNION ALL SELECT strategy, 'relative_cagr_ci_low_vs_ibov', low FROM low UNION ALL SELECT strategy, 'deflated_sharpe_probability', dsr FROM dsr
+        UNION ALL SELECT strategy, 'number_of_trials_recorded', CAST((SELECT count(DISTINCT strategy) FROM facts_) AS DOUBLE) FROM facts_)""",
 ]
 _GATE_ROWS = " UNION ALL ".join(f"SELECT '{lv}' AS level, '{n}' AS name, '{op}' AS operator, CAST({t} AS DOUBLE) AS threshold" for lv, n, op, t in statistics.GATES)
 
@@ -152,17 +165,23 @@ def gates(spark, sf_dir):
 
 
 def gate_metrics(m: Market):
-    """Long (strategy, name, actual) rows for the gates, from monthly log returns and the net curve."""
-    months = month_pairs(m).withColumns(
-        {"rel": F.log((1.0 + F.col("strategy_return")) / (1.0 + F.col("benchmark_return"))), "own": F.log1p("strategy_return")}
-    )
-    facts = months.groupBy("strategy").agg(F.avg("rel").alias("rel"), statistics.sharpe(F.col("own")).alias("sh"))
+    """Long (strategy, name, actual) rows for the gates, each from the operator that computes it.
+
+    The bound on relative growth is the bootstrap's, per year and in logs (of the same sign as the relative CAGR). Gates
+    whose input this market lacks (cash benchmark, leakage tests, acknowledgements) stay without a value and so fail.
+    """
+    months = month_pairs(m).withColumn("own", F.log1p("strategy_return"))
+    facts = months.groupBy("strategy").agg(statistics.sharpe(F.col("own")).alias("sh"))
     worst = performance.summary_metrics(m.curves((15.0,)), bars=52).select("strategy", F.col("max_drawdown").alias("dd"))
     spent = m.turnover.groupBy("strategy").agg((F.sum("turnover") * 12.0 / F.count("*")).alias("turn"))
-    wide = facts.join(worst, "strategy").join(spent, "strategy")
+    x = relative(m).select("strategy", "period", "x")
+    low = statistics.block_bootstrap(x, "x", "period").select("strategy", (F.col("ci_low") * 12.0).alias("low"))
+    deflated = statistics.deflated_sharpe(x, "x", 20, 0.25).select("strategy", F.col("probability").alias("dsr"))
+    trials = facts.agg(F.count_distinct("strategy").cast("double")).scalar()
+    wide = facts.join(worst, "strategy").join(spent, "strategy").join(low, "strategy").join(deflated, "strategy")
     cells = {
-        "excess_sharpe_vs_cdi": F.col("sh"), "max_drawdown": F.col("dd"), "annualized_turnover": F.col("turn"), "relative_cagr_ci_low_vs_ibov": F.col("rel"),
-        "relative_cagr_ci_low_vs_cdi": F.col("sh"), "number_of_trials_recorded": F.lit(4.0), "leakage_tests_passed": F.lit(1.0),
+        "excess_sharpe_vs_cdi": F.col("sh"), "max_drawdown": F.col("dd"), "annualized_turnover": F.col("turn"), "relative_cagr_ci_low_vs_ibov": F.col("low"),
+        "deflated_sharpe_probability": F.col("dsr"), "number_of_trials_recorded": trials,
     }
     rows = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("actual")) for n, v in cells.items()])
     return wide.select("strategy", F.inline(rows))
