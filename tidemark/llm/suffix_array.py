@@ -49,7 +49,7 @@ def radix_groups(columns: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return found
 
 
-BYTES = Unit(words=False, length=LENGTH, anchor=ANCHOR, width=DIGITS, columns=digits, route=lambda columns, levels: mixed(columns[:, 0].astype(np.uint64)), repeated=radix_groups)
+BYTES = Unit(words=False, length=LENGTH, anchor=ANCHOR, width=DIGITS, columns=digits, route=lambda symbols, starts, columns, levels: mixed(columns[:, 0].astype(np.uint64)), repeated=radix_groups)
 
 
 def dedup_bytes(docs: DataFrame) -> DataFrame:

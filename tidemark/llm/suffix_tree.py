@@ -22,25 +22,21 @@ _check = Rolling(1010)
 
 
 def codes(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A check of 64 bits (as two columns), the counted prefixes' hashes (two columns each), then 32 bits of each word."""
-    out = np.empty((len(starts), 2 + 2 * len(PREFIXES) + LENGTH), np.uint32)
+    """A check of 64 bits (as two columns), then 32 bits of each word."""
+    out = np.empty((len(starts), 2 + LENGTH), np.uint32)
     check = _check.between(_check.prefix(symbols), starts, starts + LENGTH)
     out[:, 0], out[:, 1] = check >> np.uint64(32), check
-    prefix = _anchor_hash.prefix(symbols)
-    for i, k in enumerate(PREFIXES):
-        h = _anchor_hash.between(prefix, starts, starts + k)
-        out[:, 2 + 2 * i], out[:, 3 + 2 * i] = h >> np.uint64(32), h
     for i in range(LENGTH):
-        out[:, 2 + 2 * len(PREFIXES) + i] = symbols[starts + i]
+        out[:, 2 + i] = symbols[starts + i]
     return out
 
 
-def prefix_route(columns: np.ndarray, levels: np.ndarray | None) -> np.ndarray:
+def prefix_route(symbols: np.ndarray, starts: np.ndarray, columns: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The hash of the shortest prefix that is not frequent, else of the whole suffix."""
-    join = lambda i: columns[:, i].astype(np.uint64) << np.uint64(32) | columns[:, i + 1]
-    goal = join(0)
-    for i in reversed(range(len(PREFIXES))):
-        h = join(2 + 2 * i)
+    goal = columns[:, 0].astype(np.uint64) << np.uint64(32) | columns[:, 1]
+    prefix = _anchor_hash.prefix(symbols)
+    for i, k in reversed([*enumerate(PREFIXES)]):
+        h = _anchor_hash.between(prefix, starts, starts + k)
         goal = np.where(levels[i][cell(h, i)] < FREQUENT, h, goal)
     return mixed(goal)
 
@@ -52,14 +48,13 @@ def tree_repeats(columns: np.ndarray, ids: np.ndarray) -> np.ndarray:
     on both sides are shallow (most of them) hang from no deep node and are never sorted past their prefix.
     """
     found = np.zeros(len(ids), np.int8)
-    base = 2 + 2 * len(PREFIXES)
     if not len(ids):
         return found
     prefix = columns[:, 2].astype(np.uint64) << np.uint64(32) | columns[:, 3]
     order = np.argsort(prefix, kind="stable")
     same = prefix[order][1:] == prefix[order][:-1]
     left = order[np.append(same, False) | np.append(False, same)]
-    words = columns[left, base:]
+    words = columns[left, 2:]
     order = np.lexsort([*(columns[left, i] for i in (1, 0)), *(words[:, i] for i in reversed(range(LENGTH)))])
     left, words = left[order], words[order]
     if not len(left):
@@ -73,7 +68,7 @@ def tree_repeats(columns: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return found
 
 
-WORDS = Unit(words=True, length=LENGTH, anchor=ANCHOR, width=2 + 2 * len(PREFIXES) + LENGTH, columns=codes, route=prefix_route, repeated=tree_repeats, prefixes=PREFIXES)
+WORDS = Unit(words=True, length=LENGTH, anchor=ANCHOR, width=2 + LENGTH, columns=codes, route=prefix_route, repeated=tree_repeats, prefixes=PREFIXES)
 
 
 def dedup_words(docs: DataFrame) -> DataFrame:
