@@ -524,7 +524,24 @@ def risk_free_gaps(spark, sf_dir):
     return rates.filter("session > 0 AND (rf IS NULL OR rf <= -1)").select("trade_date", "session")
 
 
-@query("hysteresis")
+_HYSTERESIS = S.with_(
+    *FORECAST_SQL,
+    """bids_ AS (SELECT 'momentum' AS strategy, trade_date, ticker, issuer_id, rank_momentum_12_1 AS score FROM forecasts WHERE rank_momentum_12_1 IS NOT NULL
+        UNION ALL SELECT 'low_volatility', trade_date, ticker, issuer_id, 1.0 - rank_volatility_12w FROM forecasts WHERE rank_volatility_12w IS NOT NULL)""",
+    """single_ AS (SELECT *, row_number() OVER (PARTITION BY strategy, trade_date, coalesce(CAST(issuer_id AS VARCHAR), substr(CAST(ticker AS VARCHAR), 1, 4)) ORDER BY score DESC, ticker) AS cls FROM bids_)""",
+    "ranked AS (SELECT * FROM (SELECT strategy, trade_date, ticker, row_number() OVER (PARTITION BY strategy, trade_date ORDER BY score DESC, ticker) AS rank FROM single_ WHERE cls = 1) WHERE rank <= 15)",
+    """days AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY trade_date) AS d
+        FROM (SELECT strategy, trade_date, list(ticker ORDER BY rank) AS names FROM ranked GROUP BY 1, 2))""",
+    """walk AS (SELECT strategy, trade_date, d, names[1:10] AS chosen FROM days WHERE d = 1
+        UNION ALL SELECT n.strategy, n.trade_date, n.d,
+          list_concat(list_filter(n.names, lambda x: list_contains(w.chosen, x)), list_filter(n.names, lambda x: NOT list_contains(w.chosen, x)))[1:10]
+          FROM walk w JOIN days n ON n.strategy = w.strategy AND n.d = w.d + 1)""",
+    select="""SELECT r.strategy, r.trade_date, r.ticker, r.rank, 1.0 / len(w.chosen) AS target_weight
+      FROM ranked r JOIN walk w ON w.strategy = r.strategy AND w.trade_date = r.trade_date WHERE list_contains(w.chosen, r.ticker)""",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("hysteresis", _HYSTERESIS)
 def hysteresis(spark, sf_dir):
     m = Market(spark, sf_dir)
     rows = factors_rows(m)
