@@ -28,6 +28,8 @@ STEPS = 300
 
 #: Letters that normalisation leaves alone but for case, then marks that the vocabulary splits from letters.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Plain words without marks that a worker keeps; encoding one again costs most.
+KEPT_PARTS = 1_000_000
 #: Words of one call of the library.
 TOGETHER = 4000
 SLICE = 6_000_000
@@ -73,7 +75,7 @@ class Encoder:
         known, parts = self.known, self.parts
         if len(known) > KEPT_WORDS:
             known.clear()
-        if len(parts) > KEPT_WORDS:
+        if len(parts) > KEPT_PARTS:
             parts.clear()
             parts[""] = b""
         split, odd = [], []

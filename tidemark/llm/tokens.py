@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import buffer, slices, words
+from tidemark.llm.common import buffer, slices
 
 #: Words whose counts a worker keeps; a full table is emptied, which costs time but changes no count.
 KEPT_WORDS = 400_000
@@ -120,11 +121,13 @@ def counter(path: str) -> MergeCounter:
 
 def distinct_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words, the index of each word of the text among them, and the index of each row's first word."""
-    starts, ends, first = words(raw, offsets)
-    text = raw.tobytes()
-    seen: dict[bytes, int] = {}
-    index = np.fromiter((seen.setdefault(text[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
-    return [w.decode() for w in seen], index, first
+    text, at = raw.tobytes(), offsets.tolist()
+    split = [text[a:b].split() for a, b in itertools.pairwise(at)]  # of bytes: on the same six separators
+    first = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])
+    every = [*itertools.chain.from_iterable(split)]
+    names = [*dict.fromkeys(every)]
+    place = dict(zip(names, range(len(names)), strict=True))
+    return [w.decode() for w in names], np.fromiter(map(place.__getitem__, every), np.int64, len(every)), first
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
