@@ -60,3 +60,13 @@ def test_quantiles(spark, frame, bound):
     got = {r["g"]: [r[f"q{i}"] for i in range(len(probs))] for r in exact_quantiles(load(spark, frame), ["g"], "v", probs, bound, band_rows=3).collect()}
     for g, rows in frame.groupby("g"):
         np.testing.assert_allclose(got[g], np.nanquantile(rows["v"], probs))
+
+
+def test_both_ways_agree_on_large_integers_and_mixed_types(spark):
+    rows = [("d", i, 2**53 + i // 2, float(i % 3), f"t{i % 4}") for i in range(40)]
+    df = spark.createDataFrame(rows, "day string, id long, big long, x double, name string")
+    ranks = {"r_big": "big", "r_x": "x", "r_name": "name"}
+    one = add_average_ranks(df, ["day"], ranks, ["id"], 100)
+    banded = add_average_ranks(df, ["day"], ranks, ["id"], None, band_rows=5)
+    columns = ["id", *ranks]
+    assert sorted(map(tuple, one.select(*columns).collect())) == sorted(map(tuple, banded.select(*columns).collect()))

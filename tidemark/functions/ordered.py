@@ -114,7 +114,15 @@ def add_average_ranks(
             exprs[out] = F.when(F.col(source).isNotNull(), rank / size.get(denominator, F.lit(1)))
         return df.withColumns(exprs)
 
-    pairs = [F.struct(F.lit(out).alias("__out"), F.col(src).cast("double").alias("__value")) for out, src in ranks.items()]
+    # Values keep their type, so integers past 2^53 stay apart; columns of several types are ranked one type after the other.
+    kinds: dict[str, dict[str, str]] = {}
+    for out, source in ranks.items():
+        kinds.setdefault(df.schema[source].dataType.simpleString(), {})[out] = source
+    if len(kinds) > 1:
+        for some in kinds.values():
+            df = add_average_ranks(df, by, some, keys, None, denominator, band_rows)
+        return df
+    pairs = [F.struct(F.lit(out).alias("__out"), F.col(src).alias("__value")) for out, src in ranks.items()]
     keep = list(dict.fromkeys([*by, *keys]))
     long = df.select(*keep, F.inline(F.array(*pairs)))
     group = [*by, "__out"]
