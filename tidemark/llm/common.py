@@ -13,6 +13,8 @@ from tidemark.session import shared_folder
 
 #: Drops the shuffle files of a query as soon as that query has been written.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that a Python worker holds at once; whole texts are wide rows.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bytes of text that array code handles at once; a longer document is a slice of its own.
 SLICE_BYTES = 2_000_000
 #: The bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -27,12 +29,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the folder that all executors share and read it again: later jobs do not depend on this one's executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/{name}"
-    before = spark.conf.get(SHUFFLE_CLEANUP)
+    before = {key: spark.conf.get(key) for key in (SHUFFLE_CLEANUP, ARROW_ROWS)}
     spark.conf.set(SHUFFLE_CLEANUP, "true")
+    spark.conf.set(ARROW_ROWS, str(min(2000, int(before[ARROW_ROWS]))))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -99,7 +103,7 @@ class Rolling:
         """Prefix sums over bytes (through a random table) or over 64-bit symbols."""
         n = len(values)
         if len(self.up) <= n:
-            size = max(n + 1, SLICE_BYTES)
+            size = n + n // 8 + 65_536
             for name, factor in (("up", self.base), ("down", self.inverse)):
                 powers = np.full(size, np.uint64(factor))
                 powers[0] = 1

@@ -28,9 +28,9 @@ from tidemark.llm.sketch import CountSketch
 
 FULL, EDGE = 0, 1
 #: Bytes of text that array code handles at once, and whose anchors are compared before they are exchanged.
-SLICE, SETTLED = 1_000_000, 8_000_000
+SLICE, SETTLED = 500_000, 5_000_000
 #: Windows of edges that are compared before they are exchanged.
-WINDOWS = 250_000
+WINDOWS = 200_000
 _anchor_hash, _block_hash, _word_hash = Rolling(505), Rolling(606), Rolling(707)
 
 

@@ -1,6 +1,6 @@
 """Suffix-array dedup (operator 2): depth-limited radix sort of suffixes, by most-significant-digit passes.
 
-Suffixes are ordered no further than their first 50 bytes. The first digit is the suffix's anchor (18 bytes), the second
+Suffixes are ordered no further than their first 50 bytes. The first digit is the suffix's anchor (24 bytes), the second
 the block around it; suffixes that stand alone after a digit, or whose whole block repeats, are settled and leave. The few
 others are ordered by three further digits of 32 bits, an image of their 50 bytes: equal groups are the repeated windows.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import Rolling, mixed
 from tidemark.llm.repeats import Unit, least_of, runs, without_repeats
 
-LENGTH, ANCHOR, DIGITS = 50, 18, 3
+LENGTH, ANCHOR, DIGITS = 50, 24, 3
 _first, _second = Rolling(808), Rolling(909)
 
 
