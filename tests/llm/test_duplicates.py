@@ -64,7 +64,7 @@ def test_long_prefixes_are_used_for_frequent_ones():
     symbols = np.arange(40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     starts = np.arange(20)
     columns = suffix_tree.codes(symbols, starts)
-    rare, often = np.zeros((2, 1 << 20), np.uint8), np.full((2, 1 << 20), 9, np.uint8)
+    rare, often = np.zeros((2, 1 << 20), np.uint8), np.full((2, 1 << 20), 19, np.uint8)
     routes = {level: suffix_tree.prefix_route(symbols, starts, columns, table) for level, table in (("rare", rare), ("often", often))}
     assert len(set(routes["rare"].tolist())) == len(set(routes["often"].tolist())) == 20
     assert not set(routes["rare"].tolist()) & set(routes["often"].tolist())

@@ -4,9 +4,9 @@
    sketch of fixed size. The sketch only orders shingles, rare ones first; any order gives right results.
 2. A second pass takes each set's prefix in that order. Sets with identical prefix and size are one group. Groups that
    share a prefix shingle and pass the size and position filters are candidates; members are expanded and verified.
-3. Candidates are taken in rounds. First each group meets one head for each of its shingles, which makes as many pairs
-   as postings and joins cohesive groups at once; then exactly those pairs are expanded whose sides are not yet
-   connected. No link that could join two components is left out, and no group is paired with itself in full.
+3. Candidates are taken in two rounds. First each group meets one head for each of its shingles, which makes no more pairs
+   than postings and joins cohesive groups at once; then exactly those pairs are expanded whose sides are not yet
+   connected and not yet tested. No link that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -23,10 +23,14 @@ from tidemark.llm.sketch import CountSketch, cell
 
 SHINGLE = 5
 #: Two sets link when 7 * common >= 3 * (sizes' sum): a Jaccard similarity of 0.75.
-#: A shingle this many doublings above the mean cell is known to be shared and needs no counting; its postings stay spread out.
-HOT_LEVEL = 6
-HEAD_ROUNDS = 2
+#: A shingle this many half doublings above the mean cell is known to be shared and needs no counting; its postings stay spread out.
+HOT_LEVEL = 12
+#: The order's sketch has a cell for so many characters, between these bounds: the upper one bounds what is broadcast (64 MB).
+#: Past it the order gets coarser, which makes more candidates but no other result.
+CHARACTERS_PER_CELL, LEAST_CELLS, MOST_CELLS = 128, 1 << 18, 1 << 26
 SLICE = 4_000_000
+#: Parts in which candidate pairs are verified.
+SLICES = 4
 
 _letters, _order = Rolling(303), Rolling(404)
 _seeds = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)]
@@ -56,11 +60,11 @@ def binaries(rows: list[bytes]) -> pa.Array:
 KEY = "coalesce(cast(doc_id as bigint), xxhash64(text)) as key"
 
 
-def _profile(docs: DataFrame, size: int) -> DataFrame:
+def _profile(docs: DataFrame, size: int, cells: int) -> DataFrame:
     """Rows doc_id, key, text_key, n_shingles, gid for documents; and rows part, counts (compressed) of the task's sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = CountSketch(2)
+        sketch = CountSketch(1, cells)
         names = ["doc_id", "key", "text_key", "n_shingles", "gid", "part", "counts"]
         kind = None
         for batch in batches:
@@ -73,9 +77,7 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
                 sizes += map(len, sets)
                 ids += map(set_identity, sets)
                 if sets:
-                    every = np.concatenate(sets)
-                    for row in range(2):
-                        sketch.add(row, every)
+                    sketch.add(0, np.concatenate(sets))
             none = pa.nulls(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), binaries(ids), none.cast(pa.int32()), none.cast(pa.binary())], names)
         if kind is not None:
@@ -87,7 +89,7 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
     return docs.selectExpr("doc_id", "text", KEY, "xxhash64(text) as text_key").mapInArrow(work, f"doc_id {kind}, key long, text_key long, n_shingles long, gid binary, part int, counts binary")
 
 
-def _prefixes(docs: DataFrame, levels, size: int, buckets: int) -> DataFrame:
+def _prefixes(docs: DataFrame, levels, cells: int, size: int, buckets: int) -> DataFrame:
     """Postings (token, grp, n, pos) of prefix shingles that several groups share, and members (grp, gid, n) without a token.
 
     Within a slice a group is written once. Common shingles go on as single rows; the others are packed by hash range and
@@ -113,7 +115,7 @@ def _prefixes(docs: DataFrame, levels, size: int, buckets: int) -> DataFrame:
                         continue
                     if len(seen_members) < 200_000:
                         seen_members.add(gid)
-                    rank = np.minimum(level[0][cell(found, 0)], level[1][cell(found, 1)]).astype(np.uint64)
+                    rank = level[0][cell(found, 0, cells)].astype(np.uint64)
                     prefix = np.sort((rank << np.uint64(56)) | (found >> np.uint64(8)))[: n - (3 * n + 3) // 4 + 1]
                     grp = set_identity(np.append(prefix, np.uint64(n)))
                     member.append((grp, gid, n))
@@ -185,26 +187,30 @@ def _prefixes(docs: DataFrame, levels, size: int, buckets: int) -> DataFrame:
     return spread.repartition(buckets, "bucket").mapInArrow(meet, "token long, grp binary, gid binary, n long, pos long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """gid and sorted hashes (binary) of the wanted sets; wanted: key of a document that has it, gid."""
+def _sets(docs: DataFrame, wanted: DataFrame, size: int, name: str) -> DataFrame:
+    """gid and sorted hashes (binary) of the wanted sets; wanted: gid, key of a document that has it, whether several rows have that key."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = buffer(batch.column(1))
-            out = []
+            kept, ids, found_sets = [], [], []
             for a, b in slices(offsets, SLICE):
                 hashes, at = shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
                 for i, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                     found = np.unique(hashes[x:y])
-                    if set_identity(found) == batch.column(0)[a + i].as_py():  # a repeated key may have another text
-                        out.append((set_identity(found), found.tobytes()))
-            yield pa.RecordBatch.from_arrays([binaries([o[0] for o in out]), binaries([o[1] for o in out])], ["gid", "hashes"])
+                    if (own := set_identity(found)) == batch.column(0)[a + i].as_py():  # a repeated key may have another text
+                        kept.append(a + i)
+                        ids.append(own)
+                        found_sets.append(found.tobytes())
+            yield pa.RecordBatch.from_arrays([binaries(ids), binaries(found_sets), batch.column(2).take(pa.array(kept, pa.int64()))], ["gid", "hashes", "again"])
 
-    return docs.selectExpr("text", KEY).join(wanted, "key").select("gid", "text").mapInArrow(work, "gid binary, hashes binary").dropDuplicates(["gid"])
+    joined = docs.selectExpr("text", KEY).join(wanted, "key").select("gid", "text", "again")
+    found = stored(joined.mapInArrow(work, "gid binary, hashes binary, again boolean"), name)
+    return found.where("not again").drop("again").unionByName(found.where("again").drop("again").dropDuplicates(["gid"]))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that link."""
+def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) of sets that link. A slice of the pairs at a time, so that few copies of sets are on disk together."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,9 +221,14 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(7 * int((both[1:] == both[:-1]).sum()) >= 3 * (len(p) + len(q)))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    left = pairs.join(sets.select(F.col("gid").alias("a"), F.col("hashes").alias("left")), "a")
-    both = left.join(sets.select(F.col("gid").alias("b"), F.col("hashes").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(work, "a binary, b binary")
+    found = None
+    for k in range(SLICES):
+        mine = lambda c, k=k: F.pmod(F.xxhash64(c), F.lit(SLICES)) == k
+        left = pairs.where(mine("a")).join(sets.select(F.col("gid").alias("a"), F.col("hashes").alias("left")).where(mine("a")), "a")
+        both = left.join(sets.select(F.col("gid").alias("b"), F.col("hashes").alias("right")), "b")
+        part = stored(both.select("a", "b", "left", "right").mapInArrow(work, "a binary, b binary"), f"{name}{k}")
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -257,34 +268,34 @@ FITS = "7 * least({x}.n - {x}.pos, {y}.n - {y}.pos) >= 3 * ({x}.n + {y}.n)"
 def linked(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, text_key, n_shingles and label of every row: rows with equal labels and a shingle are one component."""
     spark = docs.sparkSession
-    profile = stored(_profile(docs, size), "profile")
-    levels = spark.sparkContext.broadcast(CountSketch.levels(profile.where("part is not null").select("part", "counts"), 2))  # of fixed size
+    wanted = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // CHARACTERS_PER_CELL
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << int(wanted).bit_length()))
+    profile = stored(_profile(docs, size, cells), "profile")
+    levels = spark.sparkContext.broadcast(CountSketch.levels(profile.where("part is not null").select("part", "counts"), 1, cells))  # MOST_CELLS bytes at most
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    prefixes = stored(_prefixes(docs, levels, size, buckets), "prefixes")
+    prefixes = stored(_prefixes(docs, levels, cells, size, buckets), "prefixes")
     people = profile.where("part is null").select("doc_id", "key", "text_key", "n_shingles", "gid")
     members = prefixes.where("token is null").groupBy("grp", "gid").agg(F.first("n").alias("n"))
     several = members.groupBy("grp").agg(F.count("*").alias("k"), F.min("gid").alias("head")).where("k > 1")
     postings = prefixes.where("token is not null").select("token", "grp", "n", "pos").withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3))))
     touched = postings.select("grp").unionByName(several.select("grp")).distinct()
     live = stored(members.join(touched, "grp"), "members")
-    of_sets = people.where("n_shingles > 0").groupBy("gid").agg(F.min("key").alias("key"))
-    sets = stored(_sets(docs, live.select("gid").distinct().join(of_sets, "gid"), size), "sets")
-
-    links = None
-    labels = None
-    for turn in range(HEAD_ROUNDS):
-        seed = F.xxhash64("grp", F.lit(turn))
-        heads = postings.groupBy("token", "band").agg(F.min_by(F.struct("grp", "n", "pos"), seed).alias("h"), F.count("*").alias("k"))
-        own = heads.select("token", "band", "h.*")
-        near = own.unionByName(own.withColumn("band", F.col("band") + 1))
-        pairs = postings.alias("p").join(near.alias("q"), ["token", "band"]).where("p.grp <> q.grp").where(FITS.format(x="p", y="q")).select(F.greatest("p.grp", "q.grp").alias("x"), F.least("p.grp", "q.grp").alias("y")).distinct()
-        inside = several.select(F.col("grp").alias("x"), "head")
-        candidates = _expanded(pairs, live, labels)
-        if turn == 0:
-            candidates = candidates.unionByName(inside.join(live.select(F.col("grp").alias("x"), F.col("gid").alias("a")), "x").where("a <> head").select("a", F.col("head").alias("b"))).distinct()
-        found = stored(_verified(candidates, sets), f"links{turn}")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+    keys = people.groupBy("key").agg((F.count("*") > 1).alias("again"))
+    where = stored(people.where("n_shingles > 0").groupBy("gid").agg(F.min("key").alias("key")).join(keys, "key"), "where")
+
+    def links_of(candidates: DataFrame, name: str) -> DataFrame:
+        """The candidates that link; only their sets are read."""
+        pairs = stored(candidates, f"pairs_{name}")
+        wanted = pairs.select(F.col("a").alias("gid")).unionByName(pairs.select(F.col("b").alias("gid"))).distinct().join(where, "gid")
+        return _verified(pairs, _sets(docs, wanted, size, f"sets_{name}"), f"links_{name}")
+
+    # Each group meets the heads of its shingles, and the members of a group meet its smallest.
+    heads = postings.groupBy("token", "band").agg(F.min_by(F.struct("grp", "n", "pos"), F.xxhash64("grp")).alias("h")).select("token", "band", "h.*")
+    near = heads.unionByName(heads.withColumn("band", F.col("band") + 1))
+    pairs = postings.alias("p").join(near.alias("q"), ["token", "band"]).where("p.grp <> q.grp").where(FITS.format(x="p", y="q")).select(F.greatest("p.grp", "q.grp").alias("x"), F.least("p.grp", "q.grp").alias("y")).distinct()
+    inside = several.select(F.col("grp").alias("x"), "head").join(live.select(F.col("grp").alias("x"), F.col("gid").alias("a")), "x").where("a <> head")
+    links = links_of(_expanded(pairs, live, None).unionByName(inside.select("a", F.col("head").alias("b"))).distinct(), "heads")
+    labels = components(links)
 
     # What is not connected yet: of each shingle, all groups outside its largest component against all others.
     known = live.join(labels, F.col("gid") == F.col("node"), "left").select("grp", F.coalesce("label", "gid").alias("label"))
@@ -297,7 +308,8 @@ def linked(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     near = small.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     rest = near.alias("p").join(open_.alias("q"), ["token", "band"]).where("p.label <> q.label").where(FITS.format(x="p", y="q")).select(F.greatest("p.grp", "q.grp").alias("x"), F.least("p.grp", "q.grp").alias("y")).distinct()
     inside = several.select(F.col("grp").alias("x"), F.col("grp").alias("y"))
-    last = stored(_verified(_expanded(rest.unionByName(inside), live, labels), sets), "links_rest")
+    tested = _expanded(pairs, live, None)
+    last = links_of(_expanded(rest.unionByName(inside), live, labels).join(tested, ["a", "b"], "left_anti"), "rest")
     final = components(links.unionByName(last))
 
     return people.join(final, F.col("gid") == F.col("node"), "left").select("doc_id", "text_key", "n_shingles", F.coalesce("label", "gid").alias("label"))

@@ -1,4 +1,4 @@
-"""A count sketch of fixed size, summed over all tasks, for choices that need to know what is frequent (never for results)."""
+"""A count sketch of bounded size, summed over all tasks, for choices that need to know what is frequent (never for results)."""
 
 from __future__ import annotations
 
@@ -12,19 +12,20 @@ from pyspark.sql import DataFrame
 CELLS, PART = 1 << 20, 1 << 15
 
 
-def cell(hashes: np.ndarray, row: int) -> np.ndarray:
+def cell(hashes: np.ndarray, row: int, cells: int = CELLS) -> np.ndarray:
     """The cell of each 64-bit hash in a row of the sketch."""
-    return ((hashes >> np.uint64(20 * (row % 2) + 8)) & np.uint64(CELLS - 1)).astype(np.int64)
+    return ((hashes >> np.uint64(20 * (row % 2) + 8)) & np.uint64(cells - 1)).astype(np.int64)
 
 
 class CountSketch:
-    """One task's counts; rows may count one thing twice (for a smaller estimate) or different things."""
+    """One task's counts; each row counts things of one kind."""
 
-    def __init__(self, rows: int):
-        self.counts = np.zeros((rows, CELLS), np.uint32)
+    def __init__(self, rows: int, cells: int = CELLS):
+        self.counts = np.zeros((rows, cells), np.uint32)
 
     def add(self, row: int, hashes: np.ndarray) -> None:
-        self.counts[row] += np.bincount(cell(hashes, row), minlength=CELLS).astype(np.uint32)
+        places, counts = np.unique(cell(hashes, row, self.counts.shape[1]), return_counts=True)
+        self.counts[row, places] += counts.astype(np.uint32)
 
     def parts(self) -> list[tuple[int, bytes]]:
         """Numbered, compressed pieces."""
@@ -32,8 +33,8 @@ class CountSketch:
         return [(k, zlib.compress(flat[k * PART : (k + 1) * PART].tobytes(), 1)) for k in range(len(flat) // PART)]
 
     @staticmethod
-    def levels(parts: DataFrame, rows: int) -> np.ndarray:
-        """The sum of all tasks' parts (part, counts) as doublings above a row's mean cell: rows * CELLS bytes for any input."""
+    def levels(parts: DataFrame, rows: int, cells: int = CELLS) -> np.ndarray:
+        """The sum of all tasks' parts (part, counts) as half doublings above a row's mean cell: rows * cells bytes."""
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
@@ -41,11 +42,14 @@ class CountSketch:
                 for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.int64)
             for part, total in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "total"])
-
-        total = np.zeros(rows * CELLS, np.int64)
-        for row in parts.repartition(rows * CELLS // PART, "part").mapInArrow(add, "part int, total binary").collect():  # rows * CELLS numbers
-            total[row["part"] * PART : (row["part"] + 1) * PART] = np.frombuffer(row["total"], np.int64)
-        total = total.reshape(rows, CELLS)
-        mean = np.maximum(1.0, total.sum(1, keepdims=True) / CELLS)
-        return np.floor(np.log2(np.maximum(total / mean, 1))).clip(0, 63).astype(np.uint8)
+                quarters = np.floor(4 * np.log2(total + 1.0)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([quarters.tobytes()], pa.binary())], ["part", "quarters"])
+
+        quarters = np.zeros(rows * cells, np.uint8)
+        spread = min(rows * cells // PART, 64)
+        for row in parts.repartition(spread, "part").mapInArrow(add, "part int, quarters binary").collect():  # rows * cells bytes
+            quarters[row["part"] * PART : (row["part"] + 1) * PART] = np.frombuffer(row["quarters"], np.uint8)
+        quarters = quarters.reshape(rows, cells)
+        value = np.exp2(np.arange(256, dtype=np.float64) / 4)
+        base = np.stack([4 * np.log2(1 + max(1.0, value[row].mean() - 1)) for row in quarters])[:, None]
+        return np.floor((quarters - base) / 2).clip(0, 63).astype(np.uint8)

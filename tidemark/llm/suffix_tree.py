@@ -16,8 +16,8 @@ from tidemark.llm.sketch import cell
 
 LENGTH, ANCHOR = 13, 4
 PREFIXES = (4, 8)
-#: A prefix this many doublings above the mean is extended.
-FREQUENT = 3
+#: A prefix this many half doublings above the mean is extended.
+FREQUENT = 6
 _check = Rolling(1010)
 
 
