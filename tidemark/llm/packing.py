@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import buffer, slices, stored
-from tidemark.llm.tokens import KEPT_WORDS, distinct_words
+from tidemark.llm.tokens import distinct_words
 
 WINDOW = 2048
 #: Members of a combination at most, and combinations tried per length and depth.
@@ -28,8 +28,8 @@ STEPS = 300
 
 #: Letters that normalisation leaves alone but for case, then marks that the vocabulary splits from letters.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-#: Plain words without marks that a worker keeps; encoding one again costs most.
-KEPT_PARTS = 1_000_000
+#: Words that a worker keeps; a full table is emptied, which costs time but changes nothing.
+KEPT = 1_000_000
 #: Words of one call of the library.
 TOGETHER = 4000
 SLICE = 6_000_000
@@ -50,8 +50,7 @@ class Encoder:
         self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.closing[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {"": b""}
 
     def alone(self, names: list[str]) -> Iterator[tuple[str, bytes]]:
         for word, found in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False), strict=True):
@@ -72,25 +71,26 @@ class Encoder:
 
     def encode(self, names: list[str]) -> list[bytes]:
         """Identifiers of distinct words as little-endian unsigned 32-bit numbers."""
-        known, parts = self.known, self.parts
-        if len(known) > KEPT_WORDS:
+        known = self.known
+        if len(known) > KEPT:
             known.clear()
-        if len(parts) > KEPT_PARTS:
-            parts.clear()
-            parts[""] = b""
+            known[""] = b""
+        coded = [*map(known.get, names)]
+        missing = [w for w, c in zip(names, coded, strict=True) if c is None]
+        if not missing:
+            return coded
         split, odd = [], []
-        for word in names:
-            if word not in known:
-                if found := SIMPLE.fullmatch(word):
-                    split.append((word, found[1].lower(), found[2]))
-                else:
-                    odd.append(word)
+        for word in missing:
+            if found := SIMPLE.fullmatch(word):
+                split.append((word, found[1].lower(), found[2]))
+            else:
+                odd.append(word)
         known.update(self.alone(odd))
-        parts.update(self.alone([*{m for _, _, m in split if m not in parts}]))
-        parts.update(self.together([*{w for _, w, _ in split if w not in parts}]))
+        known.update(self.alone([*{m for _, _, m in split if m not in known}]))
+        known.update(self.together([*{w for _, w, _ in split if w not in known}]))
         for word, letters, marks in split:
-            known[word] = parts[letters] + parts[marks]
-        return [known[w] for w in names]
+            known[word] = known[letters] + known[marks]
+        return [*map(known.__getitem__, names)]
 
 
 _encoders: dict[str, Encoder] = {}
