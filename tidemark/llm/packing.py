@@ -29,10 +29,10 @@ STEPS = 300
 #: Letters that normalisation leaves alone but for case, then marks that the vocabulary splits from letters.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: Words that a worker keeps; a full table is emptied, which costs time but changes nothing.
-KEPT = 1_000_000
+KEPT = 600_000
 #: Words of one call of the library.
 TOGETHER = 4000
-SLICE = 6_000_000
+SLICE = 5_000_000
 
 
 class Encoder:
