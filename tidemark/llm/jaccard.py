@@ -289,8 +289,9 @@ def linked(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("gid")).unionByName(pairs.select(F.col("b").alias("gid"))).distinct().join(where, "gid")
         return _verified(pairs, _sets(docs, wanted, size, f"sets_{name}"), f"links_{name}")
 
-    # Each group meets the heads of its shingles, and the members of a group meet its smallest.
-    heads = postings.groupBy("token", "band").agg(F.min_by(F.struct("grp", "n", "pos"), F.xxhash64("grp")).alias("h")).select("token", "band", "h.*")
+    # Each group meets the heads of its shingles, and the members of a group meet its smallest. The head is the group with
+    # the fewest rarer shingles: among near copies the least edited one, which links to all that any of them links to.
+    heads = postings.groupBy("token", "band").agg(F.min_by(F.struct("grp", "n", "pos"), F.struct(F.col("pos") / F.col("n"), "grp")).alias("h")).select("token", "band", "h.*")
     near = heads.unionByName(heads.withColumn("band", F.col("band") + 1))
     pairs = postings.alias("p").join(near.alias("q"), ["token", "band"]).where("p.grp <> q.grp").where(FITS.format(x="p", y="q")).select(F.greatest("p.grp", "q.grp").alias("x"), F.least("p.grp", "q.grp").alias("y")).distinct()
     inside = several.select(F.col("grp").alias("x"), "head").join(live.select(F.col("grp").alias("x"), F.col("gid").alias("a")), "x").where("a <> head")
