@@ -126,6 +126,19 @@ def test_inconsistent_parameters_are_no_leak(spark):
     assert {r["doc_id"] for r in decontamination.leaks(frame, items).collect()} == {1, 3}
 
 
+def found_leaks(spark, docs, items):
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+def test_exact_copies_of_items_made_of_placeholders_are_found(spark):
+    rng = random.Random(8)
+    items = [(0, "Compute 12 + 34 * 56 - 78 / 9"), (1, "The Treaty Of New Hampton Was Signed By Lord Amber And Lady Stone"), (2, "17 4 23 9 88"), (3, "1 2 3 4 5 6 7 8 9 10 11 12")]
+    docs = [(k, sentence(rng, 30) + " " + text + " " + sentence(rng, 30)) for k, text in items]
+    docs += [(10, sentence(rng, 30) + " Compute 12 - 34 / 56 + 78 * 9 " + sentence(rng, 30)), (11, "17 4 23 9 87"), (12, sentence(rng, 60))]
+    assert found_leaks(spark, docs, items) == {(0, 0), (1, 1), (2, 2), (3, 3)}
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -2,7 +2,7 @@
 
 Numbers, names and units become placeholders, so a question whose parameters were changed still has the template windows
 of the original. A pair of document and item counts as a leak if enough of the item is covered and the parameters were
-replaced consistently.
+replaced consistently. Every window is also looked for word by word, so an exact copy is found whatever its words are.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from tidemark.llm.common import LOWER, Rolling, buffer, mixed, slices, stored, w
 #: Words of a window; an item with fewer is one window of its own length, with fewer than LEAST_WORDS it never matches.
 WINDOW = 8
 LEAST_WORDS = 3
-#: Words of a window that must be literal: more than half of it.
+#: Words of a template window that must be literal: more than half of it. Windows with more placeholders match word by word only.
 LITERAL = 0.5
 #: Least share of the item's words under matched windows, and of its parameters that are replaced by one value each.
 COVERED = 0.5
@@ -29,7 +29,7 @@ WINDOWS_PER_PASS = 2_000_000
 SLICE = 6_000_000
 UNITS = "kg g mg km m cm mm mi ft in lb oz l ml s sec min h hr hours minutes seconds days weeks months years euro euros dollar dollars cents usd eur percent degrees mph kmh kwh mb gb tb stunden tage jahre heures jours ans horas días años".split()
 
-_rolling, _window_hash = Rolling(101), Rolling(202)
+_rolling, _window_hash, _literal_hash = Rolling(101), Rolling(202), Rolling(303)
 NUM, NAME, UNIT = (mixed(np.array([k], np.uint64))[0] for k in (11, 12, 13))
 _digit = np.isin(np.arange(256), np.arange(48, 58))
 _word_byte = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
@@ -44,10 +44,10 @@ _units = np.array(sorted(map(_hash_of, UNITS)), np.uint64)
 
 
 def templates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each word: its symbol (hash of the trimmed lower-case word, or a placeholder), whether it is one, and its trimmed bounds; then each row's first word."""
+    """For each word: its symbol (hash of the trimmed lower-case word, or a placeholder), whether it is one, and its trimmed bounds; then each row's first word, and each word's literal symbol."""
     starts, ends, first = words(raw, offsets)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, bool), starts, ends, first
+        return np.zeros(0, np.uint64), np.zeros(0, bool), starts, ends, first, np.zeros(0, np.uint64)
     low = LOWER[raw]
     accented = np.zeros(len(raw), bool)  # capital Latin letters of two bytes
     accented[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
@@ -56,7 +56,11 @@ def templates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     for _ in range(4):
         begin += (begin < end) & ~_word_byte[raw[np.minimum(begin, len(raw) - 1)]]
         end -= (begin < end) & ~_word_byte[raw[end - 1]]
-    symbol = _rolling.between(_rolling.prefix(low), begin, end)
+    sums = _rolling.prefix(low)
+    symbol = _rolling.between(sums, begin, end)
+    bare = begin >= end  # marks alone, which are told apart in literal windows only
+    literal = symbol.copy()
+    literal[bare] = _rolling.between(sums, starts[bare], ends[bare])
     digits = np.concatenate([[0], np.cumsum(_digit[raw])])
     number = digits[ends] > digits[starts]
     unit = np.zeros(len(starts), bool)
@@ -72,50 +76,62 @@ def templates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     opening[first[:-1][first[:-1] < len(starts)]] = True
     name = capital & ~opening & ~number
     symbol[number], symbol[unit], symbol[name] = NUM, UNIT, NAME
-    return symbol, number | unit | name, begin, end, first
+    return symbol, number | unit | name, begin, end, first, literal
 
 
-def windows(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Hash, first word and row of every usable window of `size` words, with what templates() found."""
-    found = symbol, slot, _, _, first = templates(raw, offsets)
+def windows(raw: np.ndarray, offsets: np.ndarray, size: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Hash, first word, row and whether it is literal of every window of `size` words, with what templates() found; only hashes in `wanted`, if given.
+
+    A window has a template hash, if enough of its words are literal, and in any case a hash of its words as they are.
+    """
+    found = symbol, slot, _, _, first, literal = templates(raw, offsets)
     n = len(symbol)
     if n < size:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), found
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), found
     at = np.arange(n - size + 1)
-    hashes = _window_hash.between(_window_hash.prefix(symbol), at, at + size)
     slots = np.concatenate([[0], np.cumsum(slot)])
     row = np.searchsorted(first, at, "right") - 1
-    usable = (first[row + 1] >= at + size) & (slots[at + size] - slots[at] < size * (1 - LITERAL))
-    return hashes[usable], at[usable], row[usable], found
+    inside = first[row + 1] >= at + size
+    typed = _window_hash.between(_window_hash.prefix(symbol), at, at + size)
+    kinds = [(typed, inside & (slots[at + size] - slots[at] < size * (1 - LITERAL)), False)]
+    kinds.append((_literal_hash.between(_literal_hash.prefix(literal), at, at + size), inside, True))
+    kept = []
+    for hashes, usable, kind in kinds:
+        if wanted is not None:
+            usable = usable & _among(hashes, wanted)
+        kept.append((hashes[usable], at[usable], row[usable], np.full(int(usable.sum()), kind)))
+    return *map(np.concatenate, zip(*kept, strict=True)), found
+
+
+def _among(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(wanted):
+        return np.zeros(len(hashes), bool)
+    return wanted[np.searchsorted(wanted, hashes).clip(0, len(wanted) - 1)] == hashes
 
 
 def _slot_values(raw: np.ndarray, at: int, size: int, found: tuple) -> list[str]:
-    _, slot, begin, end, _ = found
+    _, slot, begin, end, *_ = found
     return [raw[begin[k] : end[k]].tobytes().decode(errors="replace") for k in range(at, at + size) if slot[k]]
 
 
-WINDOW_ROWS = "pos int, hash long, slots array<string>"
+WINDOW_ROWS = "pos int, hash long, literal boolean, slots array<string>"
 
 
 def _window_rows(table: DataFrame, key: str, size: int, wanted: np.ndarray | None, shorter: bool = False) -> DataFrame:
-    """Windows of a table as rows (key, pos, hash, slots); only hashes in `wanted`, if given. shorter: only texts of exactly `size` words."""
+    """Windows of a table as rows (key, pos, hash, literal, slots); only hashes in `wanted`, if given. shorter: only texts of exactly `size` words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = buffer(batch.column(1))
             for a, b in slices(offsets, SLICE):
                 part = raw[offsets[a] : offsets[b]]
-                hashes, at, row, found = windows(part, offsets[a : b + 1] - offsets[a], size)
-                keep = np.ones(len(hashes), bool)
-                if wanted is not None:
-                    near = np.searchsorted(wanted, hashes).clip(0, max(0, len(wanted) - 1))
-                    keep = wanted[near] == hashes if len(wanted) else ~keep
-                first = found[-1]
+                hashes, at, row, literal, found = windows(part, offsets[a : b + 1] - offsets[a], size, wanted)
+                first = found[4]
                 if shorter:
-                    keep &= (first[row + 1] - first[row]) == size
-                hashes, at, row = hashes[keep], at[keep], row[keep]
+                    keep = (first[row + 1] - first[row]) == size
+                    hashes, at, row, literal = hashes[keep], at[keep], row[keep], literal[keep]
                 slots = pa.array([_slot_values(part, int(x), size, found) for x in at], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array((at - first[row]).astype(np.int32)), pa.array(hashes.view(np.int64)), slots], ["key", "pos", "hash", "slots"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array((at - first[row]).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(literal), slots], ["key", "pos", "hash", "literal", "slots"])
 
     kind = table.schema[key].dataType.simpleString()
     return table.select(F.col(key).alias("key"), "text").mapInArrow(work, f"key {kind}, {WINDOW_ROWS}")
@@ -141,9 +157,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             some = own.where(F.pmod(F.col("hash"), F.lit(passes)) == p)
             wanted = np.unique(np.array([r[0] for r in some.select("hash").distinct().collect()], np.int64).view(np.uint64))
             found = _window_rows(docs, "doc_id", size, wanted).withColumnRenamed("key", "doc_id")
-            matched = found.alias("d").join(some.distinct().alias("b"), "hash").select(
+            # In a literal match all values are the item's own.
+            matched = found.alias("d").join(some.distinct().alias("b"), ["hash", "literal"]).select(
                 "doc_id", "item_id", F.lit(size).alias("size"), F.col("b.pos").alias("pos"),
-                F.expr("zip_with(b.slots, d.slots, (x, y) -> struct(x as item_value, y as doc_value))").alias("slots"),
+                F.expr("zip_with(b.slots, if(literal, b.slots, d.slots), (x, y) -> struct(x as item_value, y as doc_value))").alias("slots"),
             )
             hits = matched if hits is None else hits.unionByName(matched)
     if hits is None:
