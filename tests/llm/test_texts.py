@@ -139,6 +139,17 @@ def test_exact_copies_of_items_made_of_placeholders_are_found(spark):
     assert found_leaks(spark, docs, items) == {(0, 0), (1, 1), (2, 2), (3, 3)}
 
 
+def test_variants_beside_an_exact_copy_do_not_hide_it(spark):
+    rng = random.Random(9)
+    variants = [ITEM]
+    for k in range(1, 4):
+        variants.append(ITEM.replace("12", str(30 + k)).replace(" 5 ", f" {60 + k} ").replace("40", str(70 + k)).replace("Maria", ["Helena", "Tom", "Ida"][k - 1]))
+    longer = [v.replace("to his neighbour", "to his very old neighbour") for v in variants[1:]]
+    docs = [(1, " ".join(variants)), (2, (" " + sentence(rng, 9) + " ").join(variants[1:])), (3, " ".join(longer)), *[(4, sentence(rng, 7) + " " + v) for v in variants], (5, sentence(rng, 90))]
+    docs += [(6, " ".join(ITEM.split()[:13]) + " " + sentence(rng, 50) + " " + " ".join(ITEM.split()[13:]))]
+    assert found_leaks(spark, docs, [(0, ITEM)]) == {(k, 0) for k in (1, 2, 3, 4, 6)}
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

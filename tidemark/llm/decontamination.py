@@ -7,6 +7,7 @@ replaced consistently. Every window is also looked for word by word, so an exact
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,11 +115,11 @@ def _slot_values(raw: np.ndarray, at: int, size: int, found: tuple) -> list[str]
     return [raw[begin[k] : end[k]].tobytes().decode(errors="replace") for k in range(at, at + size) if slot[k]]
 
 
-WINDOW_ROWS = "pos int, hash long, literal boolean, slots array<string>"
+WINDOW_ROWS = "part long, pos int, hash long, literal boolean, slots array<string>"
 
 
 def _window_rows(table: DataFrame, key: str, size: int, wanted: np.ndarray | None, shorter: bool = False) -> DataFrame:
-    """Windows of a table as rows (key, pos, hash, literal, slots); only hashes in `wanted`, if given. shorter: only texts of exactly `size` words."""
+    """Windows of a table as rows (key, part, pos, hash, literal, slots), part being a hash of the row's whole text; only hashes in `wanted`, if given. shorter: only texts of exactly `size` words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,8 +131,11 @@ def _window_rows(table: DataFrame, key: str, size: int, wanted: np.ndarray | Non
                 if shorter:
                     keep = (first[row + 1] - first[row]) == size
                     hashes, at, row, literal = hashes[keep], at[keep], row[keep], literal[keep]
+                own, which = np.unique(row, return_inverse=True)
+                texts = [part[x:y].tobytes() for x, y in zip((offsets[own + a] - offsets[a]).tolist(), (offsets[own + a + 1] - offsets[a]).tolist(), strict=True)]
+                texts = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True) for t in texts], np.int64)[which]
                 slots = pa.array([_slot_values(part, int(x), size, found) for x in at], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array((at - first[row]).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(literal), slots], ["key", "pos", "hash", "literal", "slots"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(texts), pa.array((at - first[row]).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(literal), slots], ["key", "part", "pos", "hash", "literal", "slots"])
 
     kind = table.schema[key].dataType.simpleString()
     return table.select(F.col(key).alias("key"), "text").mapInArrow(work, f"key {kind}, {WINDOW_ROWS}")
@@ -140,9 +144,13 @@ def _window_rows(table: DataFrame, key: str, size: int, wanted: np.ndarray | Non
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Leaks: doc_id, item_id, windows, coverage, slots, consistency.
 
-    A row for each pair whose matched windows cover at least COVERED of the item's words with at least CONSISTENT of its
-    parameters replaced by one value each. Null texts have no words. Rows with one doc_id count together, repeated items
-    once. An empty documents or benchmark table gives no rows.
+    A row for each pair with an occurrence whose matched windows cover at least COVERED of the item's words with at least
+    CONSISTENT of its parameters replaced by one value each; of several, the one that covers most. An occurrence is a set
+    of windows of one row whose places in the document and in the item differ by equally much, or, as words may have been
+    put in or left out, by a run of amounts less than the item's length apart. Such runs are cut in two ways, half a
+    length apart, so that a cut through an occurrence in one is none in the other. All windows of the pair together are
+    judged as well: parts of an item can stand apart. Null texts have no words. Rows with one doc_id count together,
+    repeated items once. An empty documents or benchmark table gives no rows.
     """
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     size_of = F.size(F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"))
@@ -159,24 +167,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             found = _window_rows(docs, "doc_id", size, wanted).withColumnRenamed("key", "doc_id")
             # In a literal match all values are the item's own.
             matched = found.alias("d").join(some.distinct().alias("b"), ["hash", "literal"]).select(
-                "doc_id", "item_id", F.lit(size).alias("size"), F.col("b.pos").alias("pos"),
+                "doc_id", "item_id", F.lit(size).alias("size"), F.col("b.pos").alias("pos"), F.col("d.part").alias("part"), (F.col("d.pos") - F.col("b.pos")).alias("shift"),
                 F.expr("zip_with(b.slots, if(literal, b.slots, d.slots), (x, y) -> struct(x as item_value, y as doc_value))").alias("slots"),
             )
             hits = matched if hits is None else hits.unionByName(matched)
     if hits is None:
-        hits = docs.select("doc_id").join(items.select("item_id"), F.lit(False)).select("doc_id", "item_id", F.lit(0).alias("size"), F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<item_value:string,doc_value:string>>)").alias("slots"))
-    grouped = hits.groupBy("doc_id", "item_id").agg(
-        F.count("*").alias("windows"),
-        F.array_distinct(F.flatten(F.collect_set(F.sequence("pos", F.col("pos") + F.col("size") - 1)))).alias("covered"),
+        hits = docs.select("doc_id").join(items.select("item_id"), F.lit(False)).select("doc_id", "item_id", F.lit(0).alias("size"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("part"), F.lit(0).alias("shift"), F.expr("cast(array() as array<struct<item_value:string,doc_value:string>>)").alias("slots"))
+    place = F.expr("""explode(array(
+        struct(0 as way, part, cast(shift as long) as run), struct(1 as way, part, floor(shift / n_words) as run),
+        struct(2 as way, part, floor((shift + n_words / 2) / n_words) as run), struct(3 as way, 0L as part, 0L as run)))""")
+    grouped = hits.join(sizes, "item_id").withColumn("place", place).groupBy("doc_id", "item_id", "n_words", "place").agg(
+        F.collect_set(F.struct("size", "pos")).alias("windows"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
+    covered = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.sequence(w["pos"], w["pos"] + w["size"] - 1))))
     parameters = F.size(F.array_distinct(F.transform("slots", lambda s: s["item_value"])))
     # Copying a value unchanged and replacing it by one other value are both consistent; several values for one aren't.
-    judged = grouped.join(sizes, "item_id").select(
-        "doc_id", "item_id", "windows", F.least(F.lit(1.0), F.size("covered") / F.col("n_words")).alias("coverage"), F.size("slots").alias("slots"),
+    judged = grouped.select(
+        "doc_id", "item_id", F.size("windows").cast("long").alias("windows"), F.least(F.lit(1.0), F.size(covered) / F.col("n_words")).alias("coverage"), F.size("slots").alias("slots"),
         F.when(F.size("slots") > 0, parameters / F.size("slots")).otherwise(1.0).alias("consistency"),
     )
-    return judged.where((F.col("coverage") >= COVERED) & (F.col("consistency") >= CONSISTENT))
+    judged = judged.where((F.col("coverage") >= COVERED) & (F.col("consistency") >= CONSISTENT))
+    best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "consistency", "windows", "slots")).alias("best"))
+    return best.select("doc_id", "item_id", "best.windows", "best.coverage", "best.slots", "best.consistency")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
