@@ -150,6 +150,15 @@ def test_variants_beside_an_exact_copy_do_not_hide_it(spark):
     assert found_leaks(spark, docs, [(0, ITEM)]) == {(k, 0) for k in (1, 2, 3, 4, 6)}
 
 
+def test_items_are_found_whatever_stands_before_them(spark):
+    items = [(0, "What is the capital of France"), (1, "Miles from Rome to Oslo"), (2, "Give the sum of 3 and 4")]
+    before = ["so I asked, ", 'he said "no." ', "(and then) ", "A Title Without A Mark ", "it took 5 ", '"', "\u201c", "first line\n", "he said: ", "\u00bf"]
+    docs = [(100 * i + k, text + item + after) for i, item in items for k, text in enumerate(before) for after in [[", then", "?\u201d he said"][k % 2]]]
+    docs += [(1000, "so I asked, What is the capital of Spain, then"), (1001, "so I asked, Give the sum of 8 and 9"), (1002, "What is the price of bread")]
+    expected = {(100 * i + k, i) for i, _ in items for k in range(len(before))} | {(1000, 0), (1001, 2)}
+    assert found_leaks(spark, docs, items) == expected
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

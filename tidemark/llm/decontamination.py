@@ -32,6 +32,8 @@ UNITS = "kg g mg km m cm mm mi ft in lb oz l ml s sec min h hr hours minutes sec
 
 _rolling, _window_hash, _literal_hash = Rolling(101), Rolling(202), Rolling(303)
 NUM, NAME, UNIT = (mixed(np.array([k], np.uint64))[0] for k in (11, 12, 13))
+#: Kinds of windows: a template, one whose first word is taken as no name or unit, the words themselves.
+TYPED, LED, LITERALLY = range(3)
 _digit = np.isin(np.arange(256), np.arange(48, 58))
 _word_byte = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
@@ -44,19 +46,36 @@ def _hash_of(word: str) -> int:
 _units = np.array(sorted(map(_hash_of, UNITS)), np.uint64)
 
 
+def _marks(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Bytes of the curly quote, dash or other mark outside ASCII that starts at each byte, and of the one that ends there; whether there is any."""
+    long, short = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
+    long[:-2] = (raw[:-2] == 0xE2) & (raw[1:-1] == 0x80)
+    short[:-1] = (raw[:-1] == 0xC2) & np.isin(raw[1:], [0xA1, 0xAB, 0xBB, 0xBF])
+    starting = long * np.int8(3) + short * np.int8(2)
+    ending = np.zeros(len(raw), np.int8)
+    ending[2:] += long[:-2] * np.int8(3)
+    ending[1:] += short[:-1] * np.int8(2)
+    return starting, ending, bool(starting.any())
+
+
 def templates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each word: its symbol (hash of the trimmed lower-case word, or a placeholder), whether it is one, and its trimmed bounds; then each row's first word, and each word's literal symbol."""
+    """For each word: its symbol (hash of the trimmed lower-case word, or a placeholder), whether it is one, and its trimmed bounds; then each row's first word, each word's literal symbol, and its symbol and whether it is a placeholder as a window's first word."""
     starts, ends, first = words(raw, offsets)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, bool), starts, ends, first, np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, bool), starts, ends, first, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
     low = LOWER[raw]
     accented = np.zeros(len(raw), bool)  # capital Latin letters of two bytes
     accented[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
     low[accented] += 0x20
     begin, end = starts.copy(), ends.copy()
+    mark, mark_end, quoted = _marks(raw)
     for _ in range(4):
         begin += (begin < end) & ~_word_byte[raw[np.minimum(begin, len(raw) - 1)]]
         end -= (begin < end) & ~_word_byte[raw[end - 1]]
+        if quoted:
+            at, last = np.minimum(begin, len(raw) - 1), end - 1
+            begin += np.where(begin + mark[at] <= end, mark[at], 0)
+            end -= np.where(begin + mark_end[last] <= end, mark_end[last], 0)
     sums = _rolling.prefix(low)
     symbol = _rolling.between(sums, begin, end)
     bare = begin >= end  # marks alone, which are told apart in literal windows only
@@ -66,6 +85,7 @@ def templates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     number = digits[ends] > digits[starts]
     unit = np.zeros(len(starts), bool)
     unit[1:] = np.isin(symbol[1:], _units) & number[:-1]
+    unit[first[:-1][first[:-1] < len(starts)]] = False
     capital = np.zeros(len(starts), bool)
     inside = begin < end
     at = np.minimum(begin, len(raw) - 1)
@@ -76,31 +96,37 @@ def templates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     opening[1:] = np.isin(raw[ends[:-1] - 1], np.frombuffer(b".!?:", np.uint8)) | (line[starts[1:]] > line[ends[:-1]])
     opening[first[:-1][first[:-1] < len(starts)]] = True
     name = capital & ~opening & ~number
+    # What comes before a window is not the same in an item and in a text, so its first word is also taken as no name or unit.
+    leading = symbol.copy()
     symbol[number], symbol[unit], symbol[name] = NUM, UNIT, NAME
-    return symbol, number | unit | name, begin, end, first, literal
+    leading[number] = NUM
+    return symbol, number | unit | name, begin, end, first, literal, leading, number
 
 
 def windows(raw: np.ndarray, offsets: np.ndarray, size: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Hash, first word, row and whether it is literal of every window of `size` words, with what templates() found; only hashes in `wanted`, if given.
+    """Hash, first word, row and kind of every window of `size` words, with what templates() found; only hashes in `wanted`, if given.
 
-    A window has a template hash, if enough of its words are literal, and in any case a hash of its words as they are.
+    A window has a template hash, if enough of its words are literal, a second one if its first word is a name or unit only by
+    what comes before it, and in any case a hash of its words as they are.
     """
-    found = symbol, slot, _, _, first, literal = templates(raw, offsets)
+    found = symbol, slot, _, _, first, literal, leading, number = templates(raw, offsets)
     n = len(symbol)
     if n < size:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), found
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), found
     at = np.arange(n - size + 1)
     slots = np.concatenate([[0], np.cumsum(slot)])
     row = np.searchsorted(first, at, "right") - 1
     inside = first[row + 1] >= at + size
-    typed = _window_hash.between(_window_hash.prefix(symbol), at, at + size)
-    kinds = [(typed, inside & (slots[at + size] - slots[at] < size * (1 - LITERAL)), False)]
-    kinds.append((_literal_hash.between(_literal_hash.prefix(literal), at, at + size), inside, True))
+    sums, many = _window_hash.prefix(symbol), slots[at + size] - slots[at]
+    kinds = [(at, _window_hash.between(sums, at, at + size), inside & (many < size * (1 - LITERAL)), TYPED)]
+    led = np.flatnonzero(inside & slot[at] & ~number[at] & (many - 1 < size * (1 - LITERAL)))
+    kinds.append((led, mixed((sums[led + size] - sums[led]) * _window_hash.down[led] + leading[led] - symbol[led]), np.ones(len(led), bool), LED))
+    kinds.append((at, _literal_hash.between(_literal_hash.prefix(literal), at, at + size), inside, LITERALLY))
     kept = []
-    for hashes, usable, kind in kinds:
+    for own, hashes, usable, kind in kinds:
         if wanted is not None:
             usable = usable & _among(hashes, wanted)
-        kept.append((hashes[usable], at[usable], row[usable], np.full(int(usable.sum()), kind)))
+        kept.append((hashes[usable], own[usable], row[own[usable]], np.full(int(usable.sum()), kind)))
     return *map(np.concatenate, zip(*kept, strict=True)), found
 
 
@@ -110,9 +136,9 @@ def _among(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return wanted[np.searchsorted(wanted, hashes).clip(0, len(wanted) - 1)] == hashes
 
 
-def _slot_values(raw: np.ndarray, at: int, size: int, found: tuple) -> list[str]:
+def _slot_values(raw: np.ndarray, at: int, size: int, kind: int, found: tuple) -> list[str]:
     _, slot, begin, end, *_ = found
-    return [raw[begin[k] : end[k]].tobytes().decode(errors="replace") for k in range(at, at + size) if slot[k]]
+    return [raw[begin[k] : end[k]].tobytes().decode(errors="replace") for k in range(at + (kind == LED), at + size) if slot[k]]
 
 
 WINDOW_ROWS = "part long, pos int, hash long, literal boolean, slots array<string>"
@@ -126,16 +152,16 @@ def _window_rows(table: DataFrame, key: str, size: int, wanted: np.ndarray | Non
             raw, offsets = buffer(batch.column(1))
             for a, b in slices(offsets, SLICE):
                 part = raw[offsets[a] : offsets[b]]
-                hashes, at, row, literal, found = windows(part, offsets[a : b + 1] - offsets[a], size, wanted)
+                hashes, at, row, kinds, found = windows(part, offsets[a : b + 1] - offsets[a], size, wanted)
                 first = found[4]
                 if shorter:
                     keep = (first[row + 1] - first[row]) == size
-                    hashes, at, row, literal = hashes[keep], at[keep], row[keep], literal[keep]
+                    hashes, at, row, kinds = hashes[keep], at[keep], row[keep], kinds[keep]
                 own, which = np.unique(row, return_inverse=True)
                 texts = [part[x:y].tobytes() for x, y in zip((offsets[own + a] - offsets[a]).tolist(), (offsets[own + a + 1] - offsets[a]).tolist(), strict=True)]
                 texts = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True) for t in texts], np.int64)[which]
-                slots = pa.array([_slot_values(part, int(x), size, found) for x in at], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(texts), pa.array((at - first[row]).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(literal), slots], ["key", "part", "pos", "hash", "literal", "slots"])
+                slots = pa.array([_slot_values(part, x, size, k, found) for x, k in zip(at.tolist(), kinds.tolist(), strict=True)], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(texts), pa.array((at - first[row]).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(kinds == LITERALLY), slots], ["key", "part", "pos", "hash", "literal", "slots"])
 
     kind = table.schema[key].dataType.simpleString()
     return table.select(F.col(key).alias("key"), "text").mapInArrow(work, f"key {kind}, {WINDOW_ROWS}")
