@@ -93,6 +93,55 @@ def test_least_squares_use_most_pieces():
     assert (packing.repeats(combos, counts) >= 0).all()
 
 
+def check_plan(plan, histogram, window=2048):
+    """Every piece once and whole, every sequence full but for the last ones, which are powers of two."""
+    cover, parts = {}, {}
+    for length, low, high, begin, part, sequence, offset in plan:
+        for nth in range(high - low):
+            at = offset + nth * length if sequence < 0 else offset
+            s, at = (-1 - sequence + at // window, at % window) if sequence < 0 else (sequence + nth, at)
+            cuts = [(begin, min(part, window - at), s, at)] + ([(window - at, at + part - window, s + 1, 0)] if at + part > window else [])
+            for b, n, s, o in cuts:
+                cover.setdefault(s, []).append((o, n))
+                parts.setdefault((length, low + nth), []).append((b, n))
+    for spans, size in [*((v, None) for v in cover.values()), *((v, k[0]) for k, v in parts.items())]:
+        end = 0
+        for o, n in sorted(spans):
+            assert o == end and n > 0
+            end += n
+        assert end == size if size else end & (end - 1) == 0
+    assert sum(sum(n for _, n in v) != window for v in cover.values()) <= 11 and sorted(cover) == [*range(len(cover))]
+    assert sorted(parts) == sorted((k, r) for k, n in histogram.items() for r in range(n))
+
+
+@pytest.mark.parametrize("case", ["one length", "a third", "long ones", "few"])
+def test_plans_do_not_grow_with_the_input(case):
+    rng = np.random.default_rng(6)
+    sizes = []
+    for scale in (1, 8):
+        own = np.clip(rng.lognormal(6, 0.8, 4000 * scale).astype(int), 1, 2047)
+        lengths = {"one length": np.full(4000 * scale, 1500), "a third": np.append(own, np.full(2000 * scale, 1501)), "long ones": 1025 + own // 100 * 50, "few": own[: 3 * scale]}[case]
+        histogram = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
+        plan = packing.packing_plan(histogram)
+        check_plan(plan, histogram)
+        sizes.append((len(plan), len(histogram)))
+    if case in ("one length", "long ones"):
+        assert sizes[1][0] <= 40 * sizes[1][1]
+    if case == "a third":
+        assert sizes[1][0] < 16000  # of 48,000 pieces
+    assert len(packing.packing_plan({700: 10, 1500: 10_000_000, 548: 9})) < 200
+
+
+def test_runs_of_one_length_are_packed(spark, tokenizer):
+    rng = random.Random(12)
+    rows = [(k if k % 3 else None, sentence(rng, 700)) for k in range(60)]
+    rows = [(k, " ".join(t.split()[:700])) for k, t in rows] + [rows[1], (7, "one more text")]
+    check_packing(rows, packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary()).collect(), tokenizer)
+    same = [(k, "river stone " * 300) for k in range(80)]
+    found = packing.packed(spark.createDataFrame(same, "doc_id long, text string"), vocabulary()).collect()
+    check_packing(same, found, tokenizer)
+
+
 ITEM = "A farmer in Lower Dale has 12 apples and gives 5 kg of them to his neighbour Maria before selling the rest for 40 dollars at the market."
 OTHER = "How many litres of paint does Tom need to cover a wall of 18 m by 3 m if one litre covers 6 m of wall and he paints twice?"
 

@@ -1,8 +1,8 @@
 """Packing (operator 5): non-negative least squares over shallow length combinations, then greedy filling of what is left.
 
 Each document becomes whole windows and one shorter rest. Only the histogram of rest lengths (at most `window` numbers)
-reaches the driver; the plan made from it is a list of rank ranges per length, bounded by the number of combinations,
-and every piece finds its place by its rank among the pieces of its length.
+reaches the driver; the plan made from it is a list of rank ranges per length, bounded by the number of combinations and
+of lengths whatever the input's size, and every piece finds its place by its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ WINDOW = 2048
 DEPTH = 6
 TRIES = 4
 STEPS = 300
+#: Pieces of a length that are placed one by one at most; more are placed by range.
+FEW = 16
 
 #: Letters that normalisation leaves alone but for case, then marks that the vocabulary splits from letters.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
@@ -131,7 +133,7 @@ PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def cut_documents(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
-    """Pieces of every document: whole windows, then the rest."""
+    """Pieces of every document: whole windows, then the rest. `tie` tells texts with one doc_id apart."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,11 +148,11 @@ def cut_documents(docs: DataFrame, path: str, window: int, end_id: int) -> DataF
                 view = memoryview(ids.tobytes())
                 low = (at[owner] + start) * 4
                 crc = [zlib.crc32(view[x:y]) for x, y in zip(low.tolist(), (low + length * 4).tolist(), strict=True)]
-                key = batch.column(0).take(pa.array(owner + a))
-                yield pa.RecordBatch.from_arrays([key, *(pa.array(x, pa.int64()) for x in (start, length, crc, counts[owner]))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                key, tie = (batch.column(k).take(pa.array(owner + a)) for k in (0, 2))
+                yield pa.RecordBatch.from_arrays([key, tie, *(pa.array(x, pa.int64()) for x in (start, length, crc, counts[owner]))], ["doc_id", "tie", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, {PIECE}")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(work, f"doc_id {kind}, tie long, {PIECE}")
 
 
 def combinations(counts: np.ndarray, window: int, depth: int = DEPTH, tries: int = TRIES) -> np.ndarray:
@@ -194,13 +196,76 @@ def repeats(combos: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> np.nd
     return x
 
 
+def _choice(mask: int, mirror: int, gap: int, window: int, left: np.ndarray) -> int:
+    """The length to put into a gap, of those in `mask` (`mirror`: window less each length); 0 if none fits."""
+    pair = mask & (mirror >> (window - gap))
+    fits = mask & ((1 << (gap + 1)) - 1)
+    high = pair.bit_length() - 1
+    if mask >> gap & 1:
+        return gap
+    if high > 0 and (2 * high != gap or left[high] > 1):
+        return high
+    return max(0, fits.bit_length() - 1)
+
+
+def _place_many(plan: list[tuple], left: np.ndarray, used: np.ndarray, sequence: int, window: int) -> tuple[int, tuple | None]:
+    """Add repeated sequences and runs to the plan until no length has more than FEW pieces; the next sequence, and the piece that the last run cut."""
+    loose = left.copy()  # not yet known to fit nothing
+    stuck: list[int] = []
+    while (loose > FEW).any():
+        now, gap, members = loose.copy(), window, []
+        mask = sum(1 << int(i) for i in np.flatnonzero(now))
+        mirror = sum(1 << (window - int(i)) for i in np.flatnonzero(now))
+        while gap and (choice := _choice(mask, mirror, gap, window, now) if members else mask.bit_length() - 1):
+            members.append(choice)
+            gap -= choice
+            now[choice] -= 1
+            if not now[choice]:
+                mask &= ~(1 << choice)
+                mirror &= ~(1 << (window - choice))
+        if gap:
+            stuck.append(members[0])
+            loose[members[0]] = 0
+            continue
+        own, need = np.unique(members, return_counts=True)
+        n, offset = int((loose[own] // need).min()), 0
+        for m in members:
+            plan.append((m, int(used[m]), int(used[m]) + n, 0, m, sequence, offset))
+            used[m] += n
+            left[m] -= n
+            loose[m] -= n
+            offset += m
+        sequence += n
+    runs = [(m, int(left[m]) - FEW) for m in stuck if left[m] > FEW]
+    end = sum(m * n for m, n in runs) // window * window  # what would stand in an unfilled sequence is left
+    place, rest = 0, None
+    for m, n in runs:
+        whole = min(n, (end - place) // m)
+        if whole:
+            plan.append((m, int(used[m]), int(used[m]) + whole, 0, m, -1 - (sequence + place // window), place % window))
+        place += whole * m
+        if whole < n and place < end:
+            part = end - place
+            rank = int(used[m]) + whole
+            plan.append((m, rank, rank + 1, 0, part, sequence + place // window, place % window))
+            rest, place, whole = (m, rank, part), end, whole + 1
+        used[m] += whole
+        left[m] -= whole
+        if place == end:
+            break
+    return sequence + end // window, rest
+
+
 def packing_plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple]:
     """Rows (length, low, high, part_start, part_length, sequence, offset): the piece of rank r, low <= r < high, of that length
-    puts its ids from part_start on into sequence + r - low, at the offset.
+    puts its ids from part_start on into sequence + r - low, at the offset. A negative sequence, -1 - s, is a run: pieces
+    stand one after another from the offset of sequence s on, cut wherever a sequence is full.
 
     Whole windows stand alone. Rounded-down repeats of the combinations follow, largest first. What is left is filled
-    greedily: a single piece or a pair that fits exactly, else the longest that fits, else the longest one is cut. The
-    last, unfilled sequence is cut to powers of two, which need no padding.
+    greedily: a single piece or a pair that fits exactly, else the longest that fits, else the longest one is cut. A
+    sequence that needs no cut is repeated as often as its lengths last; of a length that nothing fits, all but FEW
+    pieces form a run. So at most FEW pieces of each length are placed one by one. The last, unfilled sequence is cut to
+    powers of two, which need no padding.
     """
     plan: list[tuple] = []
     left = np.zeros(window + 1, np.int64)
@@ -229,6 +294,7 @@ def packing_plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple]
                     left[m] -= n
                     offset += m
                 sequence += n
+    sequence, rest = _place_many(plan, left, used, sequence, window)
     mask = sum(1 << int(i) for i in np.flatnonzero(left))
     mirror = sum(1 << (window - int(i)) for i in np.flatnonzero(left))
 
@@ -241,7 +307,6 @@ def packing_plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple]
             mirror &= ~(1 << (window - length))
         return length, int(used[length]) - 1
 
-    rest: tuple | None = None  # of a cut piece: length, rank, first id not yet placed
     open_pieces: list[tuple] = []
     while mask or rest:
         open_pieces, gap = [], window
@@ -250,16 +315,7 @@ def packing_plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple]
                 (length, rank), begin = rest[:2], rest[2]
                 rest = None
             else:
-                pair = mask & (mirror >> (window - gap))
-                fits = mask & ((1 << (gap + 1)) - 1)
-                high = pair.bit_length() - 1
-                if mask >> gap & 1:
-                    choice = gap
-                elif high > 0 and (2 * high != gap or left[high] > 1):
-                    choice = high
-                else:
-                    choice = (fits or mask).bit_length() - 1
-                (length, rank), begin = take(choice), 0
+                (length, rank), begin = take(_choice(mask, mirror, gap, window, left) or mask.bit_length() - 1), 0
             part = min(gap, length - begin)
             open_pieces.append((length, rank, begin, part))
             gap -= part
@@ -290,7 +346,7 @@ def packed(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int =
 
     Null and empty texts are the end identifier alone. Null or repeated doc_ids are packed like others. An empty table
     gives no rows. Ranks are taken per (length, salt), so a length that a third of all pieces share is spread over
-    tasks. A piece that greedy filling cuts (fewer than there are combinations) is encoded again for its checksums.
+    tasks. A document whose piece is cut (at most one piece a sequence) is encoded again for its checksums.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -303,18 +359,24 @@ def packed(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int =
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "salt", F.coalesce("before", F.lit(0)).alias("before"))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
     ranked = salted.withColumn("own", F.row_number().over(order) - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
-    # The plan has at most DEPTH ranges per combination and one per left-over piece, whatever the input's size.
-    placed = stored(
-        ranked.alias("r").join(F.broadcast(plan).alias("p"), (F.col("r.length") == F.col("p.length")) & (F.col("r.rank") >= F.col("p.low")) & (F.col("r.rank") < F.col("p.high"))).select(
-            "doc_id", "start", F.col("r.length").alias("length"), "ids_crc32", "doc_tokens", "part_start", "part_length", (F.col("p.sequence") + F.col("r.rank") - F.col("p.low")).alias("sequence_id"), "offset",
-        ),
-        "placed",
+    # The plan has at most DEPTH ranges per combination, a few patterns and one run per length, and FEW single pieces of
+    # each length, whatever the input's size; joined by length alone, a common length would be one task.
+    found = ranked.alias("r").join(F.broadcast(plan).alias("p"), (F.col("r.length") == F.col("p.length")) & (F.col("r.rank") >= F.col("p.low")) & (F.col("r.rank") < F.col("p.high"))).select(
+        "doc_id", "tie", "start", F.col("r.length").alias("length"), "ids_crc32", "doc_tokens", "part_start", "part_length", "sequence", "offset", (F.col("r.rank") - F.col("p.low")).alias("nth"),
     )
+    # In a run, a piece that goes over the end of its sequence has a second part at the start of the next.
+    place = F.expr(f"""inline(if(sequence >= 0, array(struct(part_start, part_length, sequence + nth as sequence_id, offset)),
+        transform(filter(array(0L, 1L), k -> k = 0 or (offset + nth * length) % {window}L + length > {window}L), k -> struct(
+            if(k = 0, 0L, {window}L - (offset + nth * length) % {window}L) as part_start,
+            if(k = 0, least(length, {window}L - (offset + nth * length) % {window}L), (offset + nth * length) % {window}L + length - {window}L) as part_length,
+            -1L - sequence + (offset + nth * length) div {window}L + k as sequence_id,
+            if(k = 0, (offset + nth * length) % {window}L, 0L) as offset))))""")
+    placed = stored(found.select("doc_id", "tie", "start", "length", "ids_crc32", "doc_tokens", place), "placed")
     whole = F.col("part_length") == F.col("length")
     cut = placed.where(~whole)
-    lists = cut.groupBy("doc_id").agg(F.collect_list(F.struct("start", "ids_crc32", "part_start", "part_length", "sequence_id", "offset")).alias("parts"))
-    # Bounded as the plan is: one cut for each sequence of the greedy phase.
-    again = docs.select("doc_id", "text").join(F.broadcast(lists), docs["doc_id"].eqNullSafe(lists["doc_id"])).select(docs["doc_id"], "text", "parts")
+    lists = cut.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "ids_crc32", "part_start", "part_length", "sequence_id", "offset")).alias("parts"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    again = texts.join(lists, texts["doc_id"].eqNullSafe(lists["doc_id"]) & (texts["tie"] == lists["tie"])).select(texts["doc_id"], "text", "parts")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
