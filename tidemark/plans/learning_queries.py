@@ -13,7 +13,8 @@ FEATURES = [
     "rank_momentum_12_1", "rank_return_12w", "rank_volatility_12w", "rank_log_traded_value_4w", "rank_amihud_illiquidity_4w",
     "rank_short_term_reversal_2w", "distance_sma_12w",
 ]
-SMALL = learning.ModelConfig(boosted_trees=3, forest_trees=5, boosted_depth=2, forest_depth=3)
+#: Years at the end of the panel that count as recent.
+RECENT = 4
 
 
 def training_panel(m: Market):
@@ -22,22 +23,31 @@ def training_panel(m: Market):
     return cut_lineage(m.investible.select(*columns, *FEATURES).filter("target_excess_return IS NOT NULL"))
 
 
+def panel_years(panel) -> list[int]:
+    """All years of the panel; a walk-forward run keeps those with enough rows on both sides."""
+    return sorted(r[0] for r in panel.select(F.year("trade_date")).distinct().collect())  # a few dozen rows at most
+
+
 @query("ensemble_predictions")
 def ensemble_predictions(spark, sf_dir):
     m = Market(spark, sf_dir)
-    scored = learning.walk_forward(training_panel(m), [2000], FEATURES, config=SMALL, min_train=100, min_valid=20, group_bound=m.cross_section)
+    panel = training_panel(m)
+    scored = learning.walk_forward(panel, panel_years(panel), FEATURES, min_train=100, min_valid=20, group_bound=m.cross_section)
     return scored.select("fold_year", "trade_date", "ticker", "prediction", "disagreement", "uncertainty", "prediction_rank")
 
 
 @query("walk_forward_ic")
 def walk_forward_ic(spark, sf_dir):
     m = Market(spark, sf_dir)
-    scored = learning.walk_forward(training_panel(m), [1999, 2000], FEATURES, config=SMALL, min_train=100, min_valid=20, group_bound=m.cross_section)
+    panel = training_panel(m)
+    scored = learning.walk_forward(panel, panel_years(panel), FEATURES, min_train=100, min_valid=20, group_bound=m.cross_section)
     return learning.fold_metrics(cut_lineage(scored), group_bound=m.cross_section)
 
 
 @query("policy_grid")
 def policy_grid(spark, sf_dir):
     m = Market(spark, sf_dir)
-    policies = [p for p in learning.POLICIES if p.name in ("expanding", "rolling_3y", "half_life_2y")]
-    return learning.policy_grid(training_panel(m), [2000], (2000, 2000), FEATURES, policies, SMALL, group_bound=m.cross_section)
+    panel = training_panel(m)
+    years = panel_years(panel)
+    recent = years[-RECENT:] or [0]
+    return learning.policy_grid(panel, years, (recent[0], recent[-1]), FEATURES, group_bound=m.cross_section)

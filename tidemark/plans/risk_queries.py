@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import rounded
@@ -10,6 +13,7 @@ from tidemark.plans import market_sql as S
 from tidemark.plans.market import Market
 from tidemark.plans.registry import query
 from tidemark.plans.signal_queries import CANDIDATES, FORECAST_SQL
+from tidemark.session import cut_lineage
 
 r = S.r
 D = S._D
@@ -158,6 +162,8 @@ def exposure_breaches(spark, sf_dir):
     return risk.exposure_breaches(chosen).select("trade_date", "kind", "name", rounded(F.col("exposure")).alias("exposure"))
 
 
+#: Sizes of a basket; each date takes the best.
+BASKET_SIZES = range(6, 11)
 LAMBDA = 1e-7  # unit prices of this market jump by orders of magnitude
 _ALPHA = f"alpha AS (SELECT l.as_of, l.ticker, prediction - {D(.5)} * uncertainty AS alpha, issuer_id, sector FROM liquid l JOIN forecasts f ON f.trade_date = l.as_of AND f.ticker = l.ticker)"
 
@@ -218,6 +224,9 @@ def basket_exhaustive(spark, sf_dir):
 @query("basket_beam")
 def basket_beam(spark, sf_dir):
     m = Market(spark, sf_dir)
-    names, pairs = candidate_covariance(m, 20)
-    best = basket.basket_beam(_alpha(m, names), pairs, 6, LAMBDA, 4, 50, 0.40, 52)
+    names, pairs = candidate_covariance(m, 30)
+    alpha = cut_lineage(_alpha(m, names))
+    pairs = cut_lineage(pairs)
+    found = [basket.basket_beam(alpha, pairs, k, LAMBDA, 4, sector_share=0.40, bars_per_year=52) for k in BASKET_SIZES]
+    best = selection.top_per_group(reduce(DataFrame.unionByName, found), ["as_of"], [F.col("utility").desc(), F.col("k")], 1)
     return best.select("as_of", "k", F.array_join("members", ",").alias("members"), rounded(F.col("utility")).alias("utility"), "search")
