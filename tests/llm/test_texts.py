@@ -39,6 +39,13 @@ def test_odd_strings_count_as_in_the_library(tokenizer, text):
     assert tokens.counter(vocabulary()).count(text) == len(library_ids(tokenizer, text))
 
 
+def test_many_special_strings_in_one_word(tokenizer):
+    counter = tokens.counter(vocabulary())
+    for special in counter.special:
+        for text in (special * 5000, f"ab{special}" * 5000 + "c", special + "x" + special):
+            assert counter.count(text) == len(library_ids(tokenizer, text))
+
+
 def test_merging_of_other_vocabularies_with_byte_level_words():
     path = vocabulary("byte_bpe_50k.json")
     library, own = tokenizers.Tokenizer.from_file(path), tokens.MergeCounter(path)

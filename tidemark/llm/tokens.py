@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,7 @@ class MergeCounter:
         whole = tokenizers.Tokenizer.from_file(path)
         self.normalizer, self.splitter = whole.normalizer, whole.pre_tokenizer
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
         self.byte_level = "ByteLevel" in json.dumps(spec.get("pre_tokenizer"))
         self.counts: dict[str, int] = {}
 
@@ -102,11 +104,10 @@ class MergeCounter:
 
     def count(self, chunk: str) -> int:
         """Tokens of a text; each special string counts as one token, the longest first at each place."""
-        if "<" not in chunk or not any(s in chunk for s in self.special):
+        if not any(s in chunk for s in self.special):
             return self.plain(chunk)
-        places = [(chunk.find(s), -len(s), s) for s in self.special if s in chunk]
-        at, _, found = min(places)
-        return self.plain(chunk[:at]) + 1 + self.count(chunk[at + len(found) :])
+        pieces = self.special_pattern.split(chunk)
+        return sum(map(self.plain, pieces)) + len(pieces) - 1
 
 
 _counters: dict[str, MergeCounter] = {}
