@@ -210,3 +210,29 @@ def test_bands_find_near_fingerprints(spark):
     prints = fingerprints.fingerprints(texts)
     links = fingerprints.near_fingerprints(spark.createDataFrame([(p,) for p in prints], "fingerprint string")).collect()
     assert {frozenset((r["fingerprint"], r["head"])) for r in links} == {frozenset(prints[:2])}
+
+
+def test_bands_connect_what_shares_a_band_and_is_alike(spark):
+    import random
+
+    rng = random.Random(4)
+    draw = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    prints = []
+    for _ in range(12):
+        own = draw(600)
+        prints += ["00000000" + own, "00000000" + own[:300] + draw(8) + own[308:]]
+    prints += ["00000000" + draw(700), "5a5a5", "5a5a5"]
+    links = fingerprints.near_fingerprints(spark.createDataFrame([(p,) for p in prints], "fingerprint string")).collect()
+    group = {p: p for p in prints}
+
+    def find(x):
+        return x if group[x] == x else find(group[x])
+
+    for r in links:
+        assert fingerprints.likeness(r["fingerprint"], r["head"]) >= 0.75
+        group[find(r["fingerprint"])] = find(r["head"])
+    for a in prints:
+        for b in prints:
+            if any(a[k : k + 8] == b[k : k + 8] for k in range(0, min(len(a), len(b)), 8)) and fingerprints.likeness(a, b) >= 0.75:
+                assert find(a) == find(b)
+    assert len({find(p) for p in prints}) == 14

@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stored
+from tidemark.llm.jaccard import components
+
 #: Samples in each octave of steps, and rows of the random table (steps use it in turn).
 SAMPLES = 48
 PERIOD = 4096
@@ -185,12 +188,14 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 def near_fingerprints(prints: DataFrame, least: float = 0.75) -> DataFrame:
     """Links (fingerprint, head, likeness) of at least `least`: bit-sampled bands propose, all samples verify.
 
-    A band is a run of samples, named by its place. Within a band's group every fingerprint is compared with the group's
-    smallest, its head, so a group of any size makes one link per member. Equal fingerprints are one class, and copies
-    make no links. Empty and null fingerprints have no bands.
+    A band is a run of samples, named by its place; the last may be shorter. Within a band's group every fingerprint is first
+    compared with the group's smallest, its head, so a group of any size makes one link per member. Then those outside a
+    group's largest component are compared with all members of other components, so fingerprints that share a band and
+    are alike are always connected. Equal fingerprints are one class, and copies make no links. Empty and null
+    fingerprints have no bands.
     """
     classes = prints.select("fingerprint").where("fingerprint <> ''").distinct()
-    places = F.sequence(F.lit(0), F.greatest((F.length("fingerprint") / BAND).cast("int") - 1, F.lit(0)))
+    places = F.sequence(F.lit(0), F.ceil(F.length("fingerprint") / BAND).cast("int") - 1)
     bands = classes.select("fingerprint", F.explode(places).alias("band")).withColumn("bits", F.substring(F.col("fingerprint"), F.col("band") * BAND + 1, F.lit(BAND)))
     heads = bands.groupBy("band", "bits").agg(F.min("fingerprint").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     links = bands.join(heads, ["band", "bits"]).where("fingerprint <> head").select("fingerprint", "head").distinct()
@@ -199,4 +204,16 @@ def near_fingerprints(prints: DataFrame, least: float = 0.75) -> DataFrame:
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return links.withColumn("likeness", alike("fingerprint", "head")).where(F.col("likeness") >= least)
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        return stored(pairs.withColumn("likeness", alike("fingerprint", "head")).where(F.col("likeness") >= least), name)
+
+    first = verified(links, "print_heads")
+    labels = components(first.select(F.col("fingerprint").alias("a"), F.col("head").alias("b")))
+    known = bands.join(labels, F.col("fingerprint") == F.col("node"), "left").select("band", "bits", "fingerprint", F.coalesce("label", "fingerprint").alias("label"))
+    sizes = known.groupBy("band", "bits", "label").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("band", "bits").agg(F.max_by("label", F.struct("k", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    open_ = stored(known.join(largest, ["band", "bits"]), "print_bands")
+    rest = open_.where("label <> largest").alias("p").join(open_.alias("q"), ["band", "bits"]).where("p.label <> q.label").select(
+        F.greatest("p.fingerprint", "q.fingerprint").alias("fingerprint"), F.least("p.fingerprint", "q.fingerprint").alias("head")
+    ).distinct()
+    return first.unionByName(verified(rest.join(links, ["fingerprint", "head"], "left_anti"), "print_rest"))
