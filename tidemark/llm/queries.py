@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import urls
+from tidemark.llm import divergence, infill, urls
 from tidemark.llm.common import table
 from tidemark.llm.decontamination import leaks
 from tidemark.llm.fingerprints import edited_fingerprints
 from tidemark.llm.jaccard import near_duplicates
 from tidemark.llm.packing import packed
 from tidemark.llm.pii import pii_digest
+from tidemark.llm.quality import quality
 from tidemark.llm.suffix_array import dedup_bytes
 from tidemark.llm.suffix_tree import dedup_words
 from tidemark.llm.tokens import token_counts
@@ -87,3 +88,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_url_filters", urls.SQL)
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.page_verdicts(table(spark, sf_dir, "pages"))
+
+
+@register("op11_fill_in_middle", infill.SQL)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digests(table(spark, sf_dir, "documents"))
+
+
+@register("op12_quality_classifier")
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op13_source_divergence", divergence.SQL)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
