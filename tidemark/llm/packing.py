@@ -7,10 +7,11 @@ of lengths whatever the input's size, and every piece finds its place by its ran
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import buffer, slices, stored
-from tidemark.llm.tokens import distinct_words
+from tidemark.llm.tokens import byte_symbols
 
 WINDOW = 2048
 #: Members of a combination at most, and combinations tried per length and depth.
@@ -28,20 +29,23 @@ STEPS = 300
 #: Pieces of a length that are placed one by one at most; more are placed by range.
 FEW = 16
 
-#: Letters that normalisation leaves alone but for case, then marks that the vocabulary splits from letters.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-#: Words that a worker keeps; a full table is emptied, which costs time but changes nothing.
-KEPT = 600_000
+#: Letters that normalisation leaves alone but for case, and marks that the vocabulary splits from letters before them.
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+#: Words that one generation of a worker's table holds before it becomes the older one.
+KEPT = 200_000
 #: Words of one call of the library.
 TOGETHER = 4000
-SLICE = 5_000_000
+SLICE = 4_000_000
 
 
 class Encoder:
-    """The library's tokenizer with what this worker has already encoded.
+    """The library's tokenizer with what this worker has lately encoded, in two generations of bounded size.
 
-    Plain words are encoded many at a time and told apart by their end-of-word tokens; if those don't come out one per
-    word, and for all other words, each is encoded alone.
+    A generation that is full becomes the older one, and words that are seen again move back, so common words stay. Plain
+    words (letters, then marks) skip the library's text steps, which would leave them as they are but for case: their letters are
+    written as the vocabulary writes bytes, split at spaces, and told apart by their end-of-word tokens. If those don't come out one
+    per word, and for all other words, each is encoded alone by the whole library.
     """
 
     def __init__(self, path: str):
@@ -49,50 +53,70 @@ class Encoder:
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.plain = tokenizers.Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
+        self.symbols = {b: s for b, s in enumerate(byte_symbols()) if b != 0x20}
         self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.closing[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {"": b""}
+        self.release()
 
-    def alone(self, names: list[str]) -> Iterator[tuple[str, bytes]]:
-        for word, found in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False), strict=True):
-            yield word, np.array(found.ids, "<u4").tobytes()
+    def release(self) -> None:
+        """Forget all words."""
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def together(self, names: list[str]) -> Iterator[tuple[str, bytes]]:
+    def _keep(self, words: Iterable[bytes], codes: Iterable[bytes]) -> None:
+        self.known.update(zip(words, codes, strict=True))
+
+    def alone(self, names: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in names], add_special_tokens=False)
+        return [np.array(f.ids, "<u4").tobytes() for f in found]
+
+    def together(self, names: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
         for i in range(0, len(names), TOGETHER):
             some = names[i : i + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            text = b" ".join(some).decode("latin-1").translate(self.symbols)
+            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.closing[ids]) + 1) * 4
             if len(ends) != len(some):
-                yield from self.alone(some)
+                out += self.alone(some)
                 continue
-            coded, begin = ids.tobytes(), 0
-            for word, end in zip(some, ends.tolist(), strict=True):
-                yield word, coded[begin:end]
-                begin = end
-
-    def encode(self, names: list[str]) -> list[bytes]:
-        """Identifiers of distinct words as little-endian unsigned 32-bit numbers."""
-        known = self.known
-        if len(known) > KEPT:
-            known.clear()
-            known[""] = b""
-        coded = [*map(known.get, names)]
-        missing = [w for w, c in zip(names, coded, strict=True) if c is None]
-        if not missing:
-            return coded
-        split, odd = [], []
+            coded = ids.tobytes()
+            out += [coded[a:b] for a, b in itertools.pairwise([0, *ends.tolist()])]
+        return out
+
+    def table(self, distinct: set[bytes]) -> dict[bytes, bytes]:
+        """A table with the identifiers of these words, little-endian unsigned 32-bit numbers; it holds until the next call.
+
+        Lists of bytes side by side rather than of tuples: those would keep the garbage collector busy.
+        """
+        if len(self.known) > KEPT:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        missing = distinct.difference(known)
+        again = [*missing.intersection(older)]
+        self._keep(again, map(older.__getitem__, again))
+        missing.difference_update(again)
+        odd, whole, stems, marks = [], [], [], []
         for word in missing:
-            if found := SIMPLE.fullmatch(word):
-                split.append((word, found[1].lower(), found[2]))
+            letters = word.rstrip(MARKS)
+            if letters.isalpha():
+                low = letters.lower()
+            elif LETTERS.fullmatch(text := letters.decode()):
+                low = text.lower().encode()
             else:
                 odd.append(word)
-        known.update(self.alone(odd))
-        known.update(self.alone([*{m for _, _, m in split if m not in known}]))
-        known.update(self.together([*{w for _, w, _ in split if w not in known}]))
-        for word, letters, marks in split:
-            known[word] = known[letters] + known[marks]
-        return [*map(known.__getitem__, names)]
+                continue
+            whole.append(word)
+            stems.append(low)
+            marks.append(word[len(letters) :])
+        for names, encode in ((odd, self.alone), ([*{*marks}.difference(known, [b""])], self.alone), ([*{*stems}.difference(known)], self.together)):
+            self._keep(names, encode(names))
+        known[b""] = b""
+        self._keep(whole, map(bytes.__add__, map(known.__getitem__, stems), map(known.__getitem__, marks)))
+        return known
 
 
 _encoders: dict[str, Encoder] = {}
@@ -105,28 +129,17 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def token_ids(raw: np.ndarray, offsets: np.ndarray, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers (unsigned 32-bit, little-endian) of all rows with `end_id` after each, and n + 1 offsets.
+def token_bytes(raw: np.ndarray, offsets: np.ndarray, path: str, end_id: int) -> list[bytes]:
+    """Identifiers of each row and `end_id` after them, as little-endian unsigned 32-bit numbers.
 
     For vocabularies that drop white space a text's identifiers are those of its words one after another, so each
     distinct word is encoded once.
     """
-    names, index, first = distinct_words(raw, offsets)
-    coded = encoder(path).encode(names)
-    flat = np.frombuffer(b"".join(coded), "<u4")
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-    begin = np.cumsum(sizes) - sizes
-    each = sizes[index]
-    ends = np.cumsum(each)
-    places = np.repeat(begin[index] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
-    ids = flat[places] if len(places) else np.zeros(0, "<u4")
-    totals = np.concatenate([np.zeros(1, np.int64), ends])[first]
-    out_offsets = totals + np.arange(len(offsets))
-    out = np.full(out_offsets[-1], end_id, "<u4")
-    keep = np.ones(len(out), bool)
-    keep[out_offsets[1:] - 1] = False
-    out[keep] = ids
-    return out, out_offsets
+    text, at = raw.tobytes(), offsets.tolist()
+    split = [text[a:b].split() for a, b in itertools.pairwise(at)]  # of bytes: on the same six separators
+    coded = encoder(path).table(set(itertools.chain.from_iterable(split)))
+    end = np.array([end_id], "<u4").tobytes()
+    return [b"".join(map(coded.__getitem__, words)) + end for words in split]
 
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
@@ -139,17 +152,16 @@ def cut_documents(docs: DataFrame, path: str, window: int, end_id: int) -> DataF
         for batch in batches:
             raw, offsets = buffer(batch.column(1))
             for a, b in slices(offsets, SLICE):
-                ids, at = token_ids(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], path, end_id)
-                counts = np.diff(at)
+                ids = token_bytes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], path, end_id)
+                counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 parts = -(-counts // window)
                 owner = np.repeat(np.arange(b - a), parts)
                 start = (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) * window
                 length = np.minimum(window, counts[owner] - start)
-                view = memoryview(ids.tobytes())
-                low = (at[owner] + start) * 4
-                crc = [zlib.crc32(view[x:y]) for x, y in zip(low.tolist(), (low + length * 4).tolist(), strict=True)]
+                crc = [zlib.crc32(memoryview(ids[i])[4 * x : 4 * (x + window)]) for i, x in zip(owner.tolist(), start.tolist(), strict=True)]
                 key, tie = (batch.column(k).take(pa.array(owner + a)) for k in (0, 2))
                 yield pa.RecordBatch.from_arrays([key, tie, *(pa.array(x, pa.int64()) for x in (start, length, crc, counts[owner]))], ["doc_id", "tie", "start", "length", "ids_crc32", "doc_tokens"])
+        encoder(path).release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(work, f"doc_id {kind}, tie long, {PIECE}")
@@ -383,7 +395,7 @@ def packed(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int =
             raw, offsets = buffer(batch.column(1))
             rows: list[tuple] = []
             for i in range(batch.num_rows):
-                ids, _ = token_ids(raw[offsets[i] : offsets[i + 1]], offsets[i : i + 2] - offsets[i], vocabulary, end_id)
+                ids = np.frombuffer(token_bytes(raw[offsets[i] : offsets[i + 1]], offsets[i : i + 2] - offsets[i], vocabulary, end_id)[0], "<u4")
                 key = batch.column(0)[i].as_py()
                 for p in batch.column(2)[i].as_py():
                     if zlib.crc32(ids[p["start"] : p["start"] + window].tobytes()) == p["ids_crc32"]:
@@ -391,6 +403,7 @@ def packed(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int =
                         rows.append((key, begin, p["part_length"], zlib.crc32(ids[begin : begin + p["part_length"]].tobytes()), len(ids), p["sequence_id"], p["offset"]))
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.column(0).type), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(1, 7))], names)
+        encoder(vocabulary).release()
 
     # A document that stands twice with one text encodes the parts of both; a place in a sequence holds one piece.
     parts = again.mapInArrow(encode, f"doc_id {kind}, {PIECE}, sequence_id long, offset long").dropDuplicates(["sequence_id", "offset"])
