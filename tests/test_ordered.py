@@ -1,4 +1,4 @@
-"""Both ways of ranks, prefix sums and quantiles against brute force, with a hot group and ties."""
+"""Ranks, prefix sums and quantiles against brute force, with a hot group and ties, in one range and in many."""
 
 import numpy as np
 import pandas as pd
@@ -23,29 +23,29 @@ def load(spark, frame):
     return df.withColumn("v", F.when(~F.isnan("v"), F.col("v"))).repartition(5)
 
 
-@pytest.mark.parametrize("bound", [1000, None])
+@pytest.mark.parametrize(("bound", "ranges"), [(1000, None), (None, None), (None, 7)])
 @pytest.mark.parametrize("denominator", ["observed", "all", None])
-def test_average_ranks(spark, frame, bound, denominator):
-    got = add_average_ranks(load(spark, frame), ["g"], {"r": "v"}, ["id"], bound, denominator, band_rows=3)
+def test_average_ranks(spark, frame, bound, ranges, denominator):
+    got = add_average_ranks(load(spark, frame), ["g"], {"r": "v"}, ["id"], bound, denominator, ranges)
     got = got.select("id", "r").toPandas().set_index("id")["r"].astype(float).sort_index()
     rank = frame.groupby("g")["v"].rank(method="average")
     scale = {"observed": frame.groupby("g")["v"].transform("count"), "all": frame.groupby("g")["id"].transform("count"), None: 1}[denominator]
     np.testing.assert_allclose(got.values, (rank / scale).values)
 
 
-@pytest.mark.parametrize("bound", [1000, None])
-def test_null_group_is_its_own_group(spark, bound):
+@pytest.mark.parametrize("ranges", [None, 7])
+def test_null_group_is_its_own_group(spark, ranges):
     rows = [(1, None, 3.0), (2, None, 1.0), (3, "x", 5.0), (4, "x", 5.0)]
     df = spark.createDataFrame(rows, "id long, g string, v double")
-    got = {r["id"]: r["r"] for r in add_average_ranks(df, ["g"], {"r": "v"}, ["id"], bound).collect()}
+    got = {r["id"]: r["r"] for r in add_average_ranks(df, ["g"], {"r": "v"}, ["id"], ranges=ranges).collect()}
     assert got == {1: 2.0, 2: 1.0, 3: 1.5, 4: 1.5}
 
 
-@pytest.mark.parametrize("bound", [1000, None])
-def test_positions_and_prefix_sums(spark, frame, bound):
+@pytest.mark.parametrize("ranges", [None, 7])
+def test_positions_and_prefix_sums(spark, frame, ranges):
     df = load(spark, frame).withColumn("v", F.coalesce("v", F.lit(-1.0)))
-    got = add_positions(df, ["g"], ["v", "id"], "p", bound, band_rows=3)
-    got = running_before(got, ["g"], ["v", "id"], {"s": "w"}, bound, band_rows=3).select("id", "p", "s").toPandas().set_index("id").sort_index()
+    got = add_positions(df, ["g"], ["v", "id"], "p", None, ranges)
+    got = running_before(got, ["g"], ["v", "id"], {"s": "w"}, ranges).select("id", "p", "s").toPandas().set_index("id").sort_index()
     want = frame.fillna({"v": -1.0}).sort_values(["g", "v", "id"])
     want["p"] = want.groupby("g").cumcount() + 1
     want["s"] = want.groupby("g")["w"].cumsum() - want["w"]
@@ -54,19 +54,32 @@ def test_positions_and_prefix_sums(spark, frame, bound):
     assert (got["s"].values == want["s"].values).all()
 
 
-@pytest.mark.parametrize("bound", [1000, None])
-def test_quantiles(spark, frame, bound):
+@pytest.mark.parametrize("ranges", [None, 7])
+def test_quantiles(spark, frame, ranges):
     probs = [0.0, 0.05, 0.5, 0.77, 1.0]
-    got = {r["g"]: [r[f"q{i}"] for i in range(len(probs))] for r in exact_quantiles(load(spark, frame), ["g"], "v", probs, bound, band_rows=3).collect()}
+    got = {r["g"]: [r[f"q{i}"] for i in range(len(probs))] for r in exact_quantiles(load(spark, frame), ["g"], "v", probs, ranges).collect()}
     for g, rows in frame.groupby("g"):
         np.testing.assert_allclose(got[g], np.nanquantile(rows["v"], probs))
 
 
-def test_both_ways_agree_on_large_integers_and_mixed_types(spark):
+def test_large_integers_and_mixed_types(spark):
     rows = [("d", i, 2**53 + i // 2, float(i % 3), f"t{i % 4}") for i in range(40)]
     df = spark.createDataFrame(rows, "day string, id long, big long, x double, name string")
     ranks = {"r_big": "big", "r_x": "x", "r_name": "name"}
-    one = add_average_ranks(df, ["day"], ranks, ["id"], 100)
-    banded = add_average_ranks(df, ["day"], ranks, ["id"], None, band_rows=5)
     columns = ["id", *ranks]
-    assert sorted(map(tuple, one.select(*columns).collect())) == sorted(map(tuple, banded.select(*columns).collect()))
+    frame = pd.DataFrame(rows, columns=["day", "id", "big", "x", "name"])
+    want = pd.DataFrame({"id": frame["id"], **{out: frame[source].rank() for out, source in ranks.items()}})
+    for ranges in (None, 5):
+        got = add_average_ranks(df, ["day"], ranks, ["id"], ranges=ranges)
+        assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.itertuples(index=False, name=None))
+
+
+def test_one_date_is_spread_over_many_tasks(spark, tmp_path):
+    """A single group lies in several ranges, none of which holds most of it, and next values go over their edges."""
+    n = 4000
+    df = spark.range(n).select(F.lit("d").alias("day"), (F.col("id") * 37 % n).alias("v"), F.lit(1).cast("long").alias("one"))
+    placed = running_before(df, ["day"], ["v"], {"before": "one"}, 9, {"next": "v"})
+    rows = sorted(map(tuple, placed.select("v", "before", "next").collect()))
+    assert rows == [(i, i, i + 1 if i + 1 < n else None) for i in range(n)]
+    sizes = [r["count"] for r in df.repartitionByRange(9, "day", "v").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == 9 and max(sizes) < n / 3

@@ -56,9 +56,7 @@ def _samples(df: DataFrame, features: Sequence[str], a: tuple[int, int], b: tupl
     return long.withColumn("x", F.when(finite(F.col("x")), F.col("x")))
 
 
-def drift_moments(
-    df: DataFrame, features: Sequence[str], a: tuple[int, int], b: tuple[int, int], group_bound: int | None = None
-) -> DataFrame:
+def drift_moments(df: DataFrame, features: Sequence[str], a: tuple[int, int], b: tuple[int, int]) -> DataFrame:
     """Moments, exact quantiles and missing share of each feature in two spans of years."""
     long = _samples(df, features, a, b)
     moments = long.groupBy("feature", "regime").agg(
@@ -67,14 +65,14 @@ def drift_moments(
         F.avg(F.col("x").isNull().cast("double")).alias("missingness"),
     )
     spots = {"q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95}
-    quantiles = exact_quantiles(long, ["feature", "regime"], "x", list(spots.values()), group_bound)
+    quantiles = exact_quantiles(long, ["feature", "regime"], "x", list(spots.values()))
     for i, name in enumerate(spots):
         quantiles = quantiles.withColumnRenamed(f"q{i}", name)
     return moments.join(quantiles, ["feature", "regime"], "left")
 
 
 def stability_index(
-    df: DataFrame, features: Sequence[str], a: tuple[int, int], b: tuple[int, int], bins: int = 10, group_bound: int | None = None
+    df: DataFrame, features: Sequence[str], a: tuple[int, int], b: tuple[int, int], bins: int = 10
 ) -> DataFrame:
     """Population stability index over quantile bins of the first span.
 
@@ -82,7 +80,7 @@ def stability_index(
     """
     long = _samples(df, features, a, b).filter(F.col("x").isNotNull())
     probabilities = [i / bins for i in range(bins + 1)]
-    q = exact_quantiles(long.filter("regime = 'a'"), ["feature"], "x", probabilities, group_bound)
+    q = exact_quantiles(long.filter("regime = 'a'"), ["feature"], "x", probabilities)
     inner = F.array_sort(F.array_distinct(F.array(*[F.col(f"q{i}") for i in range(bins + 1)])))
     edges = q.select("feature", inner.alias("edges"))
     cuts = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
@@ -109,26 +107,23 @@ def stability_index(
     return index.select("feature", psi.alias("psi"))
 
 
-def distribution_distances(
-    df: DataFrame, features: Sequence[str], a: tuple[int, int], b: tuple[int, int], group_bound: int | None = None
-) -> DataFrame:
+def distribution_distances(df: DataFrame, features: Sequence[str], a: tuple[int, int], b: tuple[int, int]) -> DataFrame:
     """Largest gap (Kolmogorov-Smirnov) and area (Wasserstein-1) between two distribution functions.
 
-    Both come from one table of distinct values with running counts; the next value is found by
-    an equi-join on the position, so no feature is sorted in a single task.
+    Both come from one table of distinct values with running counts and the next value, in ranges,
+    so no feature is sorted in a single task.
     """
     long = _samples(df, features, a, b).filter(F.col("x").isNotNull())
     tied = long.groupBy("feature", "x").agg(
         F.count(F.when(F.col("regime") == "a", 1)).alias("a"), F.count(F.when(F.col("regime") == "b", 1)).alias("b")
-    ).withColumn("one", F.lit(1).cast("bigint"))
-    placed = running_before(tied, ["feature"], ["x"], {"before_a": "a", "before_b": "b", "position": "one"}, group_bound)
+    )
+    placed = running_before(tied, ["feature"], ["x"], {"before_a": "a", "before_b": "b"}, following={"next_x": "x"})
     totals = long.groupBy("feature").agg(
         F.count(F.when(F.col("regime") == "a", 1)).alias("na"), F.count(F.when(F.col("regime") == "b", 1)).alias("nb")
     )
     gap = (F.col("before_a") + F.col("a")) / F.col("na") - (F.col("before_b") + F.col("b")) / F.col("nb")
     steps = placed.join(totals, "feature").filter("na > 0 AND nb > 0").withColumn("gap", F.abs(gap))
-    later = placed.select("feature", (F.col("position") - 1).alias("position"), F.col("x").alias("next_x"))
-    report = steps.join(later, ["feature", "position"], "left").groupBy("feature", "na", "nb").agg(
+    report = steps.groupBy("feature", "na", "nb").agg(
         F.max("gap").alias("ks_statistic"), F.sum(F.col("gap") * (F.col("next_x") - F.col("x"))).alias("wasserstein")
     )
     return report.withColumn("ks_pvalue", ks_pvalue(F.col("ks_statistic"), F.col("na"), F.col("nb")))
