@@ -126,6 +126,30 @@ def test_basket_search_matches_brute_force(spark):
     assert {k: pytest.approx(v) for k, v in scored.items()} == best
 
 
+def test_exact_basket_with_negative_pairs_matches_brute_force(spark):
+    """Twenty seeded instances of eight names; the sizes 2 to 5; two names of one issuer; sectors of unequal size."""
+    rng = np.random.default_rng(7)
+    n, alpha, pairs, instances = 8, [], [], {}
+    issuers, sectors = [0, 0, 2, 3, 4, 5, 6, 7], [0, 1, 2, 3, 4, 0, 1, 0]
+    for inst in range(20):
+        day = D0 + timedelta(days=inst)
+        a = rng.normal(3, 3, n)
+        c = np.triu(rng.normal(0, 2, (n, n)), 1)
+        c = c + c.T + np.diag(np.abs(rng.normal(3, 2, n)))
+        instances[day] = (a, c)
+        alpha += [(day, f"T{i}", float(a[i]), f"I{issuers[i]}", f"S{sectors[i]}") for i in range(n)]
+        pairs += [(day, f"T{i}", f"T{j}", float(c[i, j])) for i in range(n) for j in range(i, n)]
+    af = spark.createDataFrame(alpha, "as_of date, ticker string, alpha double, issuer_id string, sector string")
+    pf = spark.createDataFrame(pairs, "as_of date, asset_i string, asset_j string, covariance double")
+    for k in (2, 4, 5):
+        most = max(1, int(0.4 * k))
+        allowed = [s for s in combinations(range(n), k) if len({issuers[i] for i in s}) == k and max([sectors[i] for i in s].count(x) for x in range(5)) <= most]
+        best = {d: max((a[list(s)].mean() - 0.7 * c[np.ix_(s, s)].sum() / k**2, [f"T{i}" for i in s]) for s in allowed) for d, (a, c) in instances.items()}
+        found = basket.basket_best(af, pf, k, 0.7, 252).collect()
+        assert {r["as_of"]: (pytest.approx(r["utility"]), r["members"]) for r in found} == best
+        assert {r["search"] for r in found} == {"exact"}
+
+
 def test_exposures(spark):
     rows = [(D0, "A", "I1", 0.25), (D0, "A", "I2", 0.20), (D0, "B", "I3", 0.30), (D0, "C", "I4", 0.25)]
     df = spark.createDataFrame(rows, "trade_date date, sector string, issuer_id string, target_weight double")

@@ -1,4 +1,5 @@
 from datetime import date
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +137,22 @@ def test_names(spark):
     from tidemark.functions.scalars import issuer_name_key
 
     assert key.select(issuer_name_key(F.col("name"))).first()[0] == "BANCOBRASIL"
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_entries_match_all_pairs(spark, k):
+    """Names that all share a word, repeated pieces, short names, equal shares and names without any common piece."""
+    rng = Random(3)
+    words = ["COMPANHIA", "BANCO", "AGUA", "LUZ", "SUL", "NORTE", "ANANAS", "AAAA"]
+    left = sorted({"GRUPO" + "".join(rng.choices(words, k=2)) + str(rng.randrange(40)) for _ in range(60)} | {"XY", "QQQQ", "", "GRUPO"})
+    right = sorted({"GRUPO" + "".join(rng.choices(words, k=2)) + str(rng.randrange(40)) for _ in range(80)} | {"GRU", "Z", "GRUPO"})
+    grams = lambda s: {s[i : i + 3] for i in range(len(s) - 2)}
+    want = set()
+    for a in left:
+        scored = [(round(2 * len(grams(a) & grams(b)) / (len(grams(a)) + len(grams(b))), 4), b) for b in right if grams(a) & grams(b)]
+        want |= {(a, b, s) for s, b in sorted(scored, reverse=True)[:k]}
+    names_df = spark.createDataFrame([(a,) for a in left], "name_key string")
+    entries = spark.createDataFrame([(b, b) for b in right], "entry_key string, label string")
+    got = names.nearest_entries(names_df, entries, k).select("name_key", "entry_key", "similarity")
+    assert set(map(tuple, got.collect())) == want and got.count() == len(want)
+    assert names.nearest_entries(names_df, entries.limit(0), k).count() == 0

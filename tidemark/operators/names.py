@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import issuer_name_key
+from tidemark.session import cut_lineage
 
 GRAM = 5
 SIMILARITY_GRAM = 3
@@ -50,13 +53,47 @@ def containment_pairs(names: DataFrame, entries: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def similar_pairs(names: DataFrame, entries: DataFrame) -> DataFrame:
-    """Share of common three-letter pieces (Dice) of every pair that has any in common."""
-    left = names.select("name_key", F.explode(_grams("name_key", SIMILARITY_GRAM)).alias("gram"))
-    right = entries.select("entry_key", F.explode(_grams("entry_key", SIMILARITY_GRAM)).alias("gram"))
-    shared = left.join(right, "gram").groupBy("name_key", "entry_key").agg(F.count("*").alias("shared"))
-    total = F.size(_grams("name_key", SIMILARITY_GRAM)) + F.size(_grams("entry_key", SIMILARITY_GRAM))
-    return shared.select("name_key", "entry_key", F.round(2.0 * F.col("shared") / total, 4).alias("similarity"))
+def nearest_entries(names: DataFrame, entries: DataFrame, k: int = REVIEW_ROWS) -> DataFrame:
+    """For each name the k entries with the largest share of common three-letter pieces (Dice, four decimals).
+
+    `names`: name_key. `entries`: entry_key, label; both keys distinct and not null. Equal shares are ordered by label, then key,
+    both descending; an entry without a common piece never counts. Names look up their pieces from the rarest on, twice as many each
+    round. What none of those found can share the remaining pieces at most, and a name whose k-th best is above that is
+    done, so pieces that many names have are looked up only for names that nothing rarer has settled. No candidate is dropped.
+    """
+    right = entries.select("entry_key", "label", _grams("entry_key", SIMILARITY_GRAM).alias("entry_grams")).filter(F.size("entry_grams") > 0)
+    index = right.select("entry_key", F.explode("entry_grams").alias("gram"))
+    frequency = index.groupBy("gram").agg(F.count("*").alias("hits"))
+    left = names.select("name_key", _grams("name_key", SIMILARITY_GRAM).alias("name_grams"))
+    # A piece that no entry has is never looked up and cannot be shared.
+    known = left.select("name_key", F.explode("name_grams").alias("gram")).join(frequency, "gram")
+    pieces = known.groupBy("name_key").agg(F.sort_array(F.collect_list(F.struct("hits", "gram")))["gram"].alias("pieces"))
+    waiting = cut_lineage(left.join(pieces, "name_key"))
+    order = Window.partitionBy("name_key").orderBy(F.col("similarity").desc(), F.col("label").desc(), F.col("entry_key").desc())
+    kept = None
+    found: list[DataFrame] = []
+    start, width = 0, 1
+    while not waiting.isEmpty():
+        probes = waiting.select("name_key", F.explode(F.slice("pieces", start + 1, width)).alias("gram"))
+        pairs = probes.join(index, "gram").select("name_key", "entry_key").distinct()
+        shared = F.size(F.array_intersect("name_grams", "entry_grams"))
+        share = F.round(2.0 * shared / (F.size("name_grams") + F.size("entry_grams")), 4)
+        scored = pairs.join(waiting, "name_key").join(right, "entry_key").select("name_key", "entry_key", "label", share.alias("similarity"))
+        if kept is not None:
+            scored = scored.unionByName(kept.join(waiting.select("name_key"), "name_key", "left_semi")).distinct()
+        kept = cut_lineage(scored.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= k).drop("__n"))
+        reached = kept.groupBy("name_key").agg(F.min("similarity").alias("least"), F.count("*").alias("n"))
+        start, width = start + width, start + width
+        rest = F.size("pieces") - start
+        limit = F.round(2.0 * rest / (F.size("name_grams") + rest), 4)
+        settled = (rest <= 0) | ((F.col("n") == k) & (F.col("least") > limit))
+        state = waiting.join(reached, "name_key", "left").withColumn("__settled", F.coalesce(settled, F.lit(False)))
+        state = cut_lineage(state)
+        found.append(kept.join(state.filter("__settled").select("name_key"), "name_key", "left_semi"))
+        waiting = state.filter("NOT __settled").drop("__settled", "least", "n")
+    if not found:
+        return left.join(right, F.lit(False)).select("name_key", "entry_key", "label", F.lit(0.0).alias("similarity"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def match_names(listed: DataFrame, registry: DataFrame) -> DataFrame:
@@ -98,7 +135,9 @@ def match_names(listed: DataFrame, registry: DataFrame) -> DataFrame:
         "name_key",
         F.when((F.col("exact") > 0) | (F.col("contained") > 1), "ambiguous").otherwise("review_required").alias("status"),
     )
-    candidates = similar_pairs(open_names.select("name_key"), keys).join(
+    labelled = registry.groupBy("entry_key").agg(F.max("registered_name").alias("label"))
+    # An entry outside a name's best REVIEW_ROWS has as many rows before it, so its own rows are never needed.
+    candidates = nearest_entries(open_names.select("name_key"), labelled).join(
         registry.select("entry_key", "issuer_id", "registered_name"), "entry_key"
     )
     w = Window.partitionBy("name_key").orderBy(F.col("similarity").desc(), F.col("registered_name").desc())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import rounded
@@ -514,6 +515,27 @@ def name_candidates(spark, sf_dir):
     return names.match_names(listed, registry).select("ticker", "name_key", "issuer_id", "match_type", "status", "place")
 
 
+@query(
+    "similar_names",
+    """WITH grams AS (SELECT DISTINCT kind, name, substr(name, CAST(i AS INTEGER), 3) AS g FROM (
+        SELECT 's' AS kind, s_name AS name, unnest(range(1, length(s_name) - 1)) AS i FROM supplier
+        UNION ALL SELECT 'c', c_name, unnest(range(1, length(c_name) - 1)) FROM customer)),
+      sizes AS (SELECT kind, name, count(*) AS n FROM grams GROUP BY 1, 2),
+      pairs AS (SELECT a.name AS s_name, b.name AS c_name, count(*) AS shared FROM grams a JOIN grams b ON a.g = b.g AND a.kind = 's' AND b.kind = 'c' GROUP BY 1, 2),
+      scored AS (SELECT s_name, c_name, round(2.0 * shared / (x.n + y.n), 4) AS similarity FROM pairs
+        JOIN sizes x ON x.kind = 's' AND x.name = s_name JOIN sizes y ON y.kind = 'c' AND y.name = c_name)
+      SELECT s_name, c_name, similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY s_name ORDER BY similarity DESC, c_name DESC) AS place FROM scored) WHERE place <= 3""",
+)
+def similar_names(spark, sf_dir):
+    """The three customers whose names are most like each supplier's; all share pieces of their common form."""
+    m = Market(spark, sf_dir)
+    suppliers = m.table("supplier").select(F.col("s_name").alias("name_key")).distinct()
+    customers = m.table("customer").select(F.col("c_name").alias("entry_key"), F.col("c_name").alias("label")).distinct()
+    best = names.nearest_entries(suppliers, customers)
+    w = Window.partitionBy("name_key").orderBy(F.col("similarity").desc(), F.col("label").desc())
+    return best.select(F.col("name_key").alias("s_name"), F.col("entry_key").alias("c_name"), "similarity", F.row_number().over(w).cast("bigint").alias("place"))
+
+
 @query(
     "latest_label",
     """SELECT l_suppkey, l_returnflag, CAST(first_seen AS DATE) AS first_seen, CAST(last_seen AS DATE) AS last_seen, sightings FROM (

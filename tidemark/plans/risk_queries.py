@@ -221,12 +221,39 @@ def basket_exhaustive(spark, sf_dir):
     return best.select("as_of", rounded(F.col("utility")).alias("utility"))
 
 
+@query(
+    "basket_exact",
+    S.with_(
+        *FORECAST_SQL, _LIQUID.format(12), _STEPS, _cov("liquid"), _ALPHA,
+        f"lin AS (SELECT a.*, alpha / 4.0 - {LAMBDA} * covariance * (4 / 52.0) / 16.0 AS lin FROM alpha a JOIN cov c ON c.as_of = a.as_of AND c.asset_i = a.ticker AND c.asset_j = a.ticker WHERE alpha IS NOT NULL)",
+        f"jo AS (SELECT as_of, asset_i, asset_j, -2.0 * {LAMBDA} * covariance * (4 / 52.0) / 16.0 AS jo FROM cov WHERE asset_i < asset_j)",
+        """duo AS (SELECT a.as_of, a.ticker AS t1, b.ticker AS t2, a.sector AS s1, b.sector AS s2, a.issuer_id AS i1, b.issuer_id AS i2, a.lin + b.lin + x.jo AS u
+          FROM lin a JOIN lin b ON b.as_of = a.as_of AND b.ticker > a.ticker AND a.sector <> b.sector AND a.issuer_id <> b.issuer_id
+          JOIN jo x ON x.as_of = a.as_of AND x.asset_i = a.ticker AND x.asset_j = b.ticker)""",
+        """four AS (SELECT p.as_of, p.t1, p.t2, q.t1 AS t3, q.t2 AS t4, p.u + q.u + w.jo + x.jo + y.jo + z.jo AS u FROM duo p
+          JOIN duo q ON q.as_of = p.as_of AND q.t1 > p.t2 AND q.s1 NOT IN (p.s1, p.s2) AND q.s2 NOT IN (p.s1, p.s2) AND q.i1 NOT IN (p.i1, p.i2) AND q.i2 NOT IN (p.i1, p.i2)
+          JOIN jo w ON w.as_of = p.as_of AND w.asset_i = p.t1 AND w.asset_j = q.t1 JOIN jo x ON x.as_of = p.as_of AND x.asset_i = p.t1 AND x.asset_j = q.t2
+          JOIN jo y ON y.as_of = p.as_of AND y.asset_i = p.t2 AND y.asset_j = q.t1 JOIN jo z ON z.as_of = p.as_of AND z.asset_i = p.t2 AND z.asset_j = q.t2)""",
+        "best AS (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY u DESC, t1, t2, t3, t4) AS n FROM four WHERE u IS NOT NULL)",
+        select=f"SELECT as_of, t1 || ',' || t2 || ',' || t3 || ',' || t4 AS members, {r('u')} AS utility FROM best WHERE n = 1",
+    ),
+)
+def basket_exact(spark, sf_dir):
+    """The best four of twelve candidates of each date, by growth with a bound; the twin tries all."""
+    m = Market(spark, sf_dir)
+    names, pairs = candidate_covariance(m, 12)
+    alpha = cut_lineage(_alpha(m, names).filter("alpha IS NOT NULL"))
+    best = basket.basket_best(alpha, cut_lineage(pairs), 4, LAMBDA, 4, 0.40, 52)
+    return best.select("as_of", F.array_join("members", ",").alias("members"), rounded(F.col("utility")).alias("utility"))
+
+
 @query("basket_beam")
 def basket_beam(spark, sf_dir):
+    """The best basket of 6 to 10 names among the candidates of each date; the search is exact, the name has stayed."""
     m = Market(spark, sf_dir)
     names, pairs = candidate_covariance(m, 30)
     alpha = cut_lineage(_alpha(m, names))
     pairs = cut_lineage(pairs)
-    found = [basket.basket_beam(alpha, pairs, k, LAMBDA, 4, sector_share=0.40, bars_per_year=52) for k in BASKET_SIZES]
+    found = [basket.basket_best(alpha, pairs, k, LAMBDA, 4, sector_share=0.40, bars_per_year=52) for k in BASKET_SIZES]
     best = selection.top_per_group(reduce(DataFrame.unionByName, found), ["as_of"], [F.col("utility").desc(), F.col("k")], 1)
     return best.select("as_of", "k", F.array_join("members", ",").alias("members"), rounded(F.col("utility")).alias("utility"), "search")
