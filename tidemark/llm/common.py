@@ -89,6 +89,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Powers of a rolling hash are products of one of STRIDE low ones and one high one, so no table grows with a text.
+SHIFT = 12
+STRIDE = 1 << SHIFT
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    found = np.full(n, np.uint64(factor % (1 << 64)))
+    found[0] = 1
+    return np.cumprod(found, dtype=np.uint64)
+
+
 class Rolling:
     """Hashes of substrings by prefix sums: sum of T[b] * B^j modulo 2^64, brought back to power 0 by the inverse of B."""
 
@@ -97,19 +108,26 @@ class Rolling:
         self.base = int(rng.integers(1 << 62)) * 2 + 1
         self.table = rng.integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
+        self.low_up, self.low_down = _powers(self.base, STRIDE), _powers(self.inverse, STRIDE)
+        self.high_down = np.ones(1, np.uint64)
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
         """Prefix sums over bytes (through a random table) or over 64-bit symbols."""
         n = len(values)
-        if len(self.up) <= n:
-            size = n + n // 8 + 65_536
-            for name, factor in (("up", self.base), ("down", self.inverse)):
-                powers = np.full(size, np.uint64(factor))
-                powers[0] = 1
-                setattr(self, name, np.cumprod(powers, dtype=np.uint64))
-        terms = (self.table[values] if values.dtype == np.uint8 else values) * self.up[:n]
-        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+        high = _powers(pow(self.base, STRIDE, 1 << 64), n // STRIDE + 1)
+        up = (high[:, None] * self.low_up[None, :]).ravel()[:n]
+        up *= self.table[values] if values.dtype == np.uint8 else values
+        out = np.empty(n + 1, np.uint64)
+        out[0] = 0
+        np.cumsum(up, out=out[1:])
+        return out
+
+    def down(self, places: np.ndarray) -> np.ndarray:
+        """What brings a sum that starts at each place back to power 0."""
+        rows = int(places.max()) // STRIDE + 1 if len(places) else 1
+        if len(self.high_down) < rows:
+            self.high_down = _powers(pow(self.inverse, STRIDE, 1 << 64), 2 * rows)
+        return self.high_down[places >> SHIFT] * self.low_down[places & (STRIDE - 1)]
 
     def between(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((prefix[ends] - prefix[starts]) * self.down[starts])
+        return mixed((prefix[ends] - prefix[starts]) * self.down(starts))
