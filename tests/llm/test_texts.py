@@ -372,3 +372,17 @@ def test_pipeline_stages_filter_and_keep_columns(spark, tokenizer, tmp_path):
     assert masked[704]["text"].startswith("call me at <PHONE> or <EMAIL> ") and masked[704]["n_chars"] == len(masked[704]["text"])
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     check_packing([(r["doc_id"], r["text"]) for r in docs.collect()], found, tokenizer)
+
+
+def test_each_text_of_a_repeated_item_and_very_short_items_are_found(spark):
+    rng = random.Random(12)
+    long, short = sentence(rng, 13), sentence(rng, 7)
+    items = [(0, long), (0, short), (1, "Paris"), (2, "blue  whale"), (3, sentence(rng, 30)), (4, ""), (5, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    filler = lambda: " ".join(rng.choices(["zebra", "quartz", "violin", "harbour", "saddle"], k=20))
+    rows = [(0, f"{filler()} {short} {filler()}"), (1, f"{filler()} {long} {filler()}"), (2, " paris\n"), (3, "Blue whale"), (4, f"paris {filler()}"), (5, "a blue whale"), (6, "blue"), (7, ""), (8, None), (9, filler())]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, item_id string")
+    found = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontamination.leaks(docs, benchmark).collect()}
+    assert found == {(0, 0): 1.0, (1, 0): 1.0, (2, 1): 1.0, (3, 2): 1.0}
+    kept = decontamination.without_leaks(docs, benchmark)
+    assert {r["doc_id"] for r in kept.collect()} == {4, 5, 6, 7, 8, 9} and kept.columns == docs.columns

@@ -27,7 +27,7 @@ COVERED = 0.5
 CONSISTENT = 0.5
 #: Benchmark windows that one pass over the documents looks for; more take further passes.
 WINDOWS_PER_PASS = 2_000_000
-SLICE = 6_000_000
+SLICE = 1_000_000
 UNITS = "kg g mg km m cm mm mi ft in lb oz l ml s sec min h hr hours minutes seconds days weeks months years euro euros dollar dollars cents usd eur percent degrees mph kmh kwh mb gb tb stunden tage jahre heures jours ans horas días años".split()
 
 _rolling, _window_hash, _literal_hash = Rolling(101), Rolling(202), Rolling(303)
@@ -120,7 +120,7 @@ def windows(raw: np.ndarray, offsets: np.ndarray, size: int, wanted: np.ndarray
     sums, many = _window_hash.prefix(symbol), slots[at + size] - slots[at]
     kinds = [(at, _window_hash.between(sums, at, at + size), inside & (many < size * (1 - LITERAL)), TYPED)]
     led = np.flatnonzero(inside & slot[at] & ~number[at] & (many - 1 < size * (1 - LITERAL)))
-    kinds.append((led, mixed((sums[led + size] - sums[led]) * _window_hash.down[led] + leading[led] - symbol[led]), np.ones(len(led), bool), LED))
+    kinds.append((led, mixed((sums[led + size] - sums[led]) * _window_hash.down(led) + leading[led] - symbol[led]), np.ones(len(led), bool), LED))
     kinds.append((at, _literal_hash.between(_literal_hash.prefix(literal), at, at + size), inside, LITERALLY))
     kept = []
     for own, hashes, usable, kind in kinds:
@@ -175,16 +175,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of windows of one row whose places in the document and in the item differ by equally much, or, as words may have been
     put in or left out, by a run of amounts less than the item's length apart. Such runs are cut in two ways, half a
     length apart, so that a cut through an occurrence in one is none in the other. All windows of the pair together are
-    judged as well: parts of an item can stand apart. Null texts have no words. Rows with one doc_id count together,
-    repeated items once. An empty documents or benchmark table gives no rows.
+    judged as well: parts of an item can stand apart. An item of fewer than LEAST_WORDS words is found where it is a whole text.
+    Null texts have no words. Rows with one doc_id count together, repeated items once, and each of several texts of one
+    item_id is judged by itself. Very long texts are read a slice at a time. Other columns are not read. An empty documents or
+    benchmark table gives no rows.
     """
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    size_of = F.size(F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"))
-    sizes = items.select("item_id", size_of.alias("n_words")).groupBy("item_id").agg(F.max("n_words").alias("n_words"))
-    lengths = sorted({r["n"] for r in sizes.select(F.least("n_words", F.lit(WINDOW)).alias("n")).distinct().collect() if r["n"] >= LEAST_WORDS})  # at most WINDOW
+    listed = F.expr(r"filter(split(lower(text), '[\\x20\\x09-\\x0D]+'), w -> w <> '')")
+    # Each distinct text of an item is judged by its own words.
+    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct().select(F.struct("item_id", F.size(listed).alias("n_words")).alias("item"), "text")
+    lengths = sorted({r["n"] for r in items.select(F.least("item.n_words", F.lit(WINDOW)).alias("n")).distinct().collect()})  # at most WINDOW
     hits = None
-    for size in lengths:
-        own = stored(_window_rows(items, "item_id", size, None, shorter=size < WINDOW).withColumnRenamed("key", "item_id"), f"windows{size}")
+    for size in [n for n in lengths if n >= LEAST_WORDS]:
+        own = stored(_window_rows(items, "item", size, None, shorter=size < WINDOW).withColumnsRenamed({"key": "item", "part": "item_part"}), f"windows{size}")
         n = own.count()
         passes = max(1, -(-n // WINDOWS_PER_PASS))
         for p in range(passes):
@@ -193,16 +195,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             found = _window_rows(docs, "doc_id", size, wanted).withColumnRenamed("key", "doc_id")
             # In a literal match all values are the item's own.
             matched = found.alias("d").join(some.distinct().alias("b"), ["hash", "literal"]).select(
-                "doc_id", "item_id", F.lit(size).alias("size"), F.col("b.pos").alias("pos"), F.col("d.part").alias("part"), (F.col("d.pos") - F.col("b.pos")).alias("shift"),
+                "doc_id", "item", "item_part", F.lit(size).alias("size"), F.col("b.pos").alias("pos"), F.col("d.part").alias("part"), (F.col("d.pos") - F.col("b.pos")).alias("shift"),
                 F.expr("zip_with(b.slots, if(literal, b.slots, d.slots), (x, y) -> struct(x as item_value, y as doc_value))").alias("slots"),
             )
             hits = matched if hits is None else hits.unionByName(matched)
     if hits is None:
-        hits = docs.select("doc_id").join(items.select("item_id"), F.lit(False)).select("doc_id", "item_id", F.lit(0).alias("size"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("part"), F.lit(0).alias("shift"), F.expr("cast(array() as array<struct<item_value:string,doc_value:string>>)").alias("slots"))
+        hits = docs.select("doc_id").join(items.select("item"), F.lit(False)).select("doc_id", "item", F.lit(0).cast("long").alias("item_part"), F.lit(0).alias("size"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("part"), F.lit(0).alias("shift"), F.expr("cast(array() as array<struct<item_value:string,doc_value:string>>)").alias("slots"))
     place = F.expr("""explode(array(
-        struct(0 as way, part, cast(shift as long) as run), struct(1 as way, part, floor(shift / n_words) as run),
-        struct(2 as way, part, floor((shift + n_words / 2) / n_words) as run), struct(3 as way, 0L as part, 0L as run)))""")
-    grouped = hits.join(sizes, "item_id").withColumn("place", place).groupBy("doc_id", "item_id", "n_words", "place").agg(
+        struct(0 as way, part, cast(shift as long) as run), struct(1 as way, part, floor(shift / item.n_words) as run),
+        struct(2 as way, part, floor((shift + item.n_words / 2) / item.n_words) as run), struct(3 as way, 0L as part, 0L as run)))""")
+    grouped = hits.withColumn("place", place).groupBy("doc_id", F.col("item.item_id").alias("item_id"), F.col("item.n_words").alias("n_words"), "item_part", "place").agg(
         F.collect_set(F.struct("size", "pos")).alias("windows"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
@@ -214,6 +216,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.when(F.size("slots") > 0, parameters / F.size("slots")).otherwise(1.0).alias("consistency"),
     )
     judged = judged.where((F.col("coverage") >= COVERED) & (F.col("consistency") >= CONSISTENT))
+    if any(0 < n < LEAST_WORDS for n in lengths):
+        # A word or two is a leak only where it is the whole text.
+        few = items.where(F.col("item.n_words").between(1, LEAST_WORDS - 1)).select("item.item_id", listed.alias("listed")).distinct()
+        whole = docs.where(F.col("text").rlike(r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++([\x20\x09-\x0D]++[^\x20\x09-\x0D]++)?+[\x20\x09-\x0D]*+$")).select("doc_id", listed.alias("listed"))
+        one = F.lit(1.0)
+        judged = judged.unionByName(whole.join(few, "listed").select("doc_id", "item_id", F.lit(1).cast("long").alias("windows"), one.alias("coverage"), F.lit(0).alias("slots"), one.alias("consistency")))
     best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "consistency", "windows", "slots")).alias("best"))
     return best.select("doc_id", "item_id", "best.windows", "best.coverage", "best.slots", "best.consistency")
 
