@@ -191,3 +191,11 @@ def relevance_levels(
     ranked = add_average_ranks(df, [by], {"__share": target}, ["ticker"], group_bound, denominator="all")
     level = F.least(F.lit(levels - 1), F.floor(F.col("__share") * levels).cast("int"))
     return ranked.withColumn("relevance", F.when(F.col("__share").isNotNull(), level)).drop("__share")
+
+
+def signal_series(df: DataFrame, k: int = 10, prediction: str = "prediction", target: str = "target_excess_return", group_bound: int | None = None) -> DataFrame:
+    """Long (strategy, trade_date, x) monthly series of a signal: its rank correlation, its top-k minus bottom-k spread and its top-k hit rate."""
+    ic = cross_section_metrics(df, prediction, target, group_bound=group_bound).select(F.lit("rank_ic").alias("strategy"), "trade_date", F.col("rank_ic").alias("x"))
+    top = topk_metrics(df, (k,), prediction, target, group_bound=group_bound)
+    cells = F.array(*[F.struct(F.lit(f"top{k}_{n}").alias("strategy"), F.col(c).alias("x")) for n, c in (("spread", "top_minus_bottom"), ("hit_rate", "hit_rate"))])
+    return ic.unionByName(top.select("trade_date", F.inline(cells)).select("strategy", "trade_date", "x"))

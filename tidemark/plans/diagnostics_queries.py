@@ -211,7 +211,7 @@ def monthly_ic_summary(spark, sf_dir):
     return rows.select("feature", "months", *[rounded(F.col(c)).alias(c) for c in ("ic_mean", "ic_se", "ic_tstat", "information_ratio", "hit_rate")])
 
 
-_EVAL = [
+EVAL_SQL = [
     f"""ev AS (SELECT trade_date, ticker, prediction AS p, target_excess_return AS y FROM forecasts WHERE prediction IS NOT NULL AND target_excess_return IS NOT NULL)""",
     f"""evr AS (SELECT *, {S.avg_rank('p', 'trade_date', None)} AS rp, {S.avg_rank('y', 'trade_date', None)} AS ry, count(*) OVER (PARTITION BY trade_date) AS n,
       row_number() OVER (PARTITION BY trade_date ORDER BY p, ticker) AS place FROM ev)""",
@@ -222,7 +222,7 @@ _EVAL = [
 
 @query(
     "xs_metrics",
-    S.with_(*FORECAST_SQL, *_EVAL, select=f"SELECT trade_date, {r('rank_ic')} AS rank_ic, {r('top')} AS top_decile_mean, {r('bottom')} AS bottom_decile_mean, {r('top - bottom')} AS top_minus_bottom, {r('hit')} AS hit_rate FROM xs"),
+    S.with_(*FORECAST_SQL, *EVAL_SQL, select=f"SELECT trade_date, {r('rank_ic')} AS rank_ic, {r('top')} AS top_decile_mean, {r('bottom')} AS bottom_decile_mean, {r('top - bottom')} AS top_minus_bottom, {r('hit')} AS hit_rate FROM xs"),
 )
 def xs_metrics(spark, sf_dir):
     m = Market(spark, sf_dir)
@@ -232,7 +232,7 @@ def xs_metrics(spark, sf_dir):
 
 @query(
     "xs_metrics_by_year",
-    S.with_(*FORECAST_SQL, *_EVAL, select=f"SELECT CAST(year(trade_date) AS INTEGER) AS year, count(*) AS dates, {r('avg(rank_ic)')} AS rank_ic, {r('avg(top - bottom)')} AS top_minus_bottom, {r('avg(hit)')} AS hit_rate FROM xs GROUP BY 1"),
+    S.with_(*FORECAST_SQL, *EVAL_SQL, select=f"SELECT CAST(year(trade_date) AS INTEGER) AS year, count(*) AS dates, {r('avg(rank_ic)')} AS rank_ic, {r('avg(top - bottom)')} AS top_minus_bottom, {r('avg(hit)')} AS hit_rate FROM xs GROUP BY 1"),
 )
 def xs_metrics_by_year(spark, sf_dir):
     m = Market(spark, sf_dir)
@@ -241,7 +241,7 @@ def xs_metrics_by_year(spark, sf_dir):
     return rows.select("year", "dates", *[rounded(F.col(c)).alias(c) for c in ("rank_ic", "top_minus_bottom", "hit_rate")])
 
 
-_TOPK = [
+TOPK_SQL = [
     """placed AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY p DESC, ticker) AS best, row_number() OVER (PARTITION BY trade_date ORDER BY p, ticker) AS worst,
       row_number() OVER (PARTITION BY trade_date ORDER BY y DESC, ticker) AS truth, count(*) OVER (PARTITION BY trade_date) AS n, avg(y) OVER (PARTITION BY trade_date) AS universe FROM ev)""",
     "ks AS (SELECT CAST(unnest([5, 10, 20, 30, 50]) AS INTEGER) AS k)",
@@ -257,7 +257,7 @@ _TOPK_OUT = {
 }
 
 
-@query("topk_metrics", S.with_(*FORECAST_SQL, *_EVAL, *_TOPK, select="SELECT trade_date, k, " + ", ".join(f"{r(v)} AS {c}" for c, v in _TOPK_OUT.items()) + " FROM topk"))
+@query("topk_metrics", S.with_(*FORECAST_SQL, *EVAL_SQL, *TOPK_SQL, select="SELECT trade_date, k, " + ", ".join(f"{r(v)} AS {c}" for c, v in _TOPK_OUT.items()) + " FROM topk"))
 def topk_metrics(spark, sf_dir):
     m = Market(spark, sf_dir)
     rows = evaluation.topk_metrics(m.forecasts, group_bound=m.cross_section)
@@ -266,7 +266,7 @@ def topk_metrics(spark, sf_dir):
 
 @query(
     "topk_by_year",
-    S.with_(*FORECAST_SQL, *_EVAL, *_TOPK, select="SELECT CAST(year(trade_date) AS INTEGER) AS year, k, " + ", ".join(f"{r(f'avg({v})')} AS {c}" for c, v in _TOPK_OUT.items()) + ", count(*) AS dates FROM topk GROUP BY 1, 2"),
+    S.with_(*FORECAST_SQL, *EVAL_SQL, *TOPK_SQL, select="SELECT CAST(year(trade_date) AS INTEGER) AS year, k, " + ", ".join(f"{r(f'avg({v})')} AS {c}" for c, v in _TOPK_OUT.items()) + ", count(*) AS dates FROM topk GROUP BY 1, 2"),
 )
 def topk_by_year(spark, sf_dir):
     rows = evaluation.average_metrics(
@@ -278,7 +278,7 @@ def topk_by_year(spark, sf_dir):
 @query(
     "prefilter_recall",
     S.with_(
-        *FORECAST_SQL, *_EVAL, CANDIDATES,
+        *FORECAST_SQL, *EVAL_SQL, CANDIDATES,
         "best AS (SELECT * FROM (SELECT trade_date, ticker, row_number() OVER (PARTITION BY trade_date ORDER BY target_excess_return DESC, ticker) AS n, count(*) OVER (PARTITION BY trade_date) AS total FROM forecasts WHERE target_excess_return IS NOT NULL) WHERE n <= 10 AND total >= 10)",
         select=f"SELECT b.trade_date, {r('count(c.ticker) / CAST(count(*) AS DOUBLE)')} AS recall FROM best b LEFT JOIN candidates c ON c.trade_date = b.trade_date AND c.ticker = b.ticker GROUP BY 1",
     ),

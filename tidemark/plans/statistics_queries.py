@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import rounded
-from tidemark.operators import performance, statistics
+from tidemark.operators import evaluation, performance, statistics
 from tidemark.plans import market_sql as S
 from tidemark.plans.book_queries import MONTHS_SQL, month_pairs
+from tidemark.plans.diagnostics_queries import EVAL_SQL, TOPK_SQL
 from tidemark.plans.market import Market
 from tidemark.plans.registry import query
+from tidemark.plans.signal_queries import FORECAST_SQL
+from tidemark.session import cut_lineage
 
 r = S.r
 
@@ -108,6 +113,37 @@ def pbo(spark, sf_dir):
     return rows.select(rounded(F.col("overfitting_probability")).alias("overfitting_probability"), "splits")
 
 
+# The bootstrap over the monthly series of the signal instead of those of the strategies.
+_SIGNAL = [
+    *EVAL_SQL, *TOPK_SQL,
+    """srel AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY trade_date) - 1 AS i FROM (
+        SELECT 'rank_ic' AS strategy, trade_date, rank_ic AS x FROM xs UNION ALL SELECT 'top10_spread', trade_date, top_mean - bottom_mean FROM topk WHERE k = 10
+        UNION ALL SELECT 'top10_hit_rate', trade_date, hit FROM topk WHERE k = 10) WHERE x IS NOT NULL AND NOT isnan(x))""",
+    *[re.sub(r"\b(sz|dr|ix|es|rel)\b", r"s\1", part) for part in _BOOTSTRAP],
+]
+
+
+@query(
+    "signal_statistics",
+    S.with_(
+        *FORECAST_SQL, *_SIGNAL,
+        select=f"""SELECT p.strategy AS statistic, {r('point')} AS point, {r('se')} AS standard_error, {r('quantile_cont(e, 0.025)')} AS ci_low, {r('quantile_cont(e, 0.975)')} AS ci_high, max(n) AS months
+          FROM ses JOIN (SELECT strategy, avg(x) AS point, stddev_samp(x) / sqrt(count(*)) AS se, count(*) AS n FROM srel GROUP BY 1) p ON p.strategy = ses.strategy GROUP BY p.strategy, point, se""",
+    ),
+)
+def signal_statistics(spark, sf_dir):
+    """Mean, standard error and bootstrap interval of the monthly rank correlation, top-10 spread and top-10 hit rate."""
+    series = signal_series(Market(spark, sf_dir))
+    errors = series.groupBy("strategy").agg((F.stddev_samp("x") / F.sqrt(F.count("x").cast("double"))).alias("standard_error"))
+    rows = statistics.block_bootstrap(series, "x", "trade_date").join(errors, "strategy")
+    return rows.select(F.col("strategy").alias("statistic"), *[rounded(F.col(c)).alias(c) for c in ("point", "standard_error", "ci_low", "ci_high")], F.col("observations").alias("months"))
+
+
+def signal_series(m: Market):
+    forecasts = cut_lineage(m.forecasts.select("trade_date", "ticker", "prediction", "target_excess_return"))
+    return cut_lineage(evaluation.signal_series(forecasts, group_bound=m.cross_section))
+
+
 _RECORDS = """records AS (SELECT o_orderpriority AS strategy, o_orderstatus AS cost_scenario, max(o_custkey % 5) AS initial_capital, min(o_orderdate) AS evaluation_start,
     max(date_trunc('month', o_orderdate)) AS evaluation_end, count(DISTINCT date_trunc('month', o_orderdate)) AS rebalance_dates, count(DISTINCT year(o_orderdate)) AS rebalance_periods,
     min(o_custkey % 2) AS execution_delay_bars, CAST(max(o_custkey % 3) AS INTEGER) AS participation_cap, max(o_orderstatus) AS fill_policy
@@ -136,7 +172,7 @@ def fairness(spark, sf_dir):
 
 
 _METRIC_SQL = [
-    *MONTHS_SQL, _REL, *_BOOTSTRAP,
+    *MONTHS_SQL, _REL, *_BOOTSTRAP, *_SIGNAL,
     "low AS (SELECT strategy, quantile_cont(e, 0.025) * 12.0 AS low FROM es GROUP BY 1)",
     _MOMENTS,
     f"zz AS (SELECT *, (s - CAST({_HURDLE!r} AS DOUBLE)) / sqrt(v * 12.0) AS z1 FROM va)",
@@ -146,7 +182,8 @@ _METRIC_SQL = [
     "spent AS (SELECT strategy, sum(turnover) * 12.0 / count(*) AS turn FROM churn GROUP BY 1)",
     """metrics AS (SELECT strategy, 'excess_sharpe_vs_cdi' AS name, sh AS actual FROM facts_ UNION ALL SELECT strategy, 'max_drawdown', dd FROM worst UNION ALL SELECT strategy, 'annualized_turnover', turn FROM spent
         UNION ALL SELECT strategy, 'relative_cagr_ci_low_vs_ibov', low FROM low UNION ALL SELECT strategy, 'deflated_sharpe_probability', dsr FROM dsr
-        UNION ALL SELECT strategy, 'number_of_trials_recorded', CAST((SELECT count(DISTINCT strategy) FROM facts_) AS DOUBLE) FROM facts_)""",
+        UNION ALL SELECT strategy, 'number_of_trials_recorded', CAST((SELECT count(DISTINCT strategy) FROM facts_) AS DOUBLE) FROM facts_
+        UNION ALL SELECT f.strategy, g.strategy || '_ci_low', g.low FROM facts_ f, (SELECT strategy, quantile_cont(e, 0.025) AS low FROM ses WHERE strategy IN ('rank_ic', 'top10_spread') GROUP BY 1) g)""",
 ]
 _GATE_ROWS = " UNION ALL ".join(f"SELECT '{lv}' AS level, '{n}' AS name, '{op}' AS operator, CAST({t} AS DOUBLE) AS threshold" for lv, n, op, t in statistics.GATES)
 
@@ -167,8 +204,9 @@ def gates(spark, sf_dir):
 def gate_metrics(m: Market):
     """Long (strategy, name, actual) rows for the gates, each from the operator that computes it.
 
-    The bound on relative growth is the bootstrap's, per year and in logs (of the same sign as the relative CAGR). Gates
-    whose input this market lacks (cash benchmark, leakage tests, acknowledgements) stay without a value and so fail.
+    The bound on relative growth is the bootstrap's, per year and in logs (of the same sign as the relative CAGR). The signal
+    level is the one forecast that all strategies share. Gates whose input this market lacks (cash benchmark, leakage
+    tests, acknowledgements, fairness records) stay without a value and so fail.
     """
     months = month_pairs(m).withColumn("own", F.log1p("strategy_return"))
     facts = months.groupBy("strategy").agg(statistics.sharpe(F.col("own")).alias("sh"))
@@ -184,7 +222,11 @@ def gate_metrics(m: Market):
         "deflated_sharpe_probability": F.col("dsr"), "number_of_trials_recorded": trials,
     }
     rows = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("actual")) for n, v in cells.items()])
-    return wide.select("strategy", F.inline(rows))
+    signal = statistics.block_bootstrap(signal_series(m).filter("strategy <> 'top10_hit_rate'"), "x", "trade_date")
+    bounds = signal.select(F.concat("strategy", F.lit("_ci_low")).alias("name"), F.col("ci_low").alias("actual"))
+    # Two rows for each strategy.
+    shared = wide.select("strategy", F.explode(F.array(F.lit("rank_ic_ci_low"), F.lit("top10_spread_ci_low"))).alias("name")).join(bounds, "name").select("strategy", "name", "actual")
+    return wide.select("strategy", F.inline(rows)).unionByName(shared)
 
 
 @query(
