@@ -137,11 +137,13 @@ def exact_quantiles(
     value: str,
     probabilities: Sequence[float],
     ranges: int | None = None,
+    times: str | None = None,
 ) -> DataFrame:
-    """One row per group with linearly interpolated quantiles q0, q1, ... of `value`."""
+    """One row per group with linearly interpolated quantiles q0, q1, ... of `value`; a row counts `times` times (null: once)."""
     by = list(by)
     observed = df.filter(F.col(value).isNotNull())
-    tied = observed.groupBy(*by, F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
+    size = F.count("*") if times is None else F.sum(times)
+    tied = observed.groupBy(*by, F.col(value).alias("__value")).agg(size.alias("__n"))
     placed = running_before(tied, by, ["__value"], {"__before": "__n"}, ranges)
     placed = null_safe_join(placed, tied.groupBy(*by).agg(F.sum("__n").alias("__total")), by)
 
