@@ -149,10 +149,12 @@ def rank_correlation(
     minimum: int = 10,
     group_bound: int | None = None,
 ) -> DataFrame:
-    """Spearman correlation per group over rows where both values are finite."""
+    """Spearman correlation per group over rows where both values are finite; groups in which one side is constant have none."""
     pairs = long.filter(finite(F.col(x)) & finite(F.col(y)))
     ranked = add_average_ranks(pairs, by, {"__rx": x, "__ry": y}, keys, group_bound)
-    result = ranked.groupBy(*by).agg(F.corr("__rx", "__ry").alias("ic"), F.count("*").alias("pairs"))
+    # Not `corr`: it fails on a constant side in ANSI mode.
+    ic = F.try_divide(F.covar_pop("__rx", "__ry"), F.stddev_pop("__rx") * F.stddev_pop("__ry"))
+    result = ranked.groupBy(*by).agg(ic.alias("ic"), F.count("*").alias("pairs"))
     return result.filter((F.col("pairs") >= minimum) & finite(F.col("ic")))
 
 

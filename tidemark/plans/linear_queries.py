@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import rounded
-from tidemark.operators import evaluation, learning, linear
+from tidemark.operators import calibration, evaluation, learning, linear
 from tidemark.plans import market_sql as S
 from tidemark.plans.learning_queries import FEATURES, panel_years, training_panel
 from tidemark.plans.market import Market
@@ -160,3 +160,70 @@ def linear_nested_search(spark, sf_dir):
     return chosen.select(
         "fold_year", "policy", "alpha", "trials", rounded(F.col("inner_value")).alias("inner_rank_ic"), rounded(F.col("outer_value")).alias("outer_rank_ic")
     )
+
+
+_ERRORS = [
+    f"""errors AS (SELECT fold AS fold_year, trade_date, ticker, {r('stddev_pop(p)', 8)} AS x, abs(any_value(y) - avg(p)) AS y
+      FROM judged GROUP BY 1, 2, 3)""",
+]
+_RELIABILITY = [
+    "edges AS (SELECT fold_year, list_sort(list_distinct(" + "[" + ", ".join(f"quantile_cont(x, CAST({i} AS DOUBLE) / 5.0)" for i in range(6)) + "])) AS e FROM errors GROUP BY 1)",
+    "binned AS (SELECT fold_year, len(list_filter(e[2:len(e) - 1], lambda v: v < x)) AS bin, avg(y) AS mean FROM errors JOIN edges USING (fold_year) GROUP BY 1, 2)",
+    "rising AS (SELECT fold_year, count(*) AS bins, bool_and(coalesce(mean >= before, true)) AS rises FROM (SELECT *, lag(mean) OVER (PARTITION BY fold_year ORDER BY bin) AS before FROM binned) GROUP BY 1)",
+    f"error_ranks AS (SELECT *, {S.avg_rank('x', 'fold_year', None)} AS rx, {S.avg_rank('y', 'fold_year', None)} AS ry FROM errors)",
+    "sizes AS (SELECT fold_year, count(*) AS rows, count(DISTINCT x) AS distinct_values, corr(rx, ry) AS ic FROM error_ranks GROUP BY 1)",
+    f"""judgement AS (SELECT *, concat_ws(',', CASE WHEN rows < {calibration.LEAST_ROWS} THEN 'rows' END, CASE WHEN distinct_values < {calibration.LEAST_VALUES} THEN 'values' END,
+      CASE WHEN NOT ic > 0 THEN 'correlation' END, CASE WHEN bins < 3 OR NOT rises THEN 'rising_bins' END) AS failed FROM sizes JOIN rising USING (fold_year))""",
+]
+_CURVE = [
+    "error_values AS (SELECT fold_year, x, count(*) AS n, sum(y) AS s FROM errors GROUP BY 1, 2)",
+    """spread_values AS (SELECT *, count(*) OVER (PARTITION BY fold_year) AS vals, sum(n) OVER (PARTITION BY fold_year) AS total,
+      row_number() OVER (PARTITION BY fold_year ORDER BY x) - 1 AS place, sum(n) OVER (PARTITION BY fold_year ORDER BY x) - n AS before FROM error_values)""",
+    f"""blocks AS (SELECT fold_year, CASE WHEN vals <= {calibration.BLOCKS} THEN place ELSE floor(before * {calibration.BLOCKS} / total) END AS cell,
+      min(x) AS low, max(x) AS high, CAST(sum(n) AS BIGINT) AS rows, sum(s) AS s FROM spread_values GROUP BY 1, 2)""",
+    "numbered_blocks AS (SELECT *, CAST(row_number() OVER (PARTITION BY fold_year ORDER BY cell) AS INTEGER) AS block FROM blocks)",
+    """runs AS (SELECT a.fold_year, a.block AS first, b.block AS last, sum(c.s) / sum(c.rows) AS mean
+      FROM numbered_blocks a JOIN numbered_blocks b ON a.fold_year = b.fold_year AND b.block >= a.block
+      JOIN numbered_blocks c ON c.fold_year = a.fold_year AND c.block BETWEEN a.block AND b.block GROUP BY 1, 2, 3)""",
+    "least AS (SELECT fold_year, first, i.block, min(mean) AS m FROM runs JOIN numbered_blocks i USING (fold_year) WHERE first <= i.block AND last >= i.block GROUP BY 1, 2, 3)",
+    "curve AS (SELECT fold_year, block, max(m) AS fitted FROM least GROUP BY 1, 2)",
+]
+
+
+def policy_errors(m: Market):
+    """Per fold year, date and name: spread of the nine policies' predictions and the error of their mean, out of sample."""
+    panel = training_panel(m)
+    models = linear.fit_folds(panel, panel_years(panel), FEATURES, learning.POLICIES, min_train=MIN_TRAIN)
+    scored = linear.predict_folds(models, panel, FEATURES, ("trade_date", "ticker", "target_excess_return"), MIN_VALID)
+    p = rounded(F.col("prediction"), 9)
+    rows = scored.groupBy("fold_year", "trade_date", "ticker").agg(
+        rounded(F.stddev_pop(p), 8).alias("disagreement"), F.abs(F.first("target_excess_return") - F.avg(p)).alias("error")
+    )
+    return cut_lineage(rows)
+
+
+@query(
+    "disagreement_calibration",
+    _with(
+        *_PANEL, *models_sql(learning.POLICIES), *_SCORED, *_ERRORS, *_RELIABILITY,
+        select=f"SELECT fold_year, rows, distinct_values, {r('ic')} AS rank_correlation, bins, failed = '' AS enabled, failed FROM judgement",
+    ),
+)
+def disagreement_calibration(spark, sf_dir):
+    m = Market(spark, sf_dir)
+    report = calibration.verdicts(calibration.reliability(policy_errors(m), ["fold_year"], ["trade_date", "ticker"]))
+    return report.select(
+        "fold_year", "rows", "distinct_values", rounded(F.col("rank_correlation")).alias("rank_correlation"), F.size("bin_errors").cast("long").alias("bins"), "enabled", "failed"
+    )
+
+
+@query(
+    "calibration_curve",
+    _with(
+        *_PANEL, *models_sql(learning.POLICIES), *_SCORED, *_ERRORS, *_CURVE,
+        select=f"SELECT fold_year, block, {r('low')} AS low, {r('high')} AS high, rows, {r('fitted')} AS fitted FROM curve JOIN numbered_blocks USING (fold_year, block)",
+    ),
+)
+def calibration_curve(spark, sf_dir):
+    rows = calibration.rising_curve(policy_errors(Market(spark, sf_dir)), ["fold_year"])
+    return rows.select("fold_year", "block", rounded(F.col("low")).alias("low"), rounded(F.col("high")).alias("high"), "rows", rounded(F.col("fitted")).alias("fitted"))
