@@ -77,7 +77,7 @@ def _luhn(c: Column) -> Column:
 
 def _valid(kind: str, c: Column) -> Column:
     if kind == "ip":
-        return F.forall(F.split(c, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.coalesce(F.substring(F.regexp_replace(p, "^0+", ""), 1, 3).cast("int"), F.lit(0)) <= 255))
+        return F.forall(F.split(c, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.coalesce(F.substring(F.regexp_replace(p, "^0+", ""), 1, 3).try_cast("int"), F.lit(0)) <= 255))
     if kind == "card":
         return F.when(F.length(_digits(c)).between(12, 19), _luhn(c)).otherwise(False)
     if kind == "phone":
