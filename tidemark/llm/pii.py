@@ -38,9 +38,33 @@ ROUNDS = 3
 CONFIDENT = 0.75
 LEAST_SEEDS = 3
 
+#: Matches that one inner walk takes: appending copies an array, so a text's matches are walked block by block.
+BLOCK = 256
+
 SPANS = "array<struct<start:bigint,end:bigint,value:string,before:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _walk(items: Column, kind: str, step) -> Column:
+    """(at, done): items walked in order, block by block, by step((at, nothing done), block, at), which gives such a pair; done is of type `kind`.
+
+    Time is in proportion to the items: at most BLOCK are appended one by one, then the blocks.
+    """
+    last = F.greatest(F.floor((F.size(items) - 1) / BLOCK).cast("int"), F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def whole(acc: Column, block: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("done"))
+        return _let(step(start, block, acc["at"]), lambda own: F.struct(own["at"].alias("at"), F.array_append(acc["blocks"], own["done"]).alias("blocks")))
+
+    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{kind}>").alias("blocks"))
+    return F.aggregate(blocks, empty, whole, lambda acc: F.struct(acc["at"].alias("at"), F.flatten(acc["blocks"]).alias("done")))
+
+
 def spans_of(text: Column, pattern: str, mark: str) -> Column:
     """All matches as (start, end, value, before): places in code points, `before` the text up to CONTEXT characters ahead.
 
@@ -48,15 +72,15 @@ def spans_of(text: Column, pattern: str, mark: str) -> Column:
     """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPANS).alias("spans"))
 
-    def walk(acc: Column, x: Column) -> Column:
+    def place(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
         end = start + F.length(x["m"])
         own = F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), x["m"].alias("value"), F.substring(x["p"], -CONTEXT, CONTEXT).alias("before"))
-        return F.struct(end.cast("bigint").alias("at"), F.array_append(acc["spans"], own).alias("spans"))
+        return F.struct(end.cast("bigint").alias("at"), F.array_append(acc["done"], own).alias("done"))
 
-    return F.when(text.rlike(mark), F.aggregate(steps, empty, walk)["spans"]).otherwise(F.array().cast(SPANS))
+    spans = _let(steps, lambda s: _walk(s, SPANS, lambda zero, block, _: F.aggregate(block, zero, place))["done"])
+    return F.when(text.rlike(mark), spans).otherwise(F.array().cast(SPANS))
 
 
 def _digits(c: Column) -> Column:
@@ -94,6 +118,20 @@ def _ranked_as(rank: int, kind: str):
     return lambda s: F.struct(s["start"], F.lit(rank).alias("rank"), s["end"], F.lit(kind).alias("kind"))
 
 
+def _touching(rank: int, kind: str, spans: Column, ends: Column, s: Column) -> Column:
+    """(start, rank, kind) of the first of a kind's spans that touches s, else null; a binary search, as spans of a kind do not overlap."""
+    halvings = F.sequence(F.lit(1), F.length(F.bin(F.size(ends))))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        after = F.get(ends, middle) > s["start"]
+        low, high = F.when(after, acc["low"]).otherwise(middle + 1), F.when(after, middle).otherwise(acc["high"])
+        return F.when(acc["low"] < acc["high"], F.struct(low.alias("low"), high.alias("high"))).otherwise(acc)
+
+    found = F.aggregate(halvings, F.struct(F.lit(0).alias("low"), F.size(ends).alias("high")), halve, lambda acc: F.get(spans, acc["low"]))
+    return F.when(F.size(ends) > 0, _let(found, lambda b: F.when(b["start"] < s["end"], F.struct(b["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind")))))
+
+
 def _is_kind(kind: str):
     return lambda s: s["kind"] == kind
 
@@ -110,8 +148,14 @@ def base_spans(docs: DataFrame) -> DataFrame:
     base = F.array_sort(F.concat(*each))
     trimmed = F.transform("_instance", lambda s: F.struct((s["start"] + F.length(s["value"]) - F.length(F.regexp_replace(s["value"], r"""^["'(<\[{.,;:!?]+""", ""))).alias("start"), F.regexp_replace(F.regexp_replace(s["value"], r"""^["'(<\[{.,;:!?]+""", ""), r"""[.,;:!?"')>\]}]+$""", "").alias("value"), s["before"].alias("before")))
     placed = F.transform(F.filter(trimmed, lambda s: F.length(s["value"]) >= LEAST_LENGTH), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["value"])).alias("end"), s["value"].alias("value"), F.lower(F.regexp_replace(F.regexp_extract(s["before"], r"(\S+\s+\S+)\s*$", 1), r"[0-9]+|\s+", " ")).alias("pattern")))
-    known = F.transform(placed, lambda s: s.withField("kind", F.get(F.filter("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])), F.lit(0))["kind"]))
-    return found.withColumn("base", base).withColumn("instances", known).drop(*(f"_{k}" for k in [*KINDS, "instance"]))
+    ends = F.struct(*[F.transform(f"_{k}", lambda b: b["end"]).alias(k) for k in KINDS])
+
+    def kind_of(e: Column):
+        return lambda s: s.withField("kind", F.array_min(F.array_compact(F.array(*[_touching(i, k, F.col(f"_{k}"), e[k], s) for i, k in enumerate(KINDS)])))["kind"])
+
+    known = F.when(F.size("base") > 0, _let(ends, lambda e: F.transform("_placed", kind_of(e)))).otherwise(F.transform("_placed", lambda s: s.withField("kind", F.lit(None).cast("string"))))
+    listed = found.withColumn("base", base).withColumn("_placed", placed).withColumn("instances", known)
+    return listed.drop(*(f"_{k}" for k in [*KINDS, "instance", "placed"]))
 
 
 def confident_patterns(instances: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -139,7 +183,7 @@ def confident_patterns(instances: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def personal_data(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """docs' key columns with base (array), spans (array of start, rank, end, kind) and the counts of base kinds.
 
-    One pass over the texts; what follows handles identifiers only. Null texts are empty. Rows with equal doc_id and text
+    One pass over the texts, in time about proportional to their length and matches; what follows handles identifiers only. Null texts are empty. Rows with equal doc_id and text
     get the same spans; null ids are kept. Added spans never overlap base spans and carry the kind of their pattern.
     """
     keep = keep or ["doc_id"]
@@ -172,15 +216,21 @@ def masked(docs: DataFrame) -> DataFrame:
     found = personal_data(docs).where(F.size("spans") > 0).select("doc_id", "__h1", "__h2", "spans").dropDuplicates(["doc_id", "__h1", "__h2"])
     keyed = docs.withColumns({"__h1": F.xxhash64("text"), "__h2": F.xxhash64("text", F.lit(1))}).alias("d")
     joined = keyed.join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.__h1") == F.col("f.__h1")) & (F.col("d.__h2") == F.col("f.__h2")), "left")
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
+    def hide(start: Column, block: Column, first: Column) -> Column:
+        last = F.coalesce(F.array_max(F.transform(block, lambda s: s["end"])), first)
+        # Places in a string are counted from its start, so a block looks into its own part of the text only.
+        return _let(F.substring(F.col("d.text"), first.cast("int") + 1, (last - first).cast("int")), lambda part: F.aggregate(block, start, cover(part, first)))
+
+    def cover(part: Column, first: Column):
+        def one(acc: Column, s: Column) -> Column:
+            piece = F.concat(F.substring(part, (acc["at"] - first).cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+            return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.array_append(acc["done"], piece).alias("done")))
 
-    def cover(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(F.col("d.text"), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.array_append(acc["parts"], piece).alias("parts")))
+        return one
 
-    def whole(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("d.text"), acc["at"].cast("int") + 1, F.length(F.col("d.text"))))
+    def rest(w: Column) -> Column:
+        return F.concat(F.array_join(w["done"], ""), F.substring(F.col("d.text"), w["at"].cast("int") + 1, F.length(F.col("d.text"))))
 
-    text = F.when(F.col("f.spans").isNull(), F.col("d.text")).otherwise(F.aggregate("f.spans", empty, cover, whole))
+    text = F.when(F.col("f.spans").isNull(), F.col("d.text")).otherwise(_let(_walk(F.col("f.spans"), "array<string>", hide), rest))
     length = F.when(F.col("f.spans").isNull(), F.col("d.n_chars")).otherwise(F.length(text)) if "n_chars" in docs.columns else None
     return joined.select(*(text.alias("text") if c == "text" else length.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"d.`{c}`") for c in docs.columns))
