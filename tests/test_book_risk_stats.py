@@ -1,3 +1,4 @@
+import random
 from datetime import date, timedelta
 from itertools import combinations
 from statistics import NormalDist
@@ -63,6 +64,25 @@ def test_hysteresis_keeps_a_held_name(spark):
     assert [r["ticker"] for r in out] == ["KEEP3", "KEEP3"]
 
 
+@pytest.mark.parametrize("k, buffer", [(3, 2), (1, 0), (4, -1), (0, 3), (9, 2)])
+def test_hysteresis_equals_a_plain_walk(spark, k, buffer):
+    picks, rows, plain = random.Random(7), [], []
+    for strategy in ("s", "t"):
+        held = set()
+        for month in range(30):
+            names = picks.sample("ABCDEFGH", picks.randint(1, 8))[: max(k + max(buffer, 0), 1)]
+            day = D0 + timedelta(days=31 * month)
+            rows += [(strategy, day, name, i + 1) for i, name in enumerate(names)]
+            chosen = book.held_then_best(names, held, k, buffer)
+            held = set(chosen)
+            plain += [(strategy, day, n, names.index(n) + 1, 1.0 / len(chosen)) for n in chosen]
+    picks.shuffle(rows)
+    df = spark.createDataFrame(rows, "strategy string, trade_date date, ticker string, rank long").repartition(5)
+    out = book.hysteresis_selection(df, k, buffer)
+    assert sorted(tuple(r) for r in out.collect()) == sorted(plain)
+    assert book.hysteresis_selection(df.limit(0), k, buffer).count() == 0
+
+
 def test_drawdown_episodes(spark):
     values = [100.0, 90.0, 95.0, 100.0, 120.0, 60.0]
     df = spark.createDataFrame([("s", D0 + timedelta(days=i), v) for i, v in enumerate(values)], "strategy string, trade_date date, portfolio_value double")

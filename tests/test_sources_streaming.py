@@ -1,5 +1,7 @@
+import hashlib
 import json
 from datetime import date, datetime
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +107,28 @@ def test_layout(spark, tmp_path):
     assert row["bytes"] == 3 and row["sha256"].startswith("ba7816bf")
 
 
+def test_manifest_reads_files_in_blocks(spark, tmp_path):
+    landed = tmp_path / "landed"
+    landed.mkdir()
+    bodies = {"empty.zip": b"", "a b%20c.gz": b"\xef\xbb\xbfnot packed\r\n", "large.bin": bytes(range(256)) * (layout.DIGEST_BLOCK // 128) + b"x"}
+    for name, body in bodies.items():
+        (landed / name).write_bytes(body)
+    got = {unquote(r["source"].rsplit("/", 1)[1]): (r["sha256"], r["bytes"]) for r in layout.file_manifest(spark, str(landed)).collect()}
+    assert got == {name: (hashlib.sha256(body).hexdigest(), len(body)) for name, body in bodies.items()}
+
+
+def test_a_retried_run_leaves_one_record(spark, tmp_path):
+    root, log = str(tmp_path / "snap"), str(tmp_path / "runs")
+    record = dict(features=["f"], parameters={"a": 1}, training_window={}, validation_folds=[2020], metrics={"ic": 0.1})
+    rows = "as_of string, ticker string, score double"
+    layout.publish_run(spark.createDataFrame([("2024-01-31", "A", 1.0), ("2024-02-29", "A", 2.0)], rows), root, log, "007", **record)
+    for _ in range(2):
+        layout.publish_run(spark.createDataFrame([("2024-02-29", "B", 3.0)], rows), root, log, "1e5", **record)
+    assert sorted((r["ticker"], r["score"]) for r in spark.read.parquet(root).collect()) == [("A", 1.0), ("B", 3.0)]
+    runs = layout.read_experiments(spark, log).collect()
+    assert sorted(r["experiment_id"] for r in runs) == ["007", "1e5"] and all(r["features"] == ["f"] for r in runs)
+
+
 def test_quarantine(spark):
     rows = [(date(2024, 1, 1), "AAAA3", 1.0), (date(2024, 1, 1), "AAAA3", 0.0), (date(2024, 1, 2), "BBBB3", None), (date(2024, 1, 2), "AAAA3", 2.0)]
     df = spark.createDataFrame(rows, "trade_date date, ticker string, close double")

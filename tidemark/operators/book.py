@@ -312,23 +312,30 @@ def held_then_best(names: list, kept: set, k: int, buffer: int) -> list:
 def hysteresis_selection(ranked: DataFrame, k: int, buffer: int) -> DataFrame:
     """Keep a held name while its rank is within k + buffer, then fill by rank.
 
-    `ranked` holds at most k + buffer names per strategy and date (rank ascending), so a strategy
-    sends only that short list to Python. The choice of one date depends on the choice of the date
-    before, which is why this one step is a grouped map.
+    `ranked` holds at most k + buffer names per strategy and date (rank ascending). The choice of a
+    date depends on the date before, so the dates of a strategy are folded in order: its row is one
+    list of short rankings, k + buffer names a date whatever the size of the market.
     """
-    import pandas as pd
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        kept, out = set(), []
-        for day, group in rows.sort_values(["trade_date", "rank", "ticker"]).groupby("trade_date", sort=True):
-            chosen = held_then_best(group["ticker"].tolist(), kept, k, buffer)
-            kept = set(chosen)
-            picked = group[group["ticker"].isin(kept)]
-            out.append(picked.assign(target_weight=1.0 / len(chosen)) if chosen else picked.assign(target_weight=0.0))
-        return pd.concat(out) if out else rows.assign(target_weight=0.0)
-
-    fields = {f.name: f.dataType.simpleString() for f in ranked.schema.fields}
-    schema = f"strategy string, trade_date date, ticker {fields['ticker']}, rank bigint, target_weight double"
-    return ranked.select("strategy", "trade_date", "ticker", F.col("rank").cast("bigint").alias("rank")).groupBy("strategy").applyInPandas(
-        choose, schema
+    ticker = dict(ranked.dtypes)["ticker"]
+    listed = F.sort_array(F.collect_list(F.struct(F.col("rank").cast("bigint").alias("rank"), "ticker")))
+    days = ranked.groupBy("strategy", "trade_date").agg(listed.alias("listed"))
+    history = days.groupBy("strategy").agg(F.sort_array(F.collect_list(F.struct("trade_date", "listed"))).alias("days"))
+    nothing = F.array().cast(f"array<{ticker}>")
+    start = F.struct(
+        nothing.alias("held"),
+        F.array().cast(f"array<struct<trade_date:date,names:array<{ticker}>,listed:array<struct<rank:bigint,ticker:{ticker}>>>>").alias("out"),
+    )
+
+    def step(state: Column, day: Column) -> Column:
+        names = day["listed"]["ticker"]
+        stay = F.filter(F.slice(names, 1, max(k, 0) + max(buffer, 0)), lambda n: F.array_contains(state["held"], n))
+        rest = F.filter(names, lambda n: ~F.array_contains(stay, n))
+        chosen = F.slice(F.concat(stay, rest), 1, max(k, 0))
+        picked = F.struct(day["trade_date"].alias("trade_date"), chosen.alias("names"), day["listed"].alias("listed"))
+        return F.struct(chosen.alias("held"), F.concat(state["out"], F.array(picked)).alias("out"))
+
+    walked = history.select("strategy", F.explode(F.aggregate("days", start, step, lambda state: state["out"])).alias("day"))
+    rows = walked.select("strategy", "day.trade_date", "day.names", F.explode("day.listed").alias("row"))
+    return rows.filter(F.array_contains("names", F.col("row.ticker"))).select(
+        "strategy", "trade_date", "row.ticker", "row.rank", (1.0 / F.size("names")).alias("target_weight")
     )

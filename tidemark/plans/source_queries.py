@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import company_id, rounded, share_multiplier, valid_ticker
-from tidemark.operators import filings, quality
+from tidemark.operators import factors, filings, quality
 from tidemark.plans import market_sql as S
 from tidemark.plans.filings_queries import _MACRO
 from tidemark.plans.market import Market
 from tidemark.plans.registry import query
+from tidemark.plans.signal_queries import FORECAST_SQL
 from tidemark.session import shared_folder
 from tidemark.sources import filings_files, layout
 from tidemark.sources.actions import parse_action_payloads
@@ -229,3 +230,46 @@ def registry_rows(spark, sf_dir):
         F.col("c_name").alias("DENOM_SOCIAL"), F.col("c_mktsegment").alias("SIT"), F.lit("2001-02-03").alias("DT_REG"),
     )
     return filings_files.parse_registry(file).select("company_id", "issuer_id", "registered_name", "status")
+
+
+@query(
+    "landed_files",
+    """WITH l AS (SELECT CAST(l_linestatus AS VARCHAR) || strftime(l_shipdate, '%Y-%m') AS part, l_orderkey || '|' || l_linenumber || '|' || l_partkey AS line, l_orderkey, l_linenumber, l_partkey FROM lineitem),
+       f AS (SELECT part, string_agg(line || chr(10), '' ORDER BY l_orderkey, l_linenumber, l_partkey) AS body FROM l GROUP BY 1)
+       SELECT part, sha256(body) AS sha256, CAST(strlen(body) AS BIGINT) AS bytes FROM f""",
+)
+def landed_files(spark, sf_dir):
+    """Digests of landed text files, one a month and line status, against the text they were written from."""
+    root = f"{shared_folder(spark)}/tidemark/{uuid.uuid4().hex}/landed"
+    lines = Market(spark, sf_dir).table("lineitem").select(
+        F.concat(F.col("l_linestatus"), F.date_format("l_shipdate", "yyyy-MM")).alias("part"),
+        F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey").alias("line"), "l_orderkey", "l_linenumber", "l_partkey",
+    )
+    lines.repartition("part").sortWithinPartitions("part", "l_orderkey", "l_linenumber", "l_partkey").select("part", "line").write.partitionBy("part").text(root)
+    return layout.file_manifest(spark, root).select(F.regexp_extract("source", "part=([^/]+)/", 1).alias("part"), "sha256", "bytes")
+
+
+@query(
+    "published_runs",
+    S.with_(
+        *FORECAST_SQL,
+        """signed AS (SELECT trade_date AS as_of, ticker, CASE WHEN month(trade_date) % 2 = 0 THEN 'second' ELSE 'first' END AS run,
+            CASE WHEN month(trade_date) % 2 = 0 THEN -prediction ELSE prediction END AS prediction FROM forecasts)""",
+        select=f"""SELECT as_of, ticker, run, CASE WHEN run = 'second' THEN 'even months again' ELSE 'all months' END AS notes,
+          {r('greatest(0.0, least(100.0, 50.0 + 45.0 * coalesce(prediction / nullif(max(abs(prediction)) OVER (PARTITION BY as_of), 0.0), 0.0)))', 4)} AS score FROM signed""",
+    ),
+)
+def published_runs(spark, sf_dir):
+    """A run publishes every month, a second one replaces the even months and is retried; each run has one record."""
+    root = f"{shared_folder(spark)}/tidemark/{uuid.uuid4().hex}"
+    rows = Market(spark, sf_dir).forecasts.select(F.col("trade_date").alias("as_of"), "ticker", "prediction")
+    even = rows.filter(F.month("as_of") % 2 == 0).withColumn("prediction", -F.col("prediction"))
+    for run, part, notes in (("first", rows, "all months"), ("second", even, "even months again"), ("second", even, "even months again")):
+        scored = factors.snapshot_scores(part).select("as_of", "ticker", "score").withColumn("run", F.lit(run))
+        layout.publish_run(
+            scored, f"{root}/snapshots", f"{root}/runs", run,
+            features=["prediction"], parameters={}, training_window={}, validation_folds=[], metrics={}, notes=notes,
+        )
+    runs = layout.read_experiments(spark, f"{root}/runs").select(F.col("experiment_id").alias("run"), "notes")
+    published = spark.read.parquet(f"{root}/snapshots").join(runs, "run")
+    return published.select("as_of", "ticker", "run", "notes", rounded(F.col("score"), 4).alias("score"))

@@ -54,10 +54,41 @@ def union_drifting(*frames: DataFrame) -> DataFrame:
     return out
 
 
+DIGEST_BLOCK = 4 * 1024 * 1024
+
+
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Source, digest and size of each landed file."""
+    """URI, digest and size of each landed file, of any size.
+
+    A task reads its files block by block through their file system into a running digest, so no
+    row ever holds a file; files are dealt to tasks by size. Spark's scan passes over empty files,
+    so they are added from its listing, with the digest of nothing. Works for the file systems that
+    pyarrow knows (local and mounted folders, hdfs, s3, gs, abfs).
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("source"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    # The two listings differ in the slashes of a local file's URI.
+    uri = F.regexp_replace("_metadata.file_path", "^file:/(?!/)", "file:///")
+    filled = files.select(uri.alias("source"), F.col("length").alias("bytes"))
+    listing = spark.createDataFrame([(uri,) for uri in files.inputFiles()], "source string")
+    empty = listing.join(filled, "source", "left_anti").withColumn("bytes", F.lit(0).cast("bigint"))
+
+    def digests(batches):
+        import hashlib
+
+        from pyarrow import fs
+
+        for batch in batches:
+            found = []
+            for uri in batch["source"]:
+                digest = hashlib.sha256()
+                system, name = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+                with system.open_input_stream(name, compression=None) as stream:
+                    while block := stream.read(DIGEST_BLOCK):
+                        digest.update(block)
+                found.append(digest.hexdigest())
+            yield batch.assign(sha256=found)[["source", "sha256", "bytes"]]
+
+    return filled.unionByName(empty).mapInPandas(digests, "source string, sha256 string, bytes bigint")
 
 
 def quarantine_prices(prices: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,17 +122,38 @@ def append_experiment(
     validation_folds: Sequence,
     metrics: Mapping,
     notes: str | None = None,
+    run_id: str | None = None,
 ) -> str:
-    """Add one record; earlier records are never touched."""
-    identifier = uuid.uuid4().hex
+    """Add one record; records of other runs are never touched.
+
+    The run is a partition of the log. A run repeated under its own `run_id` replaces its own
+    record, so a retry leaves one record; without `run_id` each call is a run.
+    """
+    identifier = run_id or uuid.uuid4().hex
     row = (
         identifier, datetime.now(timezone.utc), list(features), json.dumps(dict(parameters), default=str), json.dumps(dict(training_window), default=str),
         json.dumps(list(validation_folds), default=str), json.dumps(dict(metrics), default=str), notes,
     )
-    spark.createDataFrame([row], EXPERIMENT).coalesce(1).write.mode("append").parquet(root)
+    record = spark.createDataFrame([row], EXPERIMENT).coalesce(1)
+    record.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("experiment_id").parquet(root)
     return identifier
 
 
+def read_experiments(spark: SparkSession, root: str) -> DataFrame:
+    """All records; run ids stay text, also those that look like numbers."""
+    return spark.read.schema(EXPERIMENT).parquet(root)
+
+
 def publish_snapshot(df: DataFrame, root: str) -> None:
     """Replace the rows of the snapshot dates in `df` and keep all other dates."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("as_of").parquet(root)
+
+
+def publish_run(df: DataFrame, root: str, log: str, run_id: str, **record) -> str:
+    """Publish the snapshot dates of a run, then record the run.
+
+    The record comes last, so a run in the log has been published whole. A run that failed in
+    between is simply repeated: both steps replace what the first attempt left.
+    """
+    publish_snapshot(df, root)
+    return append_experiment(df.sparkSession, log, run_id=run_id, **record)
