@@ -83,6 +83,33 @@ def test_hysteresis_equals_a_plain_walk(spark, k, buffer):
     assert book.hysteresis_selection(df.limit(0), k, buffer).count() == 0
 
 
+def test_relative_growth_of_long_paths(spark):
+    schema = "strategy string, s double, b double"
+    rows = [("a", 0.10, 0.05), ("a", -0.02, 0.01), ("long", 9.0, 0.0)] + [("long", 9.0, 0.0)] * 399
+    out = {r["strategy"]: (r["relative_cagr"], r["periods"]) for r in performance.relative_cagr(spark.createDataFrame(rows, schema), "s", "b").collect()}
+    assert out["a"] == (pytest.approx((1.10 * 0.98 / (1.05 * 1.01)) ** 6 - 1.0), 2)
+    # The wealth ratio itself, 10 ** 400, is no number.
+    assert out["long"] == (pytest.approx(1e12, rel=1e-9), 400)
+    for bad in (-1.0, None, float("nan"), float("inf")):
+        with pytest.raises(Exception, match="above -100 %"):
+            performance.relative_cagr(spark.createDataFrame([("a", bad, 0.0)], schema), "s", "b").collect()
+
+
+def test_cost_table_pays_each_execution(spark):
+    fills = spark.createDataFrame(
+        [("s", p, 100.0, cap, t, 0.0, 0.5, f, f, fee, 0.0, 0.01) for p, t, f, cap, fee in (
+            (1, "A", 0.5, 0.1, 0.02), (1, "B", 0.25, 0.1, 0.02), (2, "A", 0.5, 0.1, 0.0), (1, "A", 0.5, 0.2, 0.99))],
+        "strategy string, period int, capital double, cap double, ticker string, held double, wanted double, filled double, traded double, fees double, spread double, impact double",
+    )
+    values = spark.createDataFrame([("s", 0, 1, 1.0), ("s", 1, 2, 5.0), ("s", 1, 3, 1.2), ("s", 2, 4, 1.5)], "strategy string, period int, session int, value double")
+    turnover = spark.createDataFrame([("s", 1, 0.5), ("s", 2, 0.1)], "strategy string, period int, turnover double")
+    out = {r["cap"]: r for r in book.strategy_cost_table(values, turnover, fills).collect()}
+    some, ruined = out[0.1], out[0.2]
+    assert some["gross"] == pytest.approx(1.2 * 1.5 - 1) and some["net"] == pytest.approx(1.2 * 1.5 * 0.94 * 0.99 - 1)
+    assert some["rejected_notional"] == pytest.approx(25.0) and some["rejected_orders"] == 1 and some["fill_ratio"] == pytest.approx(1.25 / 1.5)
+    assert ruined["net"] == -1.0 and ruined["log_net"] is None and ruined["gross"] == some["gross"]
+
+
 def test_drawdown_episodes(spark):
     values = [100.0, 90.0, 95.0, 100.0, 120.0, 60.0]
     df = spark.createDataFrame([("s", D0 + timedelta(days=i), v) for i, v in enumerate(values)], "strategy string, trade_date date, portfolio_value double")

@@ -278,18 +278,40 @@ def rejected_orders(fills: DataFrame, blocked_exits: DataFrame | None = None, sk
     return out
 
 
-def strategy_cost_table(summary: DataFrame, turnover: DataFrame, fills: DataFrame) -> DataFrame:
-    """One row per strategy and scenario: costs over capital, turnover, fill ratio and rejections."""
+def strategy_cost_table(values: DataFrame, turnover: DataFrame, fills: DataFrame) -> DataFrame:
+    """One row per strategy and scenario: gross and net growth, costs over capital, turnover, fill ratio and rejections.
+
+    `values` are those of `period_values`. Gross growth is the product of all periods; the costs of
+    an execution are paid from the wealth it finds, as in `equity_curves`, and costs that reach
+    all of it leave nothing. Growth is also given in logs (null when nothing is left).
+    """
+    scenario = ["strategy", "capital", "cap"]
     asked = F.abs(F.col("wanted") - F.col("held"))
-    costs = fills.groupBy("strategy", "capital", "cap").agg(
+    short = F.abs(F.col("filled") - F.col("wanted"))
+    executions = fills.groupBy(*scenario, "period").agg(
+        F.sum("fees").alias("fees"),
+        F.sum("spread").alias("spread"),
+        F.sum("impact").alias("impact"),
+        F.sum("traded").alias("traded"),
+        F.sum(asked).alias("asked"),
+        F.sum(short).alias("short"),
+        F.count(F.when(short > 1e-12, 1)).alias("rejected"),
+    )
+    paid = F.col("fees") + F.col("spread") + F.col("impact")
+    costs = executions.groupBy(*scenario).agg(
         F.sum("fees").alias("fees"),
         F.sum("spread").alias("spread"),
         F.sum("impact").alias("impact"),
-        F.try_divide(F.sum("traded"), F.sum(asked)).alias("fill_ratio"),
-        F.count(F.when(F.abs(F.col("filled") - F.col("wanted")) > 1e-12, 1)).alias("rejected_orders"),
+        F.try_divide(F.sum("traded"), F.sum("asked")).alias("fill_ratio"),
+        F.sum("rejected").alias("rejected_orders"),
+        (F.sum("short") * F.col("capital")).alias("rejected_notional"),
+        F.when(F.max(paid) < 1, F.sum(F.when(paid < 1, F.log1p(-paid)))).alias("__kept"),
     )
+    ends = values.groupBy("strategy", "period").agg(F.max_by("value", "session").alias("value"))
+    gross = ends.groupBy("strategy").agg(F.sum(F.log("value")).alias("log_gross"))
     churn = turnover.groupBy("strategy").agg(F.sum("turnover").alias("turnover"), F.count("*").alias("rebalances"))
-    return costs.join(churn, "strategy").join(summary, "strategy", "left")
+    rows = costs.join(churn, "strategy").join(gross, "strategy").withColumn("log_net", F.col("log_gross") + F.col("__kept")).drop("__kept")
+    return rows.withColumns({"gross": F.expm1("log_gross"), "net": F.coalesce(F.expm1("log_net"), F.lit(-1.0))})
 
 
 def benchmark_curve(calendar: DataFrame, returns: DataFrame, column: str = "daily_return", initial: float = 1.0) -> DataFrame:

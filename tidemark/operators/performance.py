@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rolling import compounded
+from tidemark.functions.scalars import finite
 from tidemark.operators.asof import asof_join
 
 BARS_PER_YEAR = 252
@@ -116,9 +117,14 @@ def summary_metrics(
 
 
 def relative_cagr(pairs: DataFrame, strategy: str, benchmark: str, by: Sequence[str] = ("strategy",), periods_per_year: int = 12) -> DataFrame:
-    """Annualised ratio of the two wealth paths."""
-    ratio = F.product((1.0 + F.col(strategy)) / (1.0 + F.col(benchmark)))
-    return pairs.groupBy(*by).agg((F.pow(ratio, periods_per_year / F.count("*")) - 1.0).alias("relative_cagr"), F.count("*").alias("periods"))
+    """Annualised ratio of the two wealth paths, from log returns, so that no long product leaves the range of numbers.
+
+    A return that is missing, not finite or not above -100 % on either side is an error.
+    """
+    own, other = F.col(strategy), F.col(benchmark)
+    sound = F.coalesce(finite(own) & finite(other) & (own > -1.0) & (other > -1.0), F.lit(False))
+    step = F.when(sound, F.log1p(own) - F.log1p(other)).otherwise(F.raise_error(F.lit("returns must be finite and above -100 %")).cast("double"))
+    return pairs.groupBy(*by).agg(F.expm1(F.avg(step) * periods_per_year).alias("relative_cagr"), F.count("*").alias("periods"))
 
 
 def contribution_totals(contributions: DataFrame, by: Sequence[str]) -> DataFrame:

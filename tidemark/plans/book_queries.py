@@ -192,17 +192,24 @@ def rejected_orders(spark, sf_dir):
     S.with_(
         *_FILLS,
         "t AS (SELECT strategy, sum(turnover) AS turnover, count(*) AS rebalances FROM churn GROUP BY 1)",
-        select=f"""SELECT f.strategy, capital, cap, {r('sum(fees)')} AS fees, {r('sum(spread)')} AS spread, {r('sum(impact)')} AS impact,
+        "grown AS (SELECT strategy, sum(ln(value)) AS log_gross FROM (SELECT strategy, period, arg_max(value, session) AS value FROM vals GROUP BY 1, 2) GROUP BY 1)",
+        """kept AS (SELECT strategy, capital, cap, sum(ln(1.0 - cost)) AS k FROM
+            (SELECT strategy, capital, cap, period, sum(fees + spread + impact) AS cost FROM fills GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)""",
+        select=f"""SELECT f.strategy, f.capital, f.cap, {r('sum(fees)')} AS fees, {r('sum(spread)')} AS spread, {r('sum(impact)')} AS impact,
           {r('sum(traded) / sum(abs(wanted - held))')} AS fill_ratio, count(*) FILTER (WHERE abs(filled - wanted) > 1e-12) AS rejected_orders,
-          {r('max(turnover)')} AS turnover, max(rebalances) AS rebalances FROM fills f JOIN t USING (strategy) GROUP BY 1, 2, 3""",
+          {r('sum(abs(filled - wanted)) * f.capital', 2)} AS rejected_notional, {r('max(log_gross)')} AS log_gross, {r('max(log_gross + k)')} AS log_net,
+          {r('max(turnover)')} AS turnover, max(rebalances) AS rebalances
+          FROM fills f JOIN t ON t.strategy = f.strategy JOIN grown g ON g.strategy = f.strategy
+          JOIN kept ON kept.strategy = f.strategy AND kept.capital = f.capital AND kept.cap = f.cap GROUP BY 1, 2, 3""",
     ),
 )
 def strategy_by_cost(spark, sf_dir):
     m = Market(spark, sf_dir)
-    summary = m.targets.select("strategy").distinct()
-    rows = book.strategy_cost_table(summary, m.turnover, fills(m))
+    rows = book.strategy_cost_table(m.values, m.turnover, fills(m))
+    # Growth in logs: over all years wealth in this market spans orders of magnitude.
     return rows.select(
-        "strategy", "capital", "cap", *[rounded(F.col(c)).alias(c) for c in ("fees", "spread", "impact", "fill_ratio", "turnover")], "rejected_orders", "rebalances"
+        "strategy", "capital", "cap", *[rounded(F.col(c)).alias(c) for c in ("log_gross", "log_net", "fees", "spread", "impact", "fill_ratio", "turnover")],
+        rounded(F.col("rejected_notional"), 2).alias("rejected_notional"), "rejected_orders", "rebalances",
     )
 
 

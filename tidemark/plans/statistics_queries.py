@@ -52,13 +52,10 @@ def bootstrap_ci(spark, sf_dir):
 
 @query(
     "relative_cagr",
-    S.with_(*MONTHS_SQL, select=f"SELECT strategy, {r('exp(avg(ln((1.0 + ln(1.0 + s) / 10.0) / (1.0 + ln(1.0 + b) / 10.0))) * 12.0) - 1.0')} AS relative_cagr, count(*) AS periods FROM months GROUP BY 1"),
+    S.with_(*MONTHS_SQL, select=f"SELECT strategy, {r('exp(avg(ln((1.0 + s) / (1.0 + b))) * 12.0) - 1.0')} AS relative_cagr, count(*) AS periods FROM months GROUP BY 1"),
 )
 def relative_cagr(spark, sf_dir):
-    # A tenth of the log return keeps the wealth ratio of this market away from zero.
-    months = month_pairs(Market(spark, sf_dir))
-    mild = months.select("strategy", *[(F.log1p(c) / 10.0).alias(c) for c in ("strategy_return", "benchmark_return")])
-    rows = performance.relative_cagr(mild, "strategy_return", "benchmark_return")
+    rows = performance.relative_cagr(month_pairs(Market(spark, sf_dir)), "strategy_return", "benchmark_return")
     return rows.select("strategy", rounded(F.col("relative_cagr")).alias("relative_cagr"), "periods")
 
 
