@@ -110,6 +110,16 @@ def test_cost_table_pays_each_execution(spark):
     assert ruined["net"] == -1.0 and ruined["log_net"] is None and ruined["gross"] == some["gross"]
 
 
+def test_run_records_show_unequal_runs(spark):
+    schema = "strategy string, trade_date date, period long, start long, end long"
+    rows = [(s, D0, p, 1 + 4 * p, 5 + 4 * p) for s in "ab" for p in (0, 1, 2)]
+    even = book.run_records(spark.createDataFrame(rows, schema), (1e5, 1e6), (0.01,))
+    assert even.count() == 4 and statistics.fairness_failures(even).count() == 0
+    late = book.run_records(spark.createDataFrame(rows[:-1], schema), (1e5, 1e6), (0.01,))
+    failures = statistics.fairness_failures(late).collect()
+    assert {r["field"] for r in failures} == {"evaluation_end", "rebalance_dates", "rebalance_periods"} and len(failures) == 6
+
+
 def test_drawdown_episodes(spark):
     values = [100.0, 90.0, 95.0, 100.0, 120.0, 60.0]
     df = spark.createDataFrame([("s", D0 + timedelta(days=i), v) for i, v in enumerate(values)], "strategy string, trade_date date, portfolio_value double")

@@ -314,6 +314,22 @@ def strategy_cost_table(values: DataFrame, turnover: DataFrame, fills: DataFrame
     return rows.withColumns({"gross": F.expm1("log_gross"), "net": F.coalesce(F.expm1("log_net"), F.lit(-1.0))})
 
 
+def run_records(periods: DataFrame, capitals: Sequence[float], caps: Sequence[float], delay: int = 1, fill_policy: str = "partial_to_cap") -> DataFrame:
+    """What each strategy was run on under each scenario, for `statistics.fairness_failures`. `periods` are those of `rebalance_periods`."""
+    held = periods.filter("period > 0")
+    runs = held.groupBy("strategy").agg(
+        F.min("start").alias("evaluation_start"),
+        F.max("end").alias("evaluation_end"),
+        F.array_join(F.sort_array(F.collect_set("start")), ",").alias("rebalance_dates"),
+        F.count("*").alias("rebalance_periods"),
+    )
+    cells = [
+        F.struct(F.lit(f"{c:g}/{p:g}").alias("cost_scenario"), F.lit(float(c)).alias("initial_capital"), F.lit(float(p)).alias("participation_cap"))
+        for c in capitals for p in caps
+    ]
+    return runs.select("*", F.inline(F.array(*cells)), F.lit(delay).alias("execution_delay_bars"), F.lit(fill_policy).alias("fill_policy"))
+
+
 def benchmark_curve(calendar: DataFrame, returns: DataFrame, column: str = "daily_return", initial: float = 1.0) -> DataFrame:
     """Price path of a return series, one row per session; a missing return is flagged, not filled."""
     joined = calendar.join(returns.select("trade_date", F.col(column).alias("__r")), "trade_date", "left")

@@ -15,6 +15,8 @@ from tidemark.session import cut_lineage
 
 r = S.r
 D = S._D
+# Scenarios of capital and participation cap.
+CAPITALS, CAPS = (1e5, 1e6, 1e7), (0.01, 0.02, 0.05)
 
 _SCORES = {
     "momentum": "rank_momentum_12_1",
@@ -151,7 +153,7 @@ def fills(m: Market):
     )
     asked = m.orders.filter(F.col("ticker") != book.CASH).join(m.periods.select("strategy", "period", "start"), ["strategy", "period"])
     asked = asked.join(liquidity, ["ticker", "start"], "left")
-    return book.liquidity_fills(asked, (1e5, 1e6, 1e7), (0.01, 0.02, 0.05), fee_bps=2.0)
+    return book.liquidity_fills(asked, CAPITALS, CAPS, fee_bps=2.0)
 
 
 @query(

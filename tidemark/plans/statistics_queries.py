@@ -7,9 +7,9 @@ import re
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import rounded
-from tidemark.operators import evaluation, performance, statistics
+from tidemark.operators import book, evaluation, performance, statistics
 from tidemark.plans import market_sql as S
-from tidemark.plans.book_queries import MONTHS_SQL, month_pairs
+from tidemark.plans.book_queries import CAPITALS, CAPS, MONTHS_SQL, month_pairs
 from tidemark.plans.diagnostics_queries import EVAL_SQL, TOPK_SQL
 from tidemark.plans.market import Market
 from tidemark.plans.registry import query
@@ -174,11 +174,17 @@ _METRIC_SQL = [
     _MOMENTS,
     f"zz AS (SELECT *, (s - CAST({_HURDLE!r} AS DOUBLE)) / sqrt(v * 12.0) AS z1 FROM va)",
     f"dsr AS (SELECT strategy, {_cdf('z1')} AS dsr FROM zz)",
-    """facts_ AS (SELECT strategy, avg(ln(1.0 + s)) / stddev_samp(ln(1.0 + s)) * sqrt(12.0) AS sh FROM months GROUP BY 1)""",
+    """facts_ AS (SELECT strategy, avg(ln((1.0 + s) / (1.0 + c))) / stddev_samp(ln((1.0 + s) / (1.0 + c))) * sqrt(12.0) AS sh FROM months GROUP BY 1)""",
+    "crel AS (SELECT strategy, period, ln((1.0 + s) / (1.0 + c)) AS x, row_number() OVER (PARTITION BY strategy ORDER BY period) - 1 AS i FROM months)",
+    *[re.sub(r"\b(sz|dr|ix|es|rel)\b", r"c\1", part) for part in _BOOTSTRAP],
+    "clow AS (SELECT strategy, quantile_cont(e, 0.025) * 12.0 AS low FROM ces GROUP BY 1)",
+    """fair AS (SELECT CASE WHEN count(DISTINCT runs) = 1 THEN 1.0 ELSE 0.0 END AS passed FROM
+        (SELECT strategy, concat(min(start_s), '|', max(end_s), '|', string_agg(start_s, ',' ORDER BY start_s)) AS runs FROM heldp GROUP BY 1))""",
     "worst AS (SELECT strategy, min(exp(ln_net - mx) - 1.0) AS dd FROM (SELECT strategy, ln_net, max(ln_net) OVER (PARTITION BY strategy ORDER BY session) AS mx FROM net) GROUP BY 1)",
     "spent AS (SELECT strategy, sum(turnover) * 12.0 / count(*) AS turn FROM churn GROUP BY 1)",
     """metrics AS (SELECT strategy, 'excess_sharpe_vs_cdi' AS name, sh AS actual FROM facts_ UNION ALL SELECT strategy, 'max_drawdown', dd FROM worst UNION ALL SELECT strategy, 'annualized_turnover', turn FROM spent
-        UNION ALL SELECT strategy, 'relative_cagr_ci_low_vs_ibov', low FROM low UNION ALL SELECT strategy, 'deflated_sharpe_probability', dsr FROM dsr
+        UNION ALL SELECT strategy, 'relative_cagr_ci_low_vs_ibov', low FROM low UNION ALL SELECT strategy, 'relative_cagr_ci_low_vs_cdi', low FROM clow
+        UNION ALL SELECT strategy, 'benchmark_fairness_passed', passed FROM facts_, fair UNION ALL SELECT strategy, 'deflated_sharpe_probability', dsr FROM dsr
         UNION ALL SELECT strategy, 'number_of_trials_recorded', CAST((SELECT count(DISTINCT strategy) FROM facts_) AS DOUBLE) FROM facts_
         UNION ALL SELECT f.strategy, g.strategy || '_ci_low', g.low FROM facts_ f, (SELECT strategy, quantile_cont(e, 0.025) AS low FROM ses WHERE strategy IN ('rank_ic', 'top10_spread') GROUP BY 1) g)""",
 ]
@@ -201,22 +207,29 @@ def gates(spark, sf_dir):
 def gate_metrics(m: Market):
     """Long (strategy, name, actual) rows for the gates, each from the operator that computes it.
 
-    The bound on relative growth is the bootstrap's, per year and in logs (of the same sign as the relative CAGR). The signal
-    level is the one forecast that all strategies share. Gates whose input this market lacks (cash benchmark, leakage
-    tests, acknowledgements, fairness records) stay without a value and so fail.
+    The bounds on growth relative to the market and to cash are the bootstrap's, per year and in logs (of the same sign as
+    the relative CAGR); the Sharpe ratio is that of log returns over cash. The signal level is the one forecast that all
+    strategies share, and fairness compares what the strategies of each scenario were run on. Gates whose input this
+    market lacks (leakage tests, acknowledgements) stay without a value and so fail.
     """
-    months = month_pairs(m).withColumn("own", F.log1p("strategy_return"))
-    facts = months.groupBy("strategy").agg(statistics.sharpe(F.col("own")).alias("sh"))
+    months = month_pairs(m)
+    over = {"ibov": F.log1p("strategy_return") - F.log1p("benchmark_return"), "cdi": F.log1p("strategy_return") - F.log1p("rate_return")}
+    facts = months.groupBy("strategy").agg(statistics.sharpe(over["cdi"]).alias("sh"))
     worst = performance.summary_metrics(m.curves((15.0,)), bars=52).select("strategy", F.col("max_drawdown").alias("dd"))
     spent = m.turnover.groupBy("strategy").agg((F.sum("turnover") * 12.0 / F.count("*")).alias("turn"))
-    x = relative(m).select("strategy", "period", "x")
-    low = statistics.block_bootstrap(x, "x", "period").select("strategy", (F.col("ci_low") * 12.0).alias("low"))
+    pairs = F.array(*[F.struct(F.lit(n).alias("benchmark"), x.alias("x")) for n, x in over.items()])
+    excess = cut_lineage(months.select("strategy", "period", F.inline(pairs)))
+    lows = statistics.block_bootstrap(excess, "x", "period", ("strategy", "benchmark"))
+    low = lows.groupBy("strategy").agg(*[F.max(F.when(F.col("benchmark") == n, F.col("ci_low") * 12.0)).alias(f"low_{n}") for n in over])
+    x = excess.filter("benchmark = 'ibov'").select("strategy", "period", "x")
+    failures = statistics.fairness_failures(book.run_records(m.periods, CAPITALS, CAPS))
+    fair = failures.agg((F.count("*") == 0).cast("double")).scalar()
     deflated = statistics.deflated_sharpe(x, "x", 20, 0.25).select("strategy", F.col("probability").alias("dsr"))
     trials = facts.agg(F.count_distinct("strategy").cast("double")).scalar()
     wide = facts.join(worst, "strategy").join(spent, "strategy").join(low, "strategy").join(deflated, "strategy")
     cells = {
-        "excess_sharpe_vs_cdi": F.col("sh"), "max_drawdown": F.col("dd"), "annualized_turnover": F.col("turn"), "relative_cagr_ci_low_vs_ibov": F.col("low"),
-        "deflated_sharpe_probability": F.col("dsr"), "number_of_trials_recorded": trials,
+        "excess_sharpe_vs_cdi": F.col("sh"), "max_drawdown": F.col("dd"), "annualized_turnover": F.col("turn"), "relative_cagr_ci_low_vs_ibov": F.col("low_ibov"),
+        "relative_cagr_ci_low_vs_cdi": F.col("low_cdi"), "benchmark_fairness_passed": fair, "deflated_sharpe_probability": F.col("dsr"), "number_of_trials_recorded": trials,
     }
     rows = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("actual")) for n, v in cells.items()])
     signal = statistics.block_bootstrap(signal_series(m).filter("strategy <> 'top10_hit_rate'"), "x", "trade_date")
