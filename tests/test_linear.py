@@ -106,3 +106,30 @@ def test_the_outer_year_has_no_say_in_the_choice(spark):
     chosen = linear.nested_choice(yearly, [1, 4]).collect()
     assert [(c["fold_year"], c["policy"], c["trials"], c["outer_value"]) for c in chosen] == [(4, "q", 2, -9.0)]
     assert chosen[0]["inner_value"] == pytest.approx(0.2) and yearly.agg(F.count("*")).first()[0] == 10
+
+
+def test_medians_deal_out_only_the_middle_of_each_window(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for month in range(36):
+        day = date(2000 + month // 12, month % 12 + 1, 20)
+        for k in range(40):
+            a = None if rng.random() < 0.1 else float(rng.normal(month % 3))
+            rows.append((day, f"T{k:02d}", f"I{k}", day, 0.1, 0.2, a, float(rng.integers(0, 3)), float(month) if k % 2 else -0.0, None))
+    panel = spark.createDataFrame(rows, SCHEMA)
+    sliced = linear.sliced(panel, [2001, 2002])
+    members = linear.memberships(panel.groupBy(F.col("trade_date").alias("date")).agg(F.max("target_end_date").alias("last")), [2001, 2002], POLICIES)
+    dealt = []
+    plain = linear.running_before
+    monkeypatch.setattr(linear, "running_before", lambda df, *a, **b: dealt.append(df.agg(F.sum("n")).first()[0]) or plain(df, *a, **b))
+    got = {(m["window"], m["fold_year"], m["feature"]): m["median"] for m in linear.window_medians(sliced, members, FEATURES).collect()}
+    expected = {}
+    for window, year in ((None, 2001), (None, 2002), (1, 2001), (1, 2002)):
+        for i in range(4):
+            values = [r[6 + i] for r in rows if r[0].year < year and (window is None or r[0].year >= year - window) and r[6 + i] is not None]
+            if values:
+                expected[(window, year, i)] = float(np.median(values))
+    assert got == pytest.approx(expected, abs=0.0)
+    # Columns of few values have large cells, the others small ones.
+    everything = sum(len([r for r in rows if r[0].year < y and (w is None or r[0].year >= y - w)]) * 3 for w, y in ((None, 2001), (None, 2002), (1, 2001), (1, 2002)))
+    assert dealt[0] < everything * 0.6

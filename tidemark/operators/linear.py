@@ -12,10 +12,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import exact_quantiles
+from tidemark.functions.ordered import null_safe_join, running_before
 from tidemark.functions.scalars import finite, finite_or_null
 from tidemark.operators import evaluation
 from tidemark.operators.learning import RIDGE_ALPHA, TrainingPolicy
@@ -24,6 +25,10 @@ from tidemark.session import cut_lineage
 
 #: A column whose variance is below this share of its mean square is constant; sums of products cannot tell less apart.
 CONSTANT = 1e-12
+#: Ranges of values that are counted before a median is looked up; more make the look-up smaller and the counts larger.
+CELLS = 256
+#: Ranges of values that are counted before a median is looked up; more make the look-up smaller and the counts larger.
+CELLS = 256
 MODEL = ["policy", "target", "alpha", "fold_year"]
 
 
@@ -99,16 +104,68 @@ def memberships(dates: DataFrame, years: Sequence[int], policies: Sequence[Train
     return rows.select("policy", "fold_year", "window", "date", F.when(whole, 0).otherwise(F.col("fold_year")).alias("year"), decay.alias("decay"))
 
 
-def window_medians(rows: DataFrame, members: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Exact medians per (window, fold, feature) that has a value there; values are counted per slice before they meet their windows.
+def _value_cells(rows: DataFrame, features: Sequence[str], cells: int) -> DataFrame:
+    """Long (date, year, feature, cell, value) of the finite values; the cells of a feature are ranges that hold about equally many.
 
-    Features without gaps have one too, since a row to be scored may lack them.
+    Bounds may be approximate: whatever they are, equal values share a cell and a larger cell holds larger values.
     """
+    clean = rows.select("slice.date", "slice.year", *[finite_or_null(F.col(f)).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+    steps = [i / cells for i in range(1, cells)]
+    bounds = clean.agg(*[F.percentile_approx(f"x{i}", steps, 20 * cells).alias(f"x{i}") for i in range(len(features))]).first()
+    splits = [[-float("inf"), *sorted(set(bounds[f"x{i}"] or [0.0])), float("inf")] for i in range(len(features))]
+    placed = Bucketizer(
+        splitsArray=splits, inputCols=[f"x{i}" for i in range(len(features))], outputCols=[f"c{i}" for i in range(len(features))], handleInvalid="keep"
+    ).transform(clean)
+    long = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"c{i}").cast("int").alias("cell"), F.col(f"x{i}").alias("value")) for i in range(len(features))])
+    return placed.select("date", "year", F.inline(long)).filter("value IS NOT NULL")
+
+
+def _value_cells(rows: DataFrame, features: Sequence[str], cells: int) -> DataFrame:
+    """Long (date, year, feature, cell, value) of the finite values; the cells of a feature are ranges that hold about equally many.
+
+    Bounds may be approximate: whatever they are, equal values share a cell and a larger cell holds larger values.
+    """
+    clean = rows.select("slice.date", "slice.year", *[finite_or_null(F.col(f)).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+    steps = [i / cells for i in range(1, cells)]
+    bounds = clean.agg(*[F.percentile_approx(f"x{i}", steps, 20 * cells).alias(f"x{i}") for i in range(len(features))]).first()
+    splits = [[-float("inf"), *sorted(set(bounds[f"x{i}"] or [0.0])), float("inf")] for i in range(len(features))]
+    placed = Bucketizer(
+        splitsArray=splits, inputCols=[f"x{i}" for i in range(len(features))], outputCols=[f"c{i}" for i in range(len(features))], handleInvalid="keep"
+    ).transform(clean)
+    long = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"c{i}").cast("int").alias("cell"), F.col(f"x{i}").alias("value")) for i in range(len(features))])
+    return placed.select("date", "year", F.inline(long)).filter("value IS NOT NULL")
+
+
+def window_medians(rows: DataFrame, members: DataFrame, features: Sequence[str], cells: int = CELLS) -> DataFrame:
+    """Exact medians per (window, fold, feature) that has a value there.
+
+    Rows do not meet their windows: counts per slice and cell do, which tells the cell or the two next to each other that hold a
+    window's middle. Only the values in these are dealt out to windows. Features without gaps have a median too, since a
+    row to be scored may lack them.
+    """
+    key = ["window", "fold_year", "feature"]
     windows = members.select("window", "fold_year", "date", "year").distinct()
-    cells = F.array(*[F.struct(F.lit(i).alias("feature"), finite_or_null(F.col(f)).alias("value")) for i, f in enumerate(features)])
-    counted = rows.select("slice.date", "slice.year", F.inline(cells)).filter("value IS NOT NULL").groupBy("date", "year", "feature", "value").agg(F.count("*").alias("n"))
-    fanned = counted.join(windows, ["date", "year"])
-    return exact_quantiles(fanned, ["window", "fold_year", "feature"], "value", [0.5], times="n").withColumnRenamed("q0", "median")
+    values = _value_cells(rows, features, cells)
+    counted = cut_lineage(values.groupBy("date", "year", "feature", "cell").agg(F.count("*").alias("n")))  # slices x features x cells at most
+    cell_sums = counted.join(F.broadcast(windows), ["date", "year"]).groupBy(*key, "cell").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*key)
+    upto = group.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    low, high = F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)
+    spans = cell_sums.withColumns({"before": F.sum("n").over(upto) - F.col("n"), "total": F.sum("n").over(group)})
+    middle = spans.filter((F.col("before") <= high) & (low < F.col("before") + F.col("n")))
+    # Positions of both middle values after the values of smaller cells.
+    spots = middle.groupBy(*key).agg(F.collect_list("cell").alias("cells"), F.min("before").alias("skipped"), F.first(low).alias("low"), F.first(high).alias("high"))
+    spots = cut_lineage(spots)  # windows x folds x features
+    wanted = null_safe_join(windows, spots.select(*key, F.explode("cells").alias("cell")), ["window", "fold_year"], "inner")
+    met = values.join(F.broadcast(wanted), ["date", "year", "feature", "cell"])  # wanted: slices x windows x features, two cells each at most
+    tied = met.groupBy(*key, "value").agg(F.count("*").alias("n"))
+    placed = null_safe_join(running_before(tied, key, ["value"], {"before": "n"}), spots, key)
+
+    def at(position: str):
+        place = F.col(position) - F.col("skipped")
+        return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col("value")))
+
+    return placed.groupBy(*key).agg(at("low").alias("low"), at("high").alias("high")).select(*key, (F.col("low") + (F.col("high") - F.col("low")) * 0.5).alias("median"))
 
 
 def solve(total: np.ndarray, median: np.ndarray, targets: int, alphas: Sequence[float]):
