@@ -156,3 +156,16 @@ def test_nearest_entries_match_all_pairs(spark, k):
     got = names.nearest_entries(names_df, entries, k).select("name_key", "entry_key", "similarity")
     assert set(map(tuple, got.collect())) == want and got.count() == len(want)
     assert names.nearest_entries(names_df, entries.limit(0), k).count() == 0
+
+
+def test_pieces_that_all_entries_have_are_not_looked_up(spark, monkeypatch):
+    left, right = [f"Supplier#00000{i}" for i in range(1100, 3900, 97)], [f"Customer#00000{i}" for i in range(1000, 4000)]
+    grams = lambda s: {s[i : i + 3] for i in range(len(s) - 2)}
+    share = lambda a, b: round(2 * len(grams(a) & grams(b)) / (len(grams(a)) + len(grams(b))), 4)
+    want = {(a, b, s) for a in left for s, b in sorted(((share(a, b), b) for b in right), reverse=True)[:3]}
+    states, plain = [], names.cut_lineage
+    monkeypatch.setattr(names, "cut_lineage", lambda df: states.append(plain(df)) or states[-1])
+    got = names.nearest_entries(spark.createDataFrame([(a,) for a in left], "name_key string"), spark.createDataFrame([(b, b) for b in right], "entry_key string, label string"))
+    assert set(map(tuple, got.select("name_key", "entry_key", "similarity").collect())) == want
+    ends = [s.filter(f"__settled AND NOT exists(slice(pieces, 1, done), p -> p.hits = {len(right)})").count() for s in states if "__settled" in s.columns]
+    assert sum(ends) == len(left)

@@ -13,6 +13,8 @@ from tidemark.session import cut_lineage
 GRAM = 5
 SIMILARITY_GRAM = 3
 REVIEW_ROWS = 3
+#: A round of look-ups takes pieces with up to so many times the entries of its rarest.
+FREQUENT = 8
 
 
 def _grams(column: str, size: int):
@@ -57,24 +59,27 @@ def nearest_entries(names: DataFrame, entries: DataFrame, k: int = REVIEW_ROWS)
     """For each name the k entries with the largest share of common three-letter pieces (Dice, four decimals).
 
     `names`: name_key. `entries`: entry_key, label; both keys distinct and not null. Equal shares are ordered by label, then key,
-    both descending; an entry without a common piece never counts. Names look up their pieces from the rarest on, twice as many each
-    round. What none of those found can share the remaining pieces at most, and a name whose k-th best is above that is
+    both descending; an entry without a common piece never counts. Names look up their pieces from the rarest on, up to twice as many
+    each round. What none of those found can share the remaining pieces at most, and a name whose k-th best is above that is
     done, so pieces that many names have are looked up only for names that nothing rarer has settled. No candidate is dropped.
     """
     right = entries.select("entry_key", "label", _grams("entry_key", SIMILARITY_GRAM).alias("entry_grams")).filter(F.size("entry_grams") > 0)
-    index = right.select("entry_key", F.explode("entry_grams").alias("gram"))
-    frequency = index.groupBy("gram").agg(F.count("*").alias("hits"))
+    index = right.select("entry_key", F.size("entry_grams").alias("size"), F.explode("entry_grams").alias("gram"))
+    frequency = index.groupBy("gram").agg(F.count("*").alias("hits"), F.min("size").alias("smallest"))
     left = names.select("name_key", _grams("name_key", SIMILARITY_GRAM).alias("name_grams"))
     # A piece that no entry has is never looked up and cannot be shared.
     known = left.select("name_key", F.explode("name_grams").alias("gram")).join(frequency, "gram")
-    pieces = known.groupBy("name_key").agg(F.sort_array(F.collect_list(F.struct("hits", "gram")))["gram"].alias("pieces"))
-    waiting = cut_lineage(left.join(pieces, "name_key"))
+    pieces = known.groupBy("name_key").agg(F.sort_array(F.collect_list(F.struct("hits", "gram", "smallest"))).alias("pieces"))
+    waiting = cut_lineage(left.join(pieces, "name_key").withColumn("done", F.lit(0)))
     order = Window.partitionBy("name_key").orderBy(F.col("similarity").desc(), F.col("label").desc(), F.col("entry_key").desc())
     kept = None
     found: list[DataFrame] = []
-    start, width = 0, 1
+    width = 1
     while not waiting.isEmpty():
-        probes = waiting.select("name_key", F.explode(F.slice("pieces", start + 1, width)).alias("gram"))
+        # A round takes no piece that is far more frequent than its first: what that one finds may settle the name.
+        offered = F.slice("pieces", F.col("done") + 1, F.lit(width))
+        waiting = waiting.withColumn("taken", F.filter(offered, lambda p: p["hits"] <= FREQUENT * F.element_at(offered, 1)["hits"]))
+        probes = waiting.select("name_key", F.explode(F.col("taken")["gram"]).alias("gram"))
         pairs = probes.join(index, "gram").select("name_key", "entry_key").distinct()
         shared = F.size(F.array_intersect("name_grams", "entry_grams"))
         share = F.round(2.0 * shared / (F.size("name_grams") + F.size("entry_grams")), 4)
@@ -83,12 +88,15 @@ def nearest_entries(names: DataFrame, entries: DataFrame, k: int = REVIEW_ROWS)
             scored = scored.unionByName(kept.join(waiting.select("name_key"), "name_key", "left_semi")).distinct()
         kept = cut_lineage(scored.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= k).drop("__n"))
         reached = kept.groupBy("name_key").agg(F.min("similarity").alias("least"), F.count("*").alias("n"))
-        start, width = start + width, start + width
-        rest = F.size("pieces") - start
-        limit = F.round(2.0 * rest / (F.size("name_grams") + rest), 4)
+        left_over = F.slice("pieces", F.col("done") + 1, F.greatest(F.size("pieces") - F.col("done"), F.lit(0)))
+        rest = F.size(left_over)
+        # An entry that has only pieces of the rest is at least as large as the smallest entry of one of them.
+        least_size = F.greatest(rest, F.array_min(F.transform(left_over, lambda p: p["smallest"])))
+        limit = F.round(2.0 * rest / (F.size("name_grams") + least_size), 4)
         settled = (rest <= 0) | ((F.col("n") == k) & (F.col("least") > limit))
-        state = waiting.join(reached, "name_key", "left").withColumn("__settled", F.coalesce(settled, F.lit(False)))
-        state = cut_lineage(state)
+        moved = waiting.withColumn("done", F.col("done") + F.size("taken")).drop("taken")
+        state = cut_lineage(moved.join(reached, "name_key", "left").withColumn("__settled", F.coalesce(settled, F.lit(False))))
+        width *= 2
         found.append(kept.join(state.filter("__settled").select("name_key"), "name_key", "left_semi"))
         waiting = state.filter("NOT __settled").drop("__settled", "least", "n")
     if not found:
