@@ -166,3 +166,28 @@ def test_names_without_an_issuer_are_told_apart_by_their_root(spark):
     df = spark.createDataFrame([("2024-01-31", *r) for r in rows], "trade_date string, ticker string, issuer_id string, score double")
     got = selection.topk_with_issuer_cap(df, "score", 5).orderBy("rank").collect()
     assert [r["ticker"] for r in got] == ["AAAA3", "BBBB3", "CCCC3", "EEEE3"]
+
+
+def test_shipments_are_read_once_for_all_views(spark, tmp_path):
+    from tidemark.plans.market import Market
+
+    rows = [(k % 3, d, 10.0 + k, 2.0) for k, d in enumerate(days(30))]
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate date, l_extendedprice double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    m = Market(spark, str(tmp_path))
+    for view in (m.prices, m.unranked, m.universe, m.calendar):
+        assert view.count() and not view.inputFiles()
+
+
+@pytest.mark.parametrize(("values", "median"), [([3.0], 3.0), ([3.0, 1.0], 2.0), ([5.0, None, 1.0, 2.0], 2.0), ([None], None)])
+def test_median_of_traded_value(spark, values, median):
+    rows = [(d, "LIQD3", 10.0, v, 1) for d, v in zip(days(len(values)), values, strict=True)]
+    out = universe.point_in_time_universe(prices(spark, rows), universe.UniverseConfig(1, 4, 0.1, 4, 1.0)).orderBy("trade_date").collect()
+    assert out[-1]["adv_brl"] == median
+
+
+def test_long_sessions_are_dealt_to_many_parts(spark):
+    rows = prices(spark, [(d, t, 10.0 + i, 1.0, 1) for i, d in enumerate(days(6)) for t in ("AAAA3", "BBBB3")])
+    w = technical.BarWindows(1, 2, 2, 3, 4)
+    wide = technical.technical_features(rows, w, 1, 1, 100_000)
+    assert wide.rdd.getNumPartitions() == 500
+    assert sorted(map(str, wide.collect())) == sorted(map(str, technical.technical_features(rows, w, 1, 1, 10).collect()))
