@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordered import add_average_ranks, add_positions, exact_quantiles, running_before
+from tidemark.operators.diagnostics import distribution_distances
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +84,63 @@ def test_one_date_is_spread_over_many_tasks(spark, tmp_path):
     assert rows == [(i, i, i + 1 if i + 1 < n else None) for i in range(n)]
     sizes = [r["count"] for r in df.repartitionByRange(9, "day", "v").groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert len(sizes) == 9 and max(sizes) < n / 3
+
+
+@pytest.fixture
+def settings(spark):
+    """Sets values for one test."""
+    before = {}
+
+    def put(**values):
+        for name, value in values.items():
+            key = name.replace("__", ".")
+            before[key] = spark.conf.get(key)
+            spark.conf.set(key, value)
+
+    yield put
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def test_each_range_has_a_task_of_its_own(spark, settings):
+    """Hashed, several ranges of a large group fell to one task while others had none."""
+    settings(spark__sql__adaptive__enabled="false", spark__sql__shuffle__partitions="32")
+    n = 6400
+    df = spark.range(n).select(F.lit("d").alias("g"), (F.col("id") * 37 % n).alias("v"), F.lit(1).alias("one"))
+    placed = running_before(df, ["g"], ["v"], {"before": "one"}, 32, {"next": "v"})
+    # The sum keeps the windows in the plan.
+    tasks = placed.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum("before").alias("s")).collect()
+    sizes = [r["n"] for r in tasks]
+    assert sum(sizes) == n and sum(r["s"] for r in tasks) == n * (n - 1) // 2
+    assert len(sizes) == 32 and max(sizes) < 2 * n / 32
+
+
+def test_group_totals_come_without_a_join(spark, settings, capsys):
+    """A join by group would bring all rows of a group to one task."""
+    settings(spark__sql__adaptive__enabled="false", spark__sql__autoBroadcastJoinThreshold="-1")
+    rows = [("a" if i % 3 else "b", i % 50 / 7.0, "1997-01-01" if i % 2 else "2000-01-01") for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, x double, day string").withColumn("trade_date", F.to_date("day"))
+    spans = distribution_distances(df, ["x"], (1996, 1998), (1999, 2001))
+    quantiles = exact_quantiles(df, ["g"], "x", [0.5])
+    for result in (spans, quantiles):
+        result.explain()
+        assert "Join" not in capsys.readouterr().out
+    got = spans.first()
+    assert (got["na"], got["nb"]) == (200, 200)
+    assert got["ks_statistic"] == pytest.approx(1 / 25 / 1) and got["wasserstein"] == pytest.approx(1 / 7)
+    for r in quantiles.collect():
+        assert r["q0"] == pytest.approx(np.median([x for g, x, _ in rows if g == r["g"]]))
+
+
+@pytest.mark.parametrize("ranges", [None, 7])
+def test_totals_of_groups_with_nulls(spark, ranges):
+    rows = [(g, i, None if i % 4 == 1 else i) for g in ("x", None) for i in range(30)] + [("y", 0, None)]
+    df = spark.createDataFrame(rows, "g string, v long, w int")
+    got = running_before(df, ["g"], ["v"], {"before": "w"}, ranges, {"next": "v"}, {"total": "w"})
+    assert got.columns == ["g", "v", "w", "before", "next", "total"]
+    held = {g: [r for r in rows if r[0] == g] for g in ("x", "y", None)}
+    want = []
+    for g, some in held.items():
+        total = sum(w for _, _, w in some if w is not None) if g != "y" else None
+        want += [(g, v, w, sum(x or 0 for _, _, x in some[:v]), v + 1 if v + 1 < len(some) else None, total) for _, v, w in some]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)

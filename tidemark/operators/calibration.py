@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.ordered import exact_quantiles, null_safe_join, running_before
 from tidemark.functions.scalars import finite
 from tidemark.operators import diagnostics
-from tidemark.session import cut_lineage
 
 BINS = 5
 #: Rows and distinct disagreements that a calibration needs.
@@ -34,7 +33,8 @@ def reliability(errors: DataFrame, by: Sequence[str], keys: Sequence[str], x: st
     cuts = exact_quantiles(tied, by, "__x", [i / bins for i in range(bins + 1)], times="__n")
     edges = F.array_sort(F.array_distinct(F.array(*[f"q{i}" for i in range(bins + 1)])))
     inner = cuts.select(*by, F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 2, F.lit(0))).alias("__edges"))
-    placed = null_safe_join(tied, inner, by).withColumn("__bin", F.size(F.filter("__edges", lambda e: e < F.col("__x"))))
+    # One short array per group; joined without the hint, the values of a group could all go to one task.
+    placed = null_safe_join(tied, F.broadcast(inner), by).withColumn("__bin", F.size(F.filter("__edges", lambda e: e < F.col("__x"))))
     means = placed.groupBy(*by, "__bin").agg((F.sum("__s") / F.sum("__n")).alias("__mean"))
     listed = means.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__bin", "__mean"))), lambda b: b["__mean"]).alias("bin_errors"))
     ic = diagnostics.rank_correlation(pairs, by, "__x", "__y", keys, 2, group_bound).select(*by, F.col("ic").alias("rank_correlation"))
@@ -68,9 +68,9 @@ def rising_curve(errors: DataFrame, by: Sequence[str], x: str = "disagreement",
     """
     by = list(by)
     tied = errors.filter(finite(F.col(x)) & finite(F.col(y))).groupBy(*by, F.col(x).alias("__x")).agg(F.count("*").alias("__n"), F.sum(y).alias("__s"))
-    tied = cut_lineage(tied)  # read twice
-    sizes = tied.groupBy(*by).agg(F.sum("__n").alias("__rows"), F.count("*").alias("__values"))
-    placed = null_safe_join(running_before(tied.withColumn("__one", F.lit(1)), by, ["__x"], {"__before": "__n", "__place": "__one"}), sizes, by)
+    placed = running_before(
+        tied.withColumn("__one", F.lit(1)), by, ["__x"], {"__before": "__n", "__place": "__one"}, totals={"__rows": "__n", "__values": "__one"}
+    )
     block = F.when(F.col("__values") <= blocks, F.col("__place")).otherwise(F.floor(F.col("__before") * blocks / F.col("__rows"))).cast("int")
     cells = placed.withColumn("block", block).groupBy(*by, "block").agg(
         F.min("__x").alias("low"), F.max("__x").alias("high"), F.sum("__n").alias("rows"), F.sum("__s").alias("__s")

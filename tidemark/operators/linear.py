@@ -159,7 +159,7 @@ def window_medians(rows: DataFrame, members: DataFrame, features: Sequence[str],
     wanted = null_safe_join(windows, spots.select(*key, F.explode("cells").alias("cell")), ["window", "fold_year"], "inner")
     met = values.join(F.broadcast(wanted), ["date", "year", "feature", "cell"])  # wanted: slices x windows x features, two cells each at most
     tied = met.groupBy(*key, "value").agg(F.count("*").alias("n"))
-    placed = null_safe_join(running_before(tied, key, ["value"], {"before": "n"}), spots, key)
+    placed = null_safe_join(running_before(tied, key, ["value"], {"before": "n"}), F.broadcast(spots), key)  # smaller than `wanted`
 
     def at(position: str):
         place = F.col(position) - F.col("skipped")
