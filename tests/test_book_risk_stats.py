@@ -162,6 +162,31 @@ def test_ledoit_wolf_matches_numpy(spark):
         assert v == pytest.approx(want[int(i[1]), int(j[1])])
 
 
+def test_ledoit_wolf_keeps_dates_with_few_whole_sessions(spark):
+    rows = [(D0, 1, "A", 0.1), (D0, 2, "B", 0.2), (D0, 3, "C", 0.3)]  # no session with all three names
+    rows += [(D0 + timedelta(days=1), t, name, 0.1 * t * k) for k, name in ((1, "A"), (3, "B")) for t in (1, 2)]
+    out = risk.ledoit_wolf(spark.createDataFrame(rows, "as_of date, session long, ticker string, r double")).collect()
+    got = {(r["as_of"], r["asset_i"], r["asset_j"]): (r["covariance"], r["shrinkage"], r["n"]) for r in out}
+    want = {(D0, i, j): (1e-6 if i == j else 0.0, 0.0, 0) for i, j in ("AA", "AB", "AC", "BB", "BC", "CC")}
+    assert got == want | {(D0 + timedelta(days=1), i, j): (1e-6 if i == j else 0.0, 0.0, 2) for i, j in ("AA", "AB", "BB")}
+
+
+def test_shrunk_covariance_takes_the_candidates_of_the_other_covariances(spark, monkeypatch):
+    from tidemark.plans import risk_queries
+
+    class Market:
+        def __init__(self, spark, sf_dir):
+            days = [D0 + timedelta(days=7 * i) for i in range(40)]
+            rows = [(f"T{j:02d}", d, 100.0 + (i * (j + 3)) % 17) for j in range(60) for i, d in enumerate(days)]
+            self.prices = spark.createDataFrame(rows, "ticker string, trade_date date, close double")
+            self.forecasts = spark.createDataFrame([(days[-1], f"T{j:02d}", j, float(j)) for j in range(60)], "trade_date date, ticker string, issuer_id long, rank_log_traded_value_4w double")
+
+    monkeypatch.setattr(risk_queries, "Market", Market)
+    out = risk_queries.shrunk_covariance(spark, "").collect()
+    assert {r["asset_i"] for r in out} == {f"T{j:02d}" for j in range(10, 60)} and len(out) == 50 * 51 // 2
+    assert {r["n"] for r in out} == {39}
+
+
 def test_basket_search_matches_brute_force(spark):
     rng = np.random.default_rng(7)
     alpha, pairs, best = [], [], {}

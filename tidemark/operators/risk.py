@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.rolling import by_bar
 from tidemark.functions.scalars import price_column
 from tidemark.operators.selection import best_per_issuer, top_per_group
+from tidemark.session import cut_lineage
 
 VARIANCE_FLOOR = 1e-12
 
@@ -109,9 +110,11 @@ def ledoit_wolf(returns: DataFrame) -> DataFrame:
     """Shrinkage toward the scaled identity, from grouped sums only.
 
     `returns` has as_of, session, ticker, r. Only sessions on which every name of the date has a
-    return count. Output: pairs i <= j with the shrunk covariance and the shrinkage used; with
-    fewer than three sessions the matrix is 1e-6 times the identity.
+    return count. Output: pairs i <= j of all names of a date with the shrunk covariance and the
+    shrinkage used; with fewer than three sessions, or none, the matrix is 1e-6 times the identity.
     """
+    # The returns of a bounded number of names are read by every step below.
+    returns = cut_lineage(returns.select("as_of", "session", "ticker", "r"))
     names = returns.select("as_of", "ticker").distinct().groupBy("as_of").agg(F.count("*").alias("p"))
     per_session = returns.groupBy("as_of", "session").agg(F.count("*").alias("__names"))
     full = per_session.join(F.broadcast(names), "as_of").filter(F.col("__names") == F.col("p"))
@@ -137,7 +140,14 @@ def ledoit_wolf(returns: DataFrame) -> DataFrame:
     on_diagonal = F.when(F.col("asset_i") == F.col("asset_j"), 1.0).otherwise(0.0)
     shrunk = (1.0 - F.col("shrinkage")) * F.col("s") + F.col("shrinkage") * F.col("mu") * on_diagonal
     value = F.when(F.col("n") < 3, 1e-6 * on_diagonal).otherwise(shrunk)
-    return pairs.join(F.broadcast(stats), "as_of").select("as_of", "asset_i", "asset_j", value.alias("covariance"), "shrinkage", "n")
+    used = F.when(F.col("n") < 3, 0.0).otherwise(F.col("shrinkage"))
+    # The names of a date, not their common sessions, say which pairs there are.
+    members = returns.groupBy("as_of").agg(F.sort_array(F.collect_set("ticker")).alias("ts"))
+    left = members.select("as_of", "ts", F.posexplode("ts").alias("i", "asset_i"))
+    asked = left.select("as_of", "asset_i", F.explode(F.slice("ts", F.col("i") + 1, F.size("ts"))).alias("asset_j"))
+    found = asked.join(pairs.select("as_of", "asset_i", "asset_j", "s"), ["as_of", "asset_i", "asset_j"], "left")
+    rated = found.join(F.broadcast(stats), "as_of", "left").na.fill(0, ["n"])
+    return rated.select("as_of", "asset_i", "asset_j", value.alias("covariance"), used.alias("shrinkage"), "n")
 
 
 def liquid_candidates(signals: DataFrame, liquidity: str, n: int = 50, issuer: str = "issuer_id") -> DataFrame:

@@ -96,21 +96,25 @@ _LW = """pr AS (SELECT as_of, count(DISTINCT ticker) AS p FROM used GROUP BY 1),
   st AS (SELECT s.as_of, max(n) AS n, max(p) AS p, sum(CASE WHEN i = j THEN v END) / max(p) AS mu, sum(v * v) AS f2, max(fourth) AS fourth
      FROM s JOIN nn USING (as_of) JOIN pr USING (as_of) JOIN q USING (as_of) GROUP BY 1),
   lw AS (SELECT *, (f2 - p * mu * mu) / p AS delta, (fourth / n - f2) / (p * CAST(n AS DOUBLE)) AS beta FROM st),
-  shr AS (SELECT *, least(beta, delta) / delta AS shrinkage FROM lw)"""
+  shr AS (SELECT *, least(beta, delta) / delta AS shrinkage FROM lw),
+  members AS (SELECT DISTINCT as_of, ticker FROM used),
+  matrix AS (SELECT a.as_of, a.ticker AS i, b.ticker AS j, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) < 3 THEN 0.0 ELSE shrinkage END AS shrinkage, v, mu
+     FROM members a JOIN members b ON a.as_of = b.as_of AND a.ticker <= b.ticker
+     LEFT JOIN s ON s.as_of = a.as_of AND s.i = a.ticker AND s.j = b.ticker LEFT JOIN shr ON shr.as_of = a.as_of)"""
 
 
 @query(
     "shrunk_covariance",
     S.with_(
-        *FORECAST_SQL, _LIQUID.format(4), _STEPS, _cov("liquid", 104, 10, 0.3), _LW,
-        select=f"""SELECT s.as_of, i AS asset_i, j AS asset_j, n, {r('shrinkage')} AS shrinkage,
+        *FORECAST_SQL, _LIQUID.format(50), _STEPS, _cov("liquid", 104, 10, 0.3), _LW,
+        select=f"""SELECT as_of, i AS asset_i, j AS asset_j, n, {r('shrinkage')} AS shrinkage,
           {r('CASE WHEN n < 3 THEN CASE WHEN i = j THEN 1e-6 ELSE 0.0 END ELSE (1.0 - shrinkage) * v + CASE WHEN i = j THEN shrinkage * mu ELSE 0.0 END END', 3)} AS covariance
-          FROM s JOIN shr USING (as_of) WHERE i <= j""",
+          FROM matrix""",
     ),
 )
 def shrunk_covariance(spark, sf_dir):
     m = Market(spark, sf_dir)
-    names = risk.liquid_candidates(m.forecasts, "rank_log_traded_value_4w", 4)
+    names = risk.liquid_candidates(m.forecasts, "rank_log_traded_value_4w", 50)
     returns = risk.window_returns(names, m.prices, universe.session_calendar(m.prices), 104, 10, 0.3)
     return risk.ledoit_wolf(returns).select(
         "as_of", "asset_i", "asset_j", "n", rounded(F.col("shrinkage")).alias("shrinkage"), rounded(F.col("covariance"), 3).alias("covariance")
