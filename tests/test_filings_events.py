@@ -158,6 +158,26 @@ def test_nearest_entries_match_all_pairs(spark, k):
     assert names.nearest_entries(names_df, entries.limit(0), k).count() == 0
 
 
+def test_entries_are_not_broadcast_and_letters_of_any_script_count(spark, monkeypatch):
+    left = ["ÁGUAS DO NORTE", "日本電信電話", "\U0001f600\U0001f601\U0001f602X", "AB", "NORTE SUL", "\U0010ffff\U0010ffff\U0010ffff"]
+    right = ["AGUAS DO NORTE", "ÁGUAS DO SUL", "日本電気", "日本電信", "\U0001f600\U0001f601\U0001f602", "SUL NORTE", "\U0010ffff\U0010ffff\U0010ffffZ", "A"]
+    grams = lambda s: {s[i : i + 3] for i in range(len(s) - 2)}
+    share = lambda a, b: round(2 * len(grams(a) & grams(b)) / (len(grams(a)) + len(grams(b))), 4)
+    want = {(a, b, share(a, b)) for a in left for _, b in sorted(((share(a, b), b) for b in right if grams(a) & grams(b)), reverse=True)[:2]}
+    plans, plain = [], names.cut_lineage
+    monkeypatch.setattr(names, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "9223372036854775807b")
+    try:
+        got = names.nearest_entries(spark.createDataFrame([(a,) for a in left], "name_key string"), spark.createDataFrame([(b, b) for b in right], "entry_key string, label string"), 2)
+        rows = set(map(tuple, got.select("name_key", "entry_key", "similarity").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows == want and len(plans) > 3
+    # Only the numbers of the pieces asked for may be broadcast.
+    assert all("LeftSemi" in line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoop" in line)
+
+
 def test_pieces_that_all_entries_have_are_not_looked_up(spark, monkeypatch):
     left, right = [f"Supplier#00000{i}" for i in range(1100, 3900, 97)], [f"Customer#00000{i}" for i in range(1000, 4000)]
     grams = lambda s: {s[i : i + 3] for i in range(len(s) - 2)}

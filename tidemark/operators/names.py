@@ -13,8 +13,11 @@ from tidemark.session import cut_lineage
 GRAM = 5
 SIMILARITY_GRAM = 3
 REVIEW_ROWS = 3
-#: A round of look-ups takes pieces with up to so many times the entries of its rarest.
+#: Look-ups of a name begin with so many pieces, and a round adds pieces with up to so many times the entries of its rarest.
+FIRST_PIECES = 2
 FREQUENT = 8
+#: Above every code point; three of them fit a bigint.
+CODE_POINTS = 1 << 21
 
 
 def _grams(column: str, size: int):
@@ -55,50 +58,80 @@ def containment_pairs(names: DataFrame, entries: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def _codes(column: str):
+    """Distinct three-letter pieces, each as one number: three code points of 21 bits."""
+    text = F.col(column)
+
+    def code(i):
+        letters = [F.ascii(F.substr(text, i + k, F.lit(1))).cast("bigint") for k in range(SIMILARITY_GRAM)]
+        return reduce(lambda high, low: high * CODE_POINTS + low, letters)
+
+    positions = F.sequence(F.lit(1), F.length(text) - SIMILARITY_GRAM + 1)
+    return F.when(F.length(text) >= SIMILARITY_GRAM, F.array_distinct(F.transform(positions, code))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _any_of(pieces: str, most: int):
+    """Whether an entry has one of at most so many pieces; a few are compared one by one, without a hash set for each pair."""
+    if most > 2 * FIRST_PIECES:
+        return F.arrays_overlap("entry_codes", pieces)
+    each = [F.coalesce(F.array_contains("entry_codes", F.get(pieces, F.lit(j))), F.lit(False)) for j in range(most)]
+    return reduce(lambda a, b: a | b, each, F.lit(False))
+
+
 def nearest_entries(names: DataFrame, entries: DataFrame, k: int = REVIEW_ROWS) -> DataFrame:
     """For each name the k entries with the largest share of common three-letter pieces (Dice, four decimals).
 
     `names`: name_key. `entries`: entry_key, label; both keys distinct and not null. Equal shares are ordered by label, then key,
-    both descending; an entry without a common piece never counts. Names look up their pieces from the rarest on, up to twice as many
-    each round. What none of those found can share the remaining pieces at most, and a name whose k-th best is above that is
-    done, so pieces that many names have are looked up only for names that nothing rarer has settled. No candidate is dropped.
+    both descending; an entry without a common piece never counts. Names look up their rarest pieces, more of them each round. What has
+    none of those, or one of them and not the next, shares the remaining pieces at most: such entries are passed over where they are met, and
+    a name with k entries above that is done. At last all pieces are looked up, so no candidate is dropped. An entry meets a name at the
+    rarest piece they share and is judged there; only what can be among the best is exchanged. Joins are merges: entries never pass the driver.
     """
-    right = entries.select("entry_key", "label", _grams("entry_key", SIMILARITY_GRAM).alias("entry_grams")).filter(F.size("entry_grams") > 0)
-    index = right.select("entry_key", F.size("entry_grams").alias("size"), F.explode("entry_grams").alias("gram"))
-    frequency = index.groupBy("gram").agg(F.count("*").alias("hits"), F.min("size").alias("smallest"))
-    left = names.select("name_key", _grams("name_key", SIMILARITY_GRAM).alias("name_grams"))
+    right = cut_lineage(entries.select("entry_key", "label", _codes("entry_key").alias("entry_codes")).filter(F.size("entry_codes") > 0))
+    index = right.select("entry_key", "label", "entry_codes", F.explode("entry_codes").alias("gram"))
+    frequency = index.groupBy("gram").agg(F.count("*").alias("hits"), F.min(F.size("entry_codes")).alias("smallest"))
+    left = names.select("name_key", _codes("name_key").alias("name_codes"))
     # A piece that no entry has is never looked up and cannot be shared.
-    known = left.select("name_key", F.explode("name_grams").alias("gram")).join(frequency, "gram")
-    pieces = known.groupBy("name_key").agg(F.sort_array(F.collect_list(F.struct("hits", "gram", "smallest"))).alias("pieces"))
-    waiting = cut_lineage(left.join(pieces, "name_key").withColumn("done", F.lit(0)))
+    known = left.select("name_key", F.explode("name_codes").alias("gram")).join(frequency.hint("merge"), "gram")
+    pieces = known.groupBy("name_key").agg(
+        F.sort_array(F.collect_list(F.struct("hits", "gram"))).alias("pieces"), F.min("smallest").alias("smallest")
+    )
+    waiting = cut_lineage(left.join(pieces.hint("merge"), "name_key").withColumn("done", F.lit(0)))
     order = Window.partitionBy("name_key").orderBy(F.col("similarity").desc(), F.col("label").desc(), F.col("entry_key").desc())
-    kept = None
     found: list[DataFrame] = []
-    width = 1
+    width, most = FIRST_PIECES, 0
     while not waiting.isEmpty():
-        # A round takes no piece that is far more frequent than its first: what that one finds may settle the name.
+        # A round adds no piece that is far more frequent than the first it adds: what that one finds may settle the name.
         offered = F.slice("pieces", F.col("done") + 1, F.lit(width))
-        waiting = waiting.withColumn("taken", F.filter(offered, lambda p: p["hits"] <= FREQUENT * F.element_at(offered, 1)["hits"]))
-        probes = waiting.select("name_key", F.explode(F.col("taken")["gram"]).alias("gram"))
-        pairs = probes.join(index, "gram").select("name_key", "entry_key").distinct()
-        shared = F.size(F.array_intersect("name_grams", "entry_grams"))
-        share = F.round(2.0 * shared / (F.size("name_grams") + F.size("entry_grams")), 4)
-        scored = pairs.join(waiting, "name_key").join(right, "entry_key").select("name_key", "entry_key", "label", share.alias("similarity"))
-        if kept is not None:
-            scored = scored.unionByName(kept.join(waiting.select("name_key"), "name_key", "left_semi")).distinct()
-        kept = cut_lineage(scored.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= k).drop("__n"))
-        reached = kept.groupBy("name_key").agg(F.min("similarity").alias("least"), F.count("*").alias("n"))
-        left_over = F.slice("pieces", F.col("done") + 1, F.greatest(F.size("pieces") - F.col("done"), F.lit(0)))
-        rest = F.size(left_over)
-        # An entry that has only pieces of the rest is at least as large as the smallest entry of one of them.
-        least_size = F.greatest(rest, F.array_min(F.transform(left_over, lambda p: p["smallest"])))
-        limit = F.round(2.0 * rest / (F.size("name_grams") + least_size), 4)
-        settled = (rest <= 0) | ((F.col("n") == k) & (F.col("least") > limit))
-        moved = waiting.withColumn("done", F.col("done") + F.size("taken")).drop("taken")
-        state = cut_lineage(moved.join(reached, "name_key", "left").withColumn("__settled", F.coalesce(settled, F.lit(False))))
+        added = F.size(F.filter(offered, lambda p: p["hits"] <= FREQUENT * F.element_at(offered, 1)["hits"]))
+        rest = F.size("pieces") - F.col("done")
+        # An entry with that many pieces of the name has as many at least, and no fewer than the smallest entry with one of them.
+        limit = F.round(2.0 * F.col("rest") / (F.size("name_codes") + F.greatest("rest", "smallest")), 4)
+        limit = F.when(F.col("rest") > 0, limit).otherwise(-1.0)
+        waiting = waiting.withColumn("done", F.col("done") + added).withColumn("rest", rest).withColumn("limit", limit)
+        grams = F.col("pieces")["gram"]
+        probes = waiting.select("name_key", "name_codes", "rest", "limit", "done", grams.alias("grams"), F.posexplode(F.slice(grams, F.lit(1), F.col("done"))).alias("i", "gram"))
+        probes = probes.select(
+            "name_key", "name_codes", "rest", "limit", "gram",
+            F.slice("grams", F.lit(1), F.col("i")).alias("rarer"),
+            F.slice("grams", F.col("i") + 2, F.col("done") - F.col("i")).alias("next"),
+        )
+        asked = index.join(F.broadcast(probes.select("gram").distinct()), "gram", "left_semi")  # numbers of pieces only
+        most += width
+        shared = F.size(F.array_intersect("name_codes", "entry_codes"))
+        share = F.round(2.0 * shared / (F.size("name_codes") + F.size("entry_codes")), 4)
+        # One expression, so that shares are computed only where the quick tests hold, wherever Spark puts the filter.
+        judged = F.when(((F.col("rest") == 0) | _any_of("next", most)) & ~_any_of("rarer", most - 1), share)
+        met = probes.join(asked.hint("merge"), "gram").select("name_key", "entry_key", "label", "limit", judged.alias("similarity"))
+        scored = met.filter(F.col("similarity") > F.col("limit"))
+        best = scored.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= k)
+        best = cut_lineage(best.select("name_key", "entry_key", "label", "similarity"))
+        reached = best.groupBy("name_key").agg(F.count("*").alias("n"))
+        settled = (F.col("rest") == 0) | (F.coalesce("n", F.lit(0)) == k)
+        state = cut_lineage(waiting.join(reached.hint("merge"), "name_key", "left").withColumn("__settled", settled))
+        found.append(best.join(state.filter("__settled").select("name_key").hint("merge"), "name_key", "left_semi"))
+        waiting = state.filter("NOT __settled").drop("__settled", "n", "rest", "limit")
         width *= 2
-        found.append(kept.join(state.filter("__settled").select("name_key"), "name_key", "left_semi"))
-        waiting = state.filter("NOT __settled").drop("__settled", "least", "n")
     if not found:
         return left.join(right, F.lit(False)).select("name_key", "entry_key", "label", F.lit(0.0).alias("similarity"))
     return reduce(DataFrame.unionByName, found)
